@@ -112,9 +112,13 @@ def steps(offsets: np.ndarray, size: int = STEP_BYTES) -> Iterator[tuple[int, in
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that part words where punctuation isn't wanted: all of ASCII but letters and digits.
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of all words, and the number of words of each text."""
-    solid = ~_WHITE[data]
+    solid = ~white[data]
     start = solid.copy()
     start[1:] &= ~solid[:-1]
     inner = offsets[:-1][offsets[:-1] < len(data)]

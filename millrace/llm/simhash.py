@@ -24,8 +24,9 @@ from millrace.llm.shared import as_bytes, steps, table, text_bytes, words, writt
 
 BITS, BLOCKS, MOST = 64, 4, 3
 SHINGLE, SEED = 3, 42
-#: Fingerprints of a trie above which it is cut into parts, every two of which meet in a task of their own.
-PART = 4096
+#: Fingerprints below one node of a trie, about; and those of a block above which it is cut into parts,
+#: every two of which meet in a task of their own.
+NODE, PART = 512, 1024
 
 
 def _digests(text: bytes) -> np.ndarray:
@@ -112,7 +113,7 @@ def trie_links(left: np.ndarray, right: np.ndarray | None = None, most: int = MO
     """Links that join all of `left` (with `right`, or with itself) at most `most` bits apart into the
     same groups as all such pairs would: pairs of positions, `right` counted on from `left`.
 
-    left and right are sorted and distinct; a node of the trie is a range of them with equal leading
+    left and right are sorted, distinct and agree in the leading 16 bits; a node of the trie is a range of them with equal leading
     bits. Node pairs are kept on a stack with the bits left below them and the budget left."""
     both = left if right is None else np.concatenate([left, right])
     base = 0 if right is None else len(left)
@@ -130,7 +131,7 @@ def trie_links(left: np.ndarray, right: np.ndarray | None = None, most: int = MO
         at = lo + int(np.searchsorted(part & bit, bit))
         return lo, at, hi
 
-    stack = [(0, len(left), base, len(both), bits, most)]
+    stack = [(0, len(left), base, len(both), bits - 16, most)]
     while stack:
         a0, a1, b0, b1, depth, budget = stack.pop()
         if a0 >= a1 or b0 >= b1:
@@ -171,25 +172,31 @@ def _turned(fp: np.ndarray, k: int) -> np.ndarray:
 def links(marks: DataFrame) -> DataFrame:
     """marks(fingerprint, id), distinct fingerprints each with an id, to links (src, dst) of ids.
 
-    A block with over PART fingerprints is cut into parts by a hash, and every two parts meet in a task
-    of their own, so no task holds more than 2 * PART rows or so whatever the skew."""
-    block = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fingerprint", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(BLOCKS))))
+    A task joins the part of a trie below one node, about NODE fingerprints. A block with over PART of
+    them is cut into parts by a hash, and every two parts meet in a task of their own, so no task
+    holds more than 2 * PART rows or so whatever the skew."""
+    depth = min(16, max(0, (marks.count() // NODE).bit_length()))
+    block = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fingerprint", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("v")) for k in range(BLOCKS))))
     rows = marks.select("fingerprint", "id", block.alias("b")).select("fingerprint", "id", "b.k", "b.v")
     big = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
     big = big.select(F.col("k").alias("_k"), F.col("v").alias("_v"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     rows = rows.join(big, (F.col("k") == F.col("_k")) & (F.col("v") == F.col("_v")), "left").drop("_k", "_v")
-    part = F.pmod(F.xxhash64("fingerprint"), F.coalesce("parts", F.lit(1))).cast("int")
-    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    rows = rows.select("fingerprint", "id", "k", "v", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part")
+    rows = rows.withColumn("node", F.when(F.col("parts").isNull(), F.shiftright("v", 16 - depth)).otherwise(F.col("v") + 65536))
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fingerprint"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("fingerprint", "id", "k", "node", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
-        k, _, p, q = (x.item() if hasattr(x, "item") else x for x in key)
+        k, _, p, q = (int(x) for x in key)
         fp, ids, part = _turned(pdf["fingerprint"].to_numpy().view(np.uint64), k), pdf["id"].to_numpy(), pdf["part"].to_numpy()
         if p == q:
             o = np.argsort(fp)
-            found = trie_links(fp[o])
+            lead = fp[o] >> np.uint64(48)
+            at = np.flatnonzero(np.diff(lead, prepend=lead[:1] ^ np.uint64(1)))
+            found = []
+            for a, b in zip(at.tolist(), np.append(at[1:], len(o)).tolist(), strict=True):
+                if b - a > 1:
+                    found += [(a + i, a + j) for i, j in trie_links(fp[o[a:b]])]
         else:
             a, b = np.flatnonzero(part == p), np.flatnonzero(part == q)
             a, b = a[np.argsort(fp[a])], b[np.argsort(fp[b])]
@@ -198,7 +205,7 @@ def links(marks: DataFrame) -> DataFrame:
         at = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"src": ids[at[:, 0]], "dst": ids[at[:, 1]]})
 
-    return rows.groupBy("k", "v", "p", "q").applyInPandas(run, "src long, dst long")
+    return rows.groupBy("k", "node", "p", "q").applyInPandas(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -229,9 +229,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates: the one whose doc_id is the component's id (of
     repeated doc_ids, one row)."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
+    # both by _key: the documents move once
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

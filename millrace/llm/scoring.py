@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import as_bytes, held_out, mixed, span_hashes, steps, table, text_bytes, words, written
 from millrace.llm.trie import NgramTrie
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 3 << 19
 DISCOUNT = 0.75
 #: Rows of the sample on which frequent contexts are found, besides one per shard.
 SAMPLE_ROWS = 4096
@@ -99,7 +99,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block, np.
         yield out()
 
 
-_REQUEST = "block long, shard int, w binary, wn binary, c binary, cn binary, p binary, pn binary"
+_REQUEST = "block long, shard int, w binary, wn binary, c binary, cn binary, p binary, q binary, pn binary"
 _ANSWER = "block long, shard int, count binary, back binary, back_book binary, code binary, book binary, stats array<long>, spread array<struct<word:long,n:long>>"
 
 
@@ -119,10 +119,10 @@ def _requests(shards: int, hot: np.ndarray) -> Callable:
                 if len(w) or len(p):
                     heads = np.flatnonzero(np.diff(context[p], prepend=~context[p[:1]]))
                     runs = np.diff(np.append(heads, len(p))).astype(np.uint32)
-                    rows.append((number, s, *as_bytes(b.word[w], wn[w], context[p][heads], runs, second[p], pn[p])))
+                    rows.append((number, s, *as_bytes(b.word[w], wn[w], context[p][heads], runs, (second[p] >> np.uint64(32)).astype(np.uint32), (second[p] & np.uint64(0xFFFF)).astype(np.uint16), pn[p])))
             for i in range(0, len(rows), 64):
                 part = list(zip(*rows[i : i + 64], strict=True))
-                yield pa.record_batch([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), *(pa.array(x, pa.binary()) for x in part[2:])], ["block", "shard", "w", "wn", "c", "cn", "p", "pn"])
+                yield pa.record_batch([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), *(pa.array(x, pa.binary()) for x in part[2:])], ["block", "shard", "w", "wn", "c", "cn", "p", "q", "pn"])
 
     return run
 
@@ -147,7 +147,8 @@ def _answer(hot: np.ndarray) -> Callable:
         word, wi = np.unique(w, return_inverse=True)
         count = np.bincount(wi, wn, len(word))
         heads, runs = _joined(pdf["c"], np.uint64), _joined(pdf["cn"], np.uint32)
-        second, pn = _joined(pdf["p"], np.uint64), _joined(pdf["pn"], np.uint32)
+        # within a context, 48 bits tell its successors apart
+        second, pn = _joined(pdf["p"], np.uint32).astype(np.uint64) << np.uint64(16) | _joined(pdf["q"], np.uint16), _joined(pdf["pn"], np.uint32)
         context, hi = np.unique(heads, return_inverse=True)
         succ, si = np.unique(second, return_inverse=True)
         key, ki = np.unique(np.repeat(hi, runs).astype(np.int64) << 32 | si, return_inverse=True)
@@ -167,7 +168,7 @@ def _answer(hot: np.ndarray) -> Callable:
         back = np.full(len(word), 255, np.uint8)
         known = np.flatnonzero((types > 0) & ~spread)
         back[at[known]] = trie.b[known]
-        ends_w, ends_p = (np.cumsum([len(x) // size for x in pdf[c]]) for c, size in (("w", 8), ("p", 8)))
+        ends_w, ends_p = (np.cumsum([len(x) // size for x in pdf[c]]) for c, size in (("w", 8), ("p", 4)))
         rows, a, b = [], 0, 0
         for block, ew, ep in zip(pdf["block"], ends_w, ends_p, strict=True):
             rows.append((block, shard, *as_bytes(count[wi[a:ew]].astype(np.uint32), back[wi[a:ew]], trie.b_book, code[ki[b:ep]], trie.p_book), None, None))
@@ -272,7 +273,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     empty id. Repeated rows are trained on and scored each. With no training rows, every token is the
     unknown word with probability 1. Other columns of docs are ignored."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), modulus, remainder).alias("held"))
-    shards = max(16, 2 * rows.rdd.getNumPartitions())
+    shards = max(16, 6 * rows.rdd.getNumPartitions())
     hot = _hot(rows, shards)
     asked = rows.mapInArrow(_requests(shards, hot), _REQUEST)
     answers = written(asked.groupBy("shard").applyInPandas(_answer(hot), _ANSWER), "answers")

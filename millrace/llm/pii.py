@@ -41,6 +41,8 @@ CUES = {"email": "mail|contact|write|adress|correo|courriel", "ip": "\\bip\\b|ho
 #: Characters before a span in which a cue may stand.
 NEAR = 48
 VOTES = ("shape", "gazetteer", "context", "edges")
+#: The bit that marks a loose candidate: the shape labeler, which knows base matches alone, abstains.
+LOOSE_BIT = 1 << len(VOTES)
 
 
 def _found(text: Column, pattern: str, gate: Column) -> Column:
@@ -110,7 +112,7 @@ def _spans(text: Column, kind: str, hits: Column, starts: Column, base: bool) ->
         edge = F.concat(F.substring(text, start, F.when(start > 0, 1).otherwise(0)), F.lit("|"), F.substring(text, end + 1, F.lit(1)))
         ok = _valid(kind, hit) if base else F.lit(False)
         votes = [ok, _gazetteer(kind, hit), before.rlike(f"(?i){CUES[kind]}"), ~edge.rlike(r"[\p{L}\p{N}_/=#]\||\|[\p{L}\p{N}_/=@]")]
-        bits = sum((F.when(v, 1 << i).otherwise(0) for i, v in enumerate(votes)), F.lit(0))
+        bits = sum((F.when(v, 1 << i).otherwise(0) for i, v in enumerate(votes)), F.lit(0 if base else LOOSE_BIT))
         return F.struct(F.lit(k).alias("kind"), start.alias("start"), end.alias("end"), ok.alias("base"), bits.alias("votes"))
 
     return F.transform(F.arrays_zip(hits.alias("hit"), starts.alias("start")), one)
@@ -135,45 +137,54 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def reliabilities(counts: list[tuple[int, int, int]], rounds: int = 50) -> dict[tuple[int, int], float]:
     """(kind, votes, n) to the probability that such a span is a true one, by expectation-maximisation
-    over each labeler's rate of voting for true and for false spans and each kind's share of true ones."""
-    if not counts:
-        return {}
+    over each labeler's rate of voting for true and for false spans and each kind's share of true ones.
+    A labeler that abstains counts neither way; each starts as right four times in five."""
     m = len(VOTES)
-    true = {(k, v): 0.9 if v & 1 else 0.1 + 0.2 * (v.bit_count() - 1 if v else 0) for k, v, _ in counts}
+    voters = lambda v: range(1 if v & LOOSE_BIT else 0, m)
+    true = {(k, v): sum(v >> j & 1 for j in voters(v)) / len(voters(v)) for k, v, _ in counts}
     for _ in range(rounds):
-        share, hit, miss = {}, [1.0] * m, [1.0] * m
-        total, wrong = 2.0, 2.0
+        share: dict[int, list[float]] = {}
+        hit, miss, total, wrong = [8.0] * m, [2.0] * m, [10.0] * m, [10.0] * m
         for k, v, n in counts:
             p = true[k, v]
             s = share.setdefault(k, [1.0, 2.0])
             s[0] += n * p
             s[1] += n
-            total += n * p
-            wrong += n * (1 - p)
-            for j in range(m):
-                if v >> j & 1:
-                    hit[j] += n * p
-                    miss[j] += n * (1 - p)
+            for j in voters(v):
+                on = v >> j & 1
+                hit[j] += n * p * on
+                miss[j] += n * (1 - p) * on
+                total[j] += n * p
+                wrong[j] += n * (1 - p)
         for k, v, _ in counts:
             odds = math.log(share[k][0]) - math.log(share[k][1] - share[k][0])
-            for j in range(m):
-                a, b = hit[j] / total, miss[j] / wrong
+            for j in voters(v):
+                a, b = hit[j] / total[j], miss[j] / wrong[j]
                 odds += math.log(a / b) if v >> j & 1 else math.log((1 - a) / (1 - b))
             true[k, v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return true
 
 
-def classifier(counts: list[tuple[int, int, int]], steps: int = 400) -> tuple[float, ...]:
-    """Weights of the span classifier, for each kind and then each vote: logistic regression on the
-    soft labels of reliabilities(), each pattern weighing its share of all candidates, or so."""
+def _active(k: int, v: int) -> list[int]:
+    """Features of a pattern: its kind, and for each vote its number; a shape that is voted down has one of
+    its own, after the others."""
+    base = len(KINDS)
+    down = [] if v & LOOSE_BIT or v & 1 else [base + len(VOTES)]
+    return [k, *(base + j for j in range(len(VOTES)) if v >> j & 1), *down]
+
+
+def classifier(counts: list[tuple[int, int, int]], steps: int = 600) -> tuple[float, ...]:
+    """Weights of the span classifier (see _active()): logistic regression on the soft labels of
+    reliabilities(), each pattern weighing the root of its number. Without a kind's spans its weight
+    is 0."""
     soft = reliabilities(counts)
-    w = [0.0] * (len(KINDS) + len(VOTES))
+    w = [0.0] * (len(KINDS) + len(VOTES) + 1)
     weight = {(k, v): math.sqrt(n) for k, v, n in counts}
     total = sum(weight.values()) or 1.0
     for _ in range(steps):
-        g = [0.02 * x for x in w]
+        g = [0.01 * x for x in w]
         for k, v, _ in counts:
-            on = [k, *(len(KINDS) + j for j in range(len(VOTES)) if v >> j & 1)]
+            on = _active(k, v)
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] for i in on)))))
             for i in on:
                 g[i] += (p - soft[k, v]) * weight[k, v] / total
@@ -182,7 +193,7 @@ def classifier(counts: list[tuple[int, int, int]], steps: int = 400) -> tuple[fl
 
 
 def fit(rows: DataFrame) -> tuple[float, ...]:
-    """Weights from the vote patterns of all rows with `_spans`. Patterns number 64 at most, so their
+    """Weights from the vote patterns of all rows with `_spans`. Patterns number 128 at most, so their
     counts may come to the driver."""
     s = rows.select(F.explode("_spans").alias("s")).groupBy("s.kind", "s.votes").count()
     return classifier(sorted((r["kind"], r["votes"], r["count"]) for r in s.collect()))
@@ -196,10 +207,13 @@ def accepted(spans: Column, weights: tuple[float, ...]) -> Column:
 
     def wanted(s: Column) -> Column:
         z = F.element_at(k, s["kind"] + 1)
-        for j, x in enumerate(weights[len(KINDS) :]):
+        for j, x in enumerate(weights[len(KINDS) : len(KINDS) + len(VOTES)]):
             z = z + F.when(s["votes"].bitwiseAND(F.lit(1 << j)) > 0, x).otherwise(0.0)
+        z = z + F.when(s["votes"].bitwiseAND(F.lit(LOOSE_BIT | 1)) == 0, weights[-1]).otherwise(0.0)
         apart = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return s["base"] | ((z >= 0) & (s["votes"].bitwiseAND(F.lit(14)) >= 10) & apart)
+        # at least two labelers besides the shape, the edges among them
+        agreed = (s["votes"] >= LOOSE_BIT) & (s["votes"].bitwiseAND(F.lit(14)) >= 10)
+        return s["base"] | ((z >= 0) & agreed & apart)
 
     return F.array_sort(F.transform(F.filter(spans, wanted), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
 
@@ -219,9 +233,9 @@ def found(rows: DataFrame, weights: tuple[float, ...]) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by its kind in angle brackets (spans that overlap, by
-    the kind of the first); n_chars, if there is such a column, follows. Null texts stay null."""
+    the kind of the first, of equal starts the longest); n_chars, if there is such a column, follows. Null texts stay null."""
     rows = candidates(docs)
-    spans = F.array_sort(F.transform(accepted(F.col("_spans"), fit(rows)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform(accepted(F.col("_spans"), fit(rows)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     text = F.col("text")
 

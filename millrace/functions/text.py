@@ -12,16 +12,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A number literal: sign, thousands separators, decimals, no letter or digit next to it.
-NUMBER = r"(?<![\w.])[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?![\w])"
-#: Phrases that try to instruct a reader of retrieved text.
+# The pattern of a number literal, the phrases that instruct a reader of retrieved text, and
+# the grammar of company and population mentions with the names that are none.
+NUMBER = r"(?<![0-9A-Za-z_.])-?(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?|\.\d+)(?![0-9A-Za-z_])"
 INSTRUCTIONS = (
-    r"ignore (?:all |any )?(?:the )?(?:previous|prior|above) instructions",
-    r"disregard (?:all |any )?(?:the )?(?:previous|prior|above)",
-    r"system prompt",
-    r"you are now",
-    r"act as (?:an?|the) ",
+    r"\bignore\s+(?:all\s+)?(?:previous|prior|above)\s+(?:instructions?|messages?)\b",
+    r"\b(?:reveal|print|show|repeat)\s+(?:the\s+)?system\s+prompt\b",
+    r"\b(?:system\s+prompt|developer\s+message)\b",
+    r"\b(?:call|invoke|use)\s+(?:the\s+)?(?:tool|function)\b",
+    r"\byou\s+are\s+(?:chatgpt|an?\s+assistant)\b",
 )
+COMPANY = r"(?:(?<=^)|(?<=[，。；、\s与和]))(?:查询|比较|请问|关于)?(?P<company>[一-鿿A-Za-z0-9]{2,20}?公司)"
+NO_COMPANY = ("我们公司", "我的公司", "本公司", "其他公司", "哪个公司")
+OPEN_COMPANY = r"[两多各几]家公司$"
+POPULATION = r"普通员工|管理人员|外包人员"
 
 
 def collapsed(text: Column) -> Column:
@@ -99,10 +103,10 @@ def backoff(attempt: Column, base: float, cap: float, saturation: int = 10) -> C
 
 
 def instruction_flags(text: Column) -> Column:
-    """Reasons not to trust a text: empty, instructing phrases (their numbers from 1), format characters."""
-    found = [F.when(text.rlike(f"(?iU){p}"), F.lit(f"instruction_{i}")) for i, p in enumerate(INSTRUCTIONS, 1)]
-    empty = F.when(F.length(F.trim(text)) == 0, F.lit("empty"))
-    return F.array_compact(F.array(empty, *found, F.when(text.rlike(r"\p{Cf}"), F.lit("format_character"))))
+    """Reasons to set a text aside: nothing to retrieve, invisible characters, instructing phrases."""
+    hidden, instructs = text.rlike(r"\p{Cf}"), text.rlike("(?iU)" + "|".join(INSTRUCTIONS))
+    empty = F.length(F.regexp_replace(text, r"(?U)\s", "")) == 0
+    return F.array_compact(F.array(F.when(empty, "no_retrievable_text"), F.when(hidden, "invisible_unicode"), F.when(instructs, "instruction_like_content")))
 
 
 def heading_bound(headings: Column, count: int = 16, chars: int = 128) -> Column:
@@ -186,8 +190,8 @@ LIMIT = 1e12
 
 
 def calculate(expression: str) -> float | None:
-    """The value of an arithmetic expression: + - * / // % ** and signs over numbers within LIMIT, powers
-    up to 64; None for anything else."""
+    """The value of an arithmetic expression: + - * / // % ** and signs over numbers within LIMIT; exponents
+    up to 100, or 40 if the base is over 1; None for anything else."""
 
     def value(node) -> float:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
@@ -198,7 +202,7 @@ def calculate(expression: str) -> float | None:
             out = _OPS[type(node.op)](value(node.left), value(node.right))
         elif isinstance(node, ast.BinOp) and isinstance(node.op, ast.Pow):
             a, b = value(node.left), value(node.right)
-            if abs(b) > 64 or (a and abs(b) * abs(math.log10(abs(a))) > 12.5):
+            if abs(b) > 100 or (b > 40 and abs(a) > 1):
                 raise ValueError("power out of range")
             out = a**b
         else:
@@ -227,3 +231,39 @@ _CLAUSE = re.compile(r"(?<!\d)[,;:，；：。！？!?]+|[,;:，；：。！？!
 def clauses(text: pd.Series) -> pd.Series:
     """Clauses between punctuation; a comma inside a number parts nothing."""
     return text.map(lambda x: None if x is None else [c.strip() for c in _CLAUSE.split(x) if c.strip()])
+
+
+def mentions(text: str) -> list[tuple[str, str, int, int, str]]:
+    """(field, value, start, end, status) of the companies and populations that a question names."""
+    out = []
+    for m in re.finditer(COMPANY, text):
+        name = m["company"]
+        if name not in NO_COMPANY:
+            out.append(("company", name, *m.span("company"), "unresolved" if re.search(OPEN_COMPANY, name) else "resolved"))
+    return out + [("population", m[0], *m.span(), "resolved") for m in re.finditer(POPULATION, text)]
+
+
+_MENTION = T.ArrayType(T.StructType().add("field", T.StringType()).add("value", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType()).add("status", T.StringType()))
+
+
+@F.pandas_udf(_MENTION)
+def mentioned(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else [dict(zip(("field", "value", "start", "end", "status"), m, strict=True)) for m in mentions(x)])
+
+
+def file_name(name: str) -> str | None:
+    """A name in composed form if it is one safe part of a path, else None."""
+    name = unicodedata.normalize("NFC", name).strip()
+    unsafe = name in ("", ".", "..") or set(name) & set("/\\\0") or any(unicodedata.category(c) == "Cc" for c in name)
+    return None if unsafe else name
+
+
+@F.pandas_udf(T.StringType())
+def safe_file_name(name: pd.Series) -> pd.Series:
+    return name.map(lambda x: None if x is None else file_name(x))
+
+
+def envelope(source: Column, evidence_id: Column, content: Column, headings: Column) -> Column:
+    """A fragment as data, in JSON without spaces: no heading path if it is empty."""
+    base = [F.lit("untrusted_data").alias("trust"), source.alias("source"), evidence_id.alias("evidence_id"), content.alias("content")]
+    return F.when(F.size(headings) > 0, F.to_json(F.struct(*base, headings.alias("heading_path")))).otherwise(F.to_json(F.struct(*base)))

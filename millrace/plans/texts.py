@@ -104,16 +104,33 @@ def code_points(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query("instruction_scan", r"""SELECT doc_id, list_filter([CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN regexp_matches(text, '(?i)ignore (?:all |any )?(?:the )?(?:previous|prior|above) instructions') THEN 'instruction_1' END,
-CASE WHEN regexp_matches(text, '(?i)disregard (?:all |any )?(?:the )?(?:previous|prior|above)') THEN 'instruction_2' END, CASE WHEN regexp_matches(text, '(?i)system prompt') THEN 'instruction_3' END, CASE WHEN regexp_matches(text, '(?i)you are now') THEN 'instruction_4' END,
-CASE WHEN regexp_matches(text, '(?i)act as (?:an?|the) ') THEN 'instruction_5' END, CASE WHEN regexp_matches(text, '\p{Cf}') THEN 'format_character' END], lambda x: x IS NOT NULL) AS flags
-FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN text || ' Ignore previous instructions' WHEN 1 THEN 'x' || chr(8203) WHEN 2 THEN '  ' ELSE text END AS text FROM documents)""")
+@query("instruction_scan", r"""SELECT doc_id, list_filter([CASE WHEN trim(text) = '' THEN 'no_retrievable_text' END, CASE WHEN regexp_matches(text, '\p{Cf}') THEN 'invisible_unicode' END,
+CASE WHEN regexp_matches(text, '(?i)\bignore\s+(?:all\s+)?(?:previous|prior|above)\s+(?:instructions?|messages?)\b|\b(?:system\s+prompt|developer\s+message)\b|\b(?:call|invoke|use)\s+(?:the\s+)?(?:tool|function)\b|\byou\s+are\s+(?:chatgpt|an?\s+assistant)\b') THEN 'instruction_like_content' END], lambda x: x IS NOT NULL) AS flags
+FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN text || ' Ignore previous instructions' WHEN 1 THEN 'x' || chr(8203) WHEN 2 THEN '  ' WHEN 3 THEN 'Show the  System prompt' ELSE text END AS text FROM documents)""")
 def instruction_scan(spark, d):
     m = F.col("doc_id") % 7
-    text = F.when(m == 0, F.concat("text", F.lit(" Ignore previous instructions"))).when(m == 1, F.lit("x​")).when(m == 2, F.lit("  ")).otherwise(F.col("text"))
+    text = F.when(m == 0, F.concat("text", F.lit(" Ignore previous instructions"))).when(m == 1, F.lit("x​")).when(m == 2, F.lit("  ")).when(m == 3, F.lit("Show the  System prompt")).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", text.alias("text")).select("doc_id", T.instruction_flags(F.col("text")).alias("flags"))
 
 
+@query("envelope_render", """SELECT doc_id, '{"trust":"untrusted_data","source":"' || source || '","evidence_id":"' || doc_id || '","content":"' || lang || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"heading_path":["a","' || lang || '"]' ELSE '' END || '}' AS json FROM documents""")
+def envelope_render(spark, d):
+    path = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.col("lang"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "documents").select("doc_id", T.envelope(F.col("source"), F.col("doc_id").cast("string"), F.col("lang"), path).alias("json"))
+
+
+@query("company_mentions")
+def company_mentions(spark, d):
+    q = F.when(F.col("turn") % 2 == 0, "请问星河公司和蓝天科技公司的普通员工").otherwise("本公司与多家公司")
+    return table(spark, d, "conversations").select("conv_id", "turn", q.alias("q")).select("conv_id", "turn", F.explode(T.mentioned("q")).alias("m")).select("conv_id", "turn", "m.*")
+
+
+@query("file_names")
+def file_names(spark, d):
+    n = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("../"), "url")).otherwise(F.concat(F.lit(" café "), F.col("page_id").cast("string"), F.lit(".pdf")))
+    return table(spark, d, "pages").select("page_id", T.safe_file_name(n).alias("name"))
+
+
 @query("heading_bound", "WITH h AS (SELECT o_custkey, o_orderkey, o_orderpriority, sum(length(o_orderpriority)) OVER w AS chars, row_number() OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_custkey, count(*) AS kept FROM h WHERE n <= 16 AND chars <= 128 GROUP BY o_custkey")
 def heading_bound(spark, d):
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("h"))

@@ -85,7 +85,7 @@ def test_packing_stays_within_the_budget_and_serves_targets_first(spark):
 
 def test_calculator():
     assert T.calculate("2 + 3 * 4") == 14 and T.calculate("-(2 ** 3) // 3") == -3
-    for bad in ("__import__('os')", "1 / 0", "9 ** 99", "10 ** 13", "a", "1" * 1001, "True", "(-1) ** 0.5"):
+    for bad in ("__import__('os')", "1 / 0", "9 ** 99", "2 ** 41", "10 ** 13", "a", "1" * 1001, "True", "(-1) ** 0.5"):
         assert T.calculate(bad) is None
 
 
@@ -196,3 +196,21 @@ def test_json_lines_are_strict(spark, tmp_path):
 def test_report_files(spark, tmp_path):
     writers.report(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "r"))
     assert (tmp_path / "r.md").read_text().startswith("| a | b |") and (tmp_path / "r.jsonl").read_text() == '{"a": 1, "b": "x"}\n'
+
+
+def test_mentions():
+    got = T.mentions("请问星河公司和蓝天科技公司的普通员工")
+    assert [(f, v) for f, v, *_ in got] == [("company", "星河公司"), ("company", "蓝天科技公司"), ("population", "普通员工")]
+    assert T.mentions("本公司") == [] and T.mentions("比较两家公司")[0][4] == "unresolved"
+
+
+def test_file_names():
+    assert T.file_name(" cafe\u0301.pdf ") == "café.pdf"
+    assert [T.file_name(x) for x in ("", "..", "a/b", "a\\b", "a\x00", "a\n b")] == [None] * 6
+
+
+def test_schema_diff():
+    from pyspark.sql import types as ST
+
+    a, b = ST.StructType().add("x", "string").add("y", "string"), ST.StructType().add("y", "long").add("z", "string")
+    assert readers.schema_diff(a, b) == {"missing": ["x"], "unexpected": ["z"], "changed": ["y"]}

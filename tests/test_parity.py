@@ -3,9 +3,9 @@
 import pytest
 from parity import both, views
 
-from millrace.plans import control, evaluation, flows, retrieval, texts
+from millrace.plans import control, evaluation, flows, questions, retrieval, texts
 
-MODULES = (control, evaluation, flows, retrieval, texts)
+MODULES = (control, evaluation, flows, questions, retrieval, texts)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
 

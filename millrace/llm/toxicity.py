@@ -25,7 +25,7 @@ from millrace.llm.shared import MARKS, held_out, mixed, span_hashes, steps, tabl
 ROWS, FOLD = 8192, 5
 #: Expressions (words, stems, pairs each) that the model keeps at most: the bound of what is broadcast.
 KEPT = 1 << 19
-STEM, DISCOUNT, STRONG = 4, 0.75, 2.0
+STEM, DISCOUNT, STRONG, RIDGE = 4, 0.75, 2.0, 2.0
 _PAIR = np.uint64(0xA0761D6478BD642F)
 
 
@@ -126,17 +126,17 @@ class Model:
         return out
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        """Logistic regression by Newton steps, with a small ridge."""
+        """Logistic regression by Newton steps, with a ridge that some dozens of rows outweigh."""
         if not len(y) or not 0 < y.sum() < len(y):
             self.weights = np.array([-4.0 if not y.sum() else 4.0, 0, 0, 0, 0]) if len(y) else np.array([-4.0, 0, 0, 0, 0])
             return
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale])
-        b = np.zeros(5)
+        b, ridge = np.zeros(5), RIDGE * np.diag([0.0, 1, 1, 1, 1])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-            g = z.T @ (weight * (y - p)) - 0.01 * b
-            h = (z * (weight * p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(5)
+            g = z.T @ (weight * (y - p)) - ridge @ b
+            h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge + 1e-6 * np.eye(5)
             step = np.linalg.solve(h, g)
             b = b + np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-6:

@@ -203,6 +203,8 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector: str = "e
     visitor = met.where("not member").withColumn("lot", lot(F.col("ol")))
     visitor = visitor.select("id", "n", "v", "cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("ml") - 1), lambda x: task(2, x, F.col("lot"), F.lit(True)))).alias("t"))
     tasks = member.union(visitor).select("id", "n", "v", "cell", "t.kind", "t.a", "t.b", "t.right")
+    # by all four: the rows come dealt by cell, which would keep a hot cell's tasks together
+    tasks = tasks.repartition("cell", "kind", "a", "b")
     found = written(tasks.groupBy("cell", "kind", "a", "b").applyInPandas(_pairs(grid, d), "id long, n long, to long"), "found")
     sums = found.groupBy("id").agg(F.sum("n").alias("more"))
     groups = components(found.select(F.col("id").alias("src"), F.col("to").alias("dst")))

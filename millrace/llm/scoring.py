@@ -28,6 +28,8 @@ from millrace.llm.shared import as_bytes, held_out, mixed, span_hashes, steps, t
 from millrace.llm.trie import NgramTrie
 
 BLOCK_TOKENS = 3 << 19
+#: Bytes of text whose words and pairs a shard owns, about; shards at least.
+SHARD_BYTES, LEAST_SHARDS = 6_000_000, 64
 DISCOUNT = 0.75
 #: Rows of the sample on which frequent contexts are found, besides one per shard.
 SAMPLE_ROWS = 4096
@@ -239,10 +241,9 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 _NULL_ID = -(1 << 63)
 
 
-def _hot(rows: DataFrame, shards: int) -> np.ndarray:
+def _hot(rows: DataFrame, n: int, shards: int) -> np.ndarray:
     """Sorted hashes of the contexts with over half a shard's share of the tokens of a sample; at most
     2 * shards of them, and the start of a text."""
-    n = rows.count()
     every = max(1, n // (SAMPLE_ROWS + shards))
 
     def run(batches):
@@ -273,8 +274,9 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     empty id. Repeated rows are trained on and scored each. With no training rows, every token is the
     unknown word with probability 1. Other columns of docs are ignored."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), modulus, remainder).alias("held"))
-    shards = max(16, 6 * rows.rdd.getNumPartitions())
-    hot = _hot(rows, shards)
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(LEAST_SHARDS, size // SHARD_BYTES)
+    hot = _hot(rows, n, shards)
     asked = rows.mapInArrow(_requests(shards, hot), _REQUEST)
     answers = written(asked.groupBy("shard").applyInPandas(_answer(hot), _ANSWER), "answers")
     sums = answers.where("block = -1").select(*(F.sum(F.element_at("stats", i + 1)).alias(x) for i, x in enumerate(("total", "types", "ones", "twos")))).first()

@@ -142,8 +142,7 @@ def _pairs(grid: Grid, d: int) -> Callable:
             elif kind == 2:
                 also = la[a : a + 512][:, cell // wide] + lb[a : a + 512][:, cell % wide] <= grid.reach
                 hit &= ~(also & (ids[right][None] > ids[i][:, None]))
-            close = hit
-            row, col = np.nonzero(close)
+            row, col = np.nonzero(hit)
             if len(row):
                 # near the bound, the sum in a fixed order decides
                 x, y = u[i[row]], u[right[col]]

@@ -64,6 +64,7 @@ class Page:
         odds: list[tuple[float, bool]] = [(0.0, False)]
         buffer: list[str] = []
         linked = in_link = count = 0
+        skipped, inside_skipped = "", 0  # a marked inline element: its text is left out
         at, n = 0, len(source)
 
         def flush() -> None:
@@ -81,7 +82,7 @@ class Page:
 
         def text(to: int) -> None:
             nonlocal linked
-            if to > at:
+            if to > at and not skipped:
                 piece = source[at:to]
                 piece = _html.unescape(piece) if "&" in piece else piece
                 buffer.append(piece)
@@ -104,6 +105,15 @@ class Page:
             name = (m[3] or "").lower()
             if not name:
                 continue
+            if skipped:
+                if name == skipped:
+                    inside_skipped += -1 if m[2] else 1
+                    if inside_skipped == 0:
+                        skipped = ""
+                    continue
+                if name in _INLINE:
+                    continue
+                skipped = ""  # it was never closed
             if m[2]:  # end tag
                 if name == "a":
                     in_link = 0
@@ -125,22 +135,19 @@ class Page:
             elif name == "br":
                 buffer.append(" ")
             if name in _INLINE:
-                if name not in ("span", "label"):
-                    continue
-                flagged = self._flags(name, m[4])
-                if flagged[0] != "bad":
-                    continue
-                # a marked span is a block of its own
+                if name == "span" and self._kind(name, m[4]) == "bad":
+                    skipped, inside_skipped = name, 1
+                continue
             flush()
             in_link = in_link if name == "a" else 0
             if name in _VOID:
                 continue
-            if name not in _INLINE and "p" in names and name not in ("p",) and names[-1] == "p" or name == "p" and names and names[-1] == "p":
+            if names and names[-1] == "p":  # a block ends an open paragraph
                 names.pop(), numbers.pop(), odds.pop()
             for other in _CLOSES.get(name, ()):
                 if names and names[-1] == other:
                     names.pop(), numbers.pop(), odds.pop()
-            kind, _ = self._flags(name, m[4])
+            kind = self._kind(name, m[4])
             value, inside = odds[-1]
             if kind == "bad" or name == "header" and not inside:
                 value = BOILERPLATE
@@ -155,27 +162,28 @@ class Page:
         flush()
 
     @staticmethod
-    def _flags(name: str, attributes: str) -> tuple[str, None]:
+    def _kind(name: str, attributes: str) -> str:
+        """bad, article, good or nothing, by the name and attributes of a container."""
         if name in _BAD_TAGS:
-            return "bad", None
+            return "bad"
         kind = "article" if name in ("article", "main") else ""
         if "=" in attributes or "hidden" in attributes:
             for a in _ATTR.finditer(attributes):
                 value = a[2] or a[3] or a[4] or ""
                 if a[1].lower() == "hidden":
-                    return "bad", None
+                    return "bad"
                 if a[1].lower() == "role":
                     if value.lower() in _BAD_ROLES:
-                        return "bad", None
+                        return "bad"
                     if value.lower() in ("main", "article"):
                         kind = "article"
                 else:
                     got = {x.lower() for x in _SPLIT.split(value)}
                     if got & _BAD_NAMES and name not in ("body", "html", "article", "main"):
-                        return "bad", None
+                        return "bad"
                     if got & _GOOD_NAMES and not kind:
                         kind = "good"
-        return kind, None
+        return kind
 
     def features(self) -> np.ndarray:
         """Per block: 1, log of words, share of linked characters, ends like a sentence, heading, short

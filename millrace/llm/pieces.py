@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import mixed, steps, table, text_bytes
+from millrace.llm.shared import _R, _R_INV, _power, mixed, steps, table, text_bytes
 
 #: The vocabulary file; the driver reads it and sends it to the workers (its size is fixed).
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -318,8 +318,6 @@ _HASH = mixed(np.arange(1, 0x110001, dtype=np.uint64))
 
 
 def _char_hashes(chars: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    from millrace.llm.shared import _R, _R_INV, _power
-
     pre = np.zeros(len(chars) + 1, np.uint64)
     np.cumsum(_HASH[chars] * _power(_R, len(chars)), out=pre[1:])
     return mixed((pre[end] - pre[begin]) * _power(_R_INV, len(chars))[begin] + (end - begin).astype(np.uint64))

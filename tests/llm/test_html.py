@@ -40,6 +40,11 @@ def test_broken_pages():
         assert html.main_text(odd) == ""
 
 
+def test_marked_spans_inside_a_paragraph():
+    assert html.main_text('<article><p>one <span class="ad">BUY <span>NOW</span></span> two <span>three</span>.</p><p>four.</p></article>') == "one two three.\n\nfour."
+    assert html.main_text('<article><p>one <span class="ad">BUY</p><p>two.</p></article>') == "one\n\ntwo."
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "old", 5), (1, "u", PAGE, "old", 5), (2, None, None, None, None), (None, "v", "", "", 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")

@@ -30,7 +30,8 @@ ADJACENT, SIBLING = 1.0, 0.6
 #: What containers add to the log odds of content; the classifier's own part stays within +-TEXT.
 ARTICLE, CONTENT, BOILERPLATE, TEXT = 3.0, 1.0, -8.0, 2.5
 
-_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+>|[^>]*>)|[!?/][^>]*>)")
+_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+>|[^>]*+>)|[!?/][^>]*+>)")
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _RAW = {k: re.compile(rf"</{k}\b[^>]*>?", re.I) for k in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "select", "math", "object", "canvas")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,6 +67,7 @@ class Page:
         linked = in_link = count = 0
         skipped, inside_skipped = "", 0  # a marked inline element: its text is left out
         at, n = 0, len(source)
+        last = source.rfind(">") + 1  # no tag ends behind it, so none is looked for there
 
         def flush() -> None:
             nonlocal linked
@@ -90,11 +92,11 @@ class Page:
                     linked += len(piece.strip())
 
         while at < n:
-            m = _TAG.search(source, at)
+            m = _TAG.search(source, at, last) if at < last else None
             if m is None:
-                cut = source.rfind("<", at)
                 # a tag that the end of the page cuts off is no text
-                text(cut if cut >= 0 and re.match(r"<[a-zA-Z/!?]", source[cut : cut + 2]) else n)
+                cut = _OPEN.search(source, at)
+                text(cut.start() if cut else n)
                 break
             text(m.start())
             at = m.end()

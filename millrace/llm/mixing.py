@@ -4,8 +4,9 @@ The mix is a row of slots, each of one block of `block` words. Slots get their s
 der Corput sequence: its points, one for each value below the number of slots, are mapped through the
 cumulative quotas of the sources, so every prefix of the schedule is close to the weights and the
 whole meets each quota exactly. Slots are ranked per source; slot r of a source takes block r of that
-source's shuffled documents laid end to end (and laid again for a second pass). Blocks join slots on
-(source, rank). Schedule and blocks are at most SLOTS rows and a row per document more.
+source's shuffled documents laid end to end (and laid again for a second pass). A source's last block
+ends where its target does, in words. Blocks join slots on (source, rank). The schedule is at most SLOTS
+rows and a row per source more, blocks a row per document more.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import WORD, table, written
 
-#: Slots of a schedule at most: the block grows with the corpus, the schedule doesn't.
+#: Whole slots of a schedule at most, besides the last, shorter one of each source: the block grows with
+#: the corpus, the schedule doesn't.
 SLOTS = 1 << 19
 #: Weights, dealt to sources in code-point order, repeating; words of the mix per word of the
 #: corpus; passes over a source at most.
@@ -62,12 +64,15 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
 
 
 def quotas(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, slots: int = SLOTS) -> DataFrame:
-    """targets() with `block`, the words in a block, and `quota`, the source's slots: target / block
-    rounded, and no more than its passes hold."""
+    """targets() with `block`, the words in a block, `end`, the target in whole words (one at least of a
+    positive target, and no more than its passes hold), and `quota`, the source's slots, the last of
+    which ends at `end`."""
     goals = targets(sizes, weights, share, passes)
     block = F.greatest(F.lit(1), F.ceil(F.sum("target").over(W.partitionBy()) / slots)).cast("long")
     goals = goals.withColumn("block", block)
-    return goals.withColumn("quota", F.least(F.round(F.col("target") / F.col("block")), F.ceil(F.col("source_size") * passes / F.col("block"))).cast("long"))
+    end = F.when(F.col("target") > 0, F.greatest(F.round("target"), F.lit(1.0))).otherwise(F.lit(0.0))
+    goals = goals.withColumn("end", F.least(end.cast("long"), F.col("source_size") * passes))
+    return goals.withColumn("quota", F.ceil(F.col("end") / F.col("block")).cast("long"))
 
 
 def schedule(goals: DataFrame) -> DataFrame:
@@ -121,19 +126,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     docs = written(docs.select("key", "source", F.col("size").cast("long").alias("size")), "sizes")
     goals = written(quotas(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, passes, slots), "goals")
     few = goals.count() <= BROADCAST_SOURCES
-    goal = goals.select(F.col("source").alias("_g"), "source_size", "target", "block")
+    goal = goals.select(F.col("source").alias("_g"), "source_size", "target", "block", "end")
     rows = shuffled(docs)
     rows = rows.join(F.broadcast(goal) if few else goal, _same(F.col("source"), F.col("_g"))).drop("_g")
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     rows = rows.withColumn("_from", F.col("at") + F.col("pass") * F.col("source_size"))
     first, last = F.floor(F.col("_from") / F.col("block")), F.floor((F.col("_from") + F.col("size") - 1) / F.col("block"))
     rows = rows.withColumn("_rank", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(None).cast("long")))))
-    of_block = F.least(F.col("_from") + F.col("size"), (F.col("_rank") + 1) * F.col("block")) - F.greatest(F.col("_from"), F.col("_rank") * F.col("block"))
+    of_block = F.least(F.col("_from") + F.col("size"), (F.col("_rank") + 1) * F.col("block"), F.col("end")) - F.greatest(F.col("_from"), F.col("_rank") * F.col("block"))
     plan = schedule(goals).select(F.col("source").alias("_s"), F.col("rank").alias("_k"), "slot")
-    rows = rows.withColumn("_words", of_block).join(plan, _same(F.col("source"), F.col("_s")) & (F.col("_rank") == F.col("_k")), "left")
-    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("_words"))), F.lit(0)).cast("long")
+    # a document behind the end of the last block has nothing of it
+    rows = rows.withColumn("_words", F.greatest(of_block, F.lit(0))).join(plan, _same(F.col("source"), F.col("_s")) & (F.col("_rank") == F.col("_k")), "left")
+    has = F.col("slot").isNotNull() & (F.col("_words") > 0)
+    taken = F.coalesce(F.sum(F.when(has, F.col("_words"))), F.lit(0)).cast("long")
     keys = ["key", "source", "size", "at", "source_size", "target", "pass"]
-    out = rows.groupBy(*keys).agg(taken.alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("_n"))
+    out = rows.groupBy(*keys).agg(taken.alias("taken"), F.min(F.when(has, F.col("slot"))).alias("first_slot"), F.count(F.lit(1)).alias("_n"))
     # rows without words have no place of their own in the order: equal ones met in one group
     return out.withColumn("_i", F.explode(F.when(F.col("size") == 0, F.sequence(F.lit(1).cast("long"), F.col("_n"))).otherwise(F.array(F.lit(1).cast("long"))))).drop("_i", "_n")
 

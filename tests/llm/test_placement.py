@@ -88,6 +88,21 @@ def test_mix_meets_targets_and_bounds(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_small_sources_keep_their_targets_under_large_blocks(spark):
+    # blocks of some 1,900 words: targets of 6, 1,600 and 3,200 words aren't whole blocks
+    rows = [(i, "big", 500) for i in range(40)] + [(100, "few", 3), (101, None, 4), (102, None, 700)] + [(110 + i, "mid", 100) for i in range(8)]
+    got = mixing.mix(docs(spark, rows), slots=16).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert (r["first_slot"] is None) == (r["taken"] == 0)
+    assert all(abs(taken[s] - t) <= 1 and taken[s] > 0 for s, t in target.items()), (taken, target)
+    # more sources than slots
+    many = mixing.mix(docs(spark, [(i, f"s{i}", 10) for i in range(50)]), slots=16).groupBy("source", "target").agg({"taken": "sum"}).collect()
+    assert len(many) == 50 and all(abs(r["sum(taken)"] - r["target"]) <= 1 for r in many)
+
+
 def test_waterfilling(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 10), (None, 100)], "source string, source_size long")
     t = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
@@ -66,15 +66,22 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     return fingerprints_of(np.concatenate(found) if found else np.zeros(0, np.uint64), np.array([len(x) for x in found], np.int64))
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, fingerprint: long, the 64 bits)."""
+def with_fingerprint(docs: DataFrame, marked: bool = False) -> DataFrame:
+    """docs(doc_id, text) to (doc_id, fingerprint: long, the 64 bits), and `mark`, that of the text, if asked for."""
+    names = ["doc_id", "fingerprint", *(["mark"] if marked else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = fingerprints(b.column(1))
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([_mark().alias("mark")] if marked else [])]
+    return docs.select(*cols).mapInArrow(run, "doc_id long, fingerprint long" + (", mark string" if marked else ""))
+
+
+def _mark() -> Column:
+    """What tells texts apart, whatever their ids."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
 
 # ---------------------------------------------------------------- the join within a trie
@@ -208,6 +215,12 @@ def links(marks: DataFrame) -> DataFrame:
     return rows.groupBy("k", "node", "p", "q").applyInPandas(run, "src long, dst long")
 
 
+def _rooted(ids: DataFrame) -> DataFrame:
+    """ids(fingerprint, least), distinct fingerprints, with `root`, the same for all that links join."""
+    found = components(links(ids.select("fingerprint", F.col("fingerprint").alias("id"))))
+    return ids.join(found, F.col("fingerprint") == F.col("id"), "left").select("fingerprint", "least", F.coalesce("component_id", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) to (doc_id, fingerprint, component_id): one row per row of docs.
 
@@ -217,8 +230,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null if it holds no other). Other columns of docs are ignored. An empty table gives no rows."""
     marks = written(with_fingerprint(docs), "marks")
     ids = written(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(ids.select("fingerprint", F.col("fingerprint").alias("id"))))
-    root = ids.join(found, F.col("fingerprint") == F.col("id"), "left").select("fingerprint", "least", F.coalesce("component_id", "fingerprint").alias("root"))
+    root = _rooted(ids)
     first = root.groupBy("root").agg(F.min("least").alias("component_id"))
     group = root.join(first, "root").select("fingerprint", "component_id")
     out = marks.join(group, "fingerprint")
@@ -227,12 +239,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates: the one whose doc_id is the component's id (of
-    repeated doc_ids, one row)."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    # both by _key: the documents move once
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    """One document of each group of near duplicates, whatever its id: the one with the least doc_id, null
+    last (of repeated doc_ids, one row). The survivor of a group is told by its id and text together."""
+    marks = written(with_fingerprint(docs, marked=True), "marks")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    ids = written(marks.groupBy("fingerprint").agg(F.min(row).alias("least")), "distinct")
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    kept = _rooted(ids).groupBy("root").agg(F.min("least").alias("least")).select(key(F.col("least.doc_id")).alias("_key"), F.col("least.mark").alias("_mark"))
+    # rows with equal keys have equal texts, so they are of one group; both by key: the documents move once
+    rows = docs.withColumn("_key", key(F.col("doc_id").cast("long"))).withColumn("_mark", _mark())
+    return rows.join(kept, ["_key", "_mark"], "left_semi").dropDuplicates(["_key", "_mark"]).drop("_key", "_mark")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

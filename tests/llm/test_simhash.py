@@ -83,6 +83,15 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in out) == [1, 2]
 
 
+def test_groups_without_ids_and_with_equal_ids_keep_one_each(spark):
+    lone = ["alone in this group of words", "nothing like the first text at all", "a third one stands apart here", None]
+    rows = [(None, t) for t in lone] + [(None, lone[0]), (7, "seven is the number of this text"), (7, "but this one has it as well"), (5, "linked by equal words"), (None, "linked by equal words")]
+    got = simhash.deduplicated(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, k string").repartition(3))
+    assert got.columns == ["doc_id", "text", "k"]
+    want = [(None, t) for t in lone] + [(7, "seven is the number of this text"), (7, "but this one has it as well"), (5, "linked by equal words")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_hot_blocks_are_cut_and_still_join(spark):
     rng = np.random.default_rng(4)
     f = np.unique(np.uint64(0xABCD) << np.uint64(48) | (np.uint64(1) << rng.integers(0, 40, 3000, dtype=np.uint64)) | (np.uint64(1) << rng.integers(0, 40, 3000, dtype=np.uint64)))

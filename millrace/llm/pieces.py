@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import _R, _R_INV, _power, mixed, steps, table, text_bytes
+from millrace.llm.shared import _R, _R_INV, _power, mapped, mixed, others, steps, table, text_bytes
 
 #: The vocabulary file; the driver reads it and sends it to the workers (its size is fixed).
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are cut into segments at once; characters of distinct segments indexed at once;
 #: characters of a segment beyond which its symbols are merged from a heap.
-BATCH, INDEXED, LONG = 4 << 20, 1 << 20, 192
+BATCH, INDEXED, LONG = 1 << 20, 1 << 18, 192
 SPACE = 0x2581
 NONE = np.int64(1) << 30
 
@@ -342,15 +342,17 @@ def _vocabulary(sent) -> Vocabulary:
 def encode(docs: DataFrame, column: str = "text", model: str = MODEL, check: bool = False) -> DataFrame:
     """docs with `ids` (array of int) and `n_ids` in place of `column`; check: also `round_trip`, whether
     decoding the ids gives the text. Null and empty texts have no ids (and do round-trip, as the empty
-    text). The space mark U+2581 in a text decodes as a space. Columns with these names are replaced."""
+    text). The space mark U+2581 in a text decodes as a space. Columns with these names are replaced, all
+    others stay, whatever their names; repeated rows are encoded each, an empty table gives no rows. Texts
+    are taken BATCH bytes at a time; one longer text needs some 60 bytes of memory for each of its own."""
     more = [("ids", T.ArrayType(T.IntegerType())), ("n_ids", T.IntegerType()), *([("round_trip", T.BooleanType())] if check else [])]
-    cols = [c for c in docs.columns if c not in (column, *(n for n, _ in more))]
+    cols = others(docs, column.lower(), *(n for n, _ in more))
     sent = _model(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(sent)
         for whole in batches:
-            data, offs = text_bytes(whole.column(0))
+            _, offs = text_bytes(whole.column(0))
             for i, j in steps(offs, BATCH):
                 b = whole.slice(i, j - i)
                 ids, n = v.encode(b.column(0))
@@ -362,28 +364,29 @@ def encode(docs: DataFrame, column: str = "text", model: str = MODEL, check: boo
                     out.append(pc.equal(was, back))
                 yield pa.record_batch(out, [*cols, *(n for n, _ in more)])
 
-    rows = docs.select(F.col(f"`{column}`").cast("string").alias("_text"), *(F.col(f"`{c}`") for c in cols))
-    schema = rows.drop("_text").schema
-    for n, kind in more:
-        schema = schema.add(n, kind)
-    return rows.mapInArrow(run, schema)
+    return mapped(docs, F.col(f"`{column}`").cast("string"), cols, run, more)
 
 
 def decode(rows: DataFrame, column: str = "ids", model: str = MODEL) -> DataFrame:
-    """rows with `text` in place of `column`, an array of ids; null ids give the empty text."""
-    cols = [c for c in rows.columns if c not in (column, "text")]
+    """rows with `text` in place of `column`, an array of ids; null and empty arrays give the empty text, a
+    null id among others has no text. A column named text is replaced, all others stay."""
+    cols = others(rows, column.lower(), "text")
     sent = _model(rows.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(sent)
-        for b in batches:
-            got = b.column(0)
-            n = pc.fill_null(pc.list_value_length(got), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = got.flatten().to_numpy(zero_copy_only=False)
-            yield pa.record_batch([*b.columns[1:], v.decode(ids, n)], [*cols, "text"])
-
-    picked = rows.select(F.col(f"`{column}`").cast("array<int>").alias("_ids"), *(F.col(f"`{c}`") for c in cols))
-    return picked.mapInArrow(run, picked.drop("_ids").schema.add("text", "string"))
+        for whole in batches:
+            size = pc.fill_null(pc.list_value_length(whole.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in steps(np.concatenate([[0], np.cumsum(size)]), BATCH // 4):
+                b = whole.slice(i, j - i)
+                flat, n = b.column(0).flatten(), size[i:j]
+                if flat.null_count:
+                    there = flat.is_valid().to_numpy(zero_copy_only=False)
+                    n = np.diff(np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(n)])])
+                    flat = flat.drop_null()
+                yield pa.record_batch([*b.columns[1:], v.decode(flat.to_numpy(zero_copy_only=False), n)], [*cols, "text"])
+
+    return mapped(rows, F.col(f"`{column}`").cast("array<int>"), cols, run, [("text", T.StringType())])
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters that separate words: space and U+0009 to U+000D.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -18,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text bytes that one vectorised step handles; bounds a worker's memory.
 STEP_BYTES = 2 << 20
+#: Bytes of an Arrow batch that Spark hands to a worker, about: bounds both sides' memory, however long the rows.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. A session without
-    one (a local test) gets a folder of its own."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. A local session (one
+    machine, as in tests) without it gets a folder of its own; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,6 +58,37 @@ def dropped(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spare(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores behind it as no column in `taken` has (names ignore case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but those named, whatever their case."""
+    return [c for c in df.columns if c.lower() not in names]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes where the session doesn't yet: a batch of long texts is as small as one
+    of short texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def mapped(df: DataFrame, value: Column, keep: list[str], run: Callable, more: list[tuple[str, T.DataType]]) -> DataFrame:
+    """mapInArrow over (value, *keep): run yields batches of the columns kept and `more`, by place."""
+    small_batches(df.sparkSession)
+    cols = [F.col(f"`{c}`") for c in keep]
+    schema = df.select(*cols).schema
+    for name, kind in more:
+        schema = schema.add(name, kind)
+    return df.select(value.alias(spare("value", keep)), *cols).mapInArrow(run, schema)
+
+
 def held_out(doc_id, modulus: int, remainder: int):
     """crc32 of doc_id as text, modulo modulus, is remainder; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
@@ -84,11 +121,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
+    """Powers of base below the n-th; those of usual steps are kept, longer ones (a long text's) are not."""
     got = _powers.get(str(base))
     if got is None or len(got) < n:
         x = np.full(max(n, 1 << 16), base, np.uint64)
         x[0] = 1
-        got = _powers[str(base)] = np.cumprod(x)
+        got = np.cumprod(x)
+        if n <= STEP_BYTES + (STEP_BYTES >> 1):
+            _powers[str(base)] = got
     return got[:n]
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
 from millrace.llm.shared import table, written
-from millrace.llm.simhash import _Sets
+from millrace.llm.simhash import roots
 from millrace.llm.vectors import matrix, unit, usable, width
 
 LEAST, RECALL = 0.9, 0.995
@@ -133,7 +133,7 @@ def _pairs(grid: Grid, d: int) -> Callable:
             la, lb = grid.excess(u[left])
             cell = grid.cells(*grid.excess(u[right]))
             wide = len(grid.books[1])
-        sums, sets = np.zeros(len(pdf), np.int64), _Sets(len(pdf))
+        sums, up = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
         for a in range(0, len(left), 512):
             i = left[a : a + 512]
             hit = u[i] @ u[right].T >= LEAST
@@ -151,12 +151,9 @@ def _pairs(grid: Grid, d: int) -> Callable:
                 row, col = row[ok], col[ok]
                 np.add.at(sums, i[row], m[right[col]])
                 np.add.at(sums, right[col], m[i[row]])
-                for p, q in zip(i[row].tolist(), right[col].tolist(), strict=True):
-                    if sets.up[p] != sets.up[q]:
-                        sets.link(p, q)
+                up = roots(len(up), up[i[row]], up[right[col]])[up]
         touched = np.flatnonzero(sums)
-        root = np.array([sets.find(int(x)) for x in touched], int)
-        return pd.DataFrame({"id": ids[touched], "n": sums[touched], "to": ids[root] if len(root) else np.zeros(0, np.int64)})
+        return pd.DataFrame({"id": ids[touched], "n": sums[touched], "to": ids[up[touched]]})
 
     return run
 

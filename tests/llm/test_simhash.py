@@ -44,20 +44,55 @@ def test_trie_join_links_what_pairs_would():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 48, 40, dtype=np.uint64)
     f = np.unique(np.concatenate([base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 48, (k, 40), dtype=np.uint64)) for k in (1, 2, 3, 4) for _ in range(8)]))
-    old, simhash.LEAF = simhash.LEAF, 4
-    try:
-        assert groups(len(f), simhash.trie_links(f)) == groups(len(f), close(f))
-        a, b = f[::2], f[1::2]
-        joined = np.concatenate([a, b])
-        across = simhash.trie_links(a, b)
-        want = [(i, len(a) + j) for i, j in close(a, b)]
-        mine, full = groups(len(joined), across), groups(len(joined), want)
-        for i, j in want:
-            assert mine[i] == mine[j]
-        for i, j in across:
-            assert full[i] == full[j]
-    finally:
-        simhash.LEAF = old
+    assert groups(len(f), zip(*simhash.trie_links(f), strict=True)) == groups(len(f), close(f))
+    a, b = f[::2], f[1::2]
+    across = list(zip(*simhash.trie_links(a, b), strict=True))
+    want = [(i, len(a) + j) for i, j in close(a, b)]
+    assert groups(len(f), across) == groups(len(f), want)
+
+
+def test_the_walk_leaves_most_pairs_out():
+    rng = np.random.default_rng(1)
+    f = np.unique(rng.integers(0, 1 << 48, 4000, dtype=np.uint64))
+    near = f[:50] ^ np.uint64(0b1011)
+    f, seen = np.unique(np.concatenate([f, near])), []
+    i, j = simhash.trie_links(f, seen=seen)
+    assert len(i) == 50 and (simhash._apart(f[i] ^ f[j]) == 3).all()
+    walked, compared = seen[0]
+    assert walked + compared < len(f) ** 2 / 2 / 5
+
+
+def test_blocks_lead_every_near_pair_to_a_common_node():
+    rng = np.random.default_rng(2)
+    f = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    for plan in (simhash.COARSE, simhash.FINE):
+        orders = simhash._orders(plan)
+        for x in f.tolist():
+            bits = rng.choice(64, 3, replace=False).tolist()
+            y = x ^ sum(1 << b for b in bits)
+            lead = lambda v, o: [v >> s & ((1 << w) - 1) for s, w in o[: plan[1]]]  # noqa: B023,E731
+            assert any(lead(x, o) == lead(y, o) for o in orders)
+            turned = simhash._turned(np.array([x, y], np.uint64), orders[-1])
+            assert simhash._apart(turned[:1] ^ turned[1:]).tolist() == [3]
+
+
+def test_both_plans_link_alike(spark):
+    from millrace.llm.graph import components
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    f = np.unique(np.concatenate([base, *(base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, 400), dtype=np.uint64)) for k in (1, 3, 4))]))
+    df = spark.createDataFrame([(int(x), int(x)) for x in f.view(np.int64)], "fingerprint long, id long")
+    at = {int(x): i for i, x in enumerate(f.view(np.int64))}
+    for plan in (simhash.COARSE, simhash.FINE):
+        got = components(simhash.links(df, plan)).collect()
+        assert groups(len(f), [(at[r["id"]], at[r["component_id"]]) for r in got]) == groups(len(f), close(f))
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "k", "m"), (2, "a b c", "k", "m")], "doc_id long, text string, key string, mark string")
+    out = simhash.deduplicated(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "a b c", "k", "m")]
 
 
 def test_components(spark):

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import table, written
+from millrace.llm.shared import spare, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, with possessive loops and a look behind so that long runs take linear time; they
@@ -50,17 +50,27 @@ def _found(text: Column, pattern: str, gate: Column) -> Column:
     return F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
 
 
-def _starts(text: Column, pattern: str, hits: Column) -> Column:
-    """0-based starts, in code points, of the matches `hits` of the pattern."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
-    pairs = F.slice(pairs, F.lit(1), F.size(hits))
+def _running(x: Column, add: Callable = lambda a, b: a + b) -> Column:
+    """Running sums (or what `add` makes) of an array, itself included: in steps that double, so that an array
+    of n takes n log n, not n * n."""
+
+    def step(acc: Column, k: Column) -> Column:
+        by = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda v, i: F.when(i < by, v).otherwise(add(v, F.element_at(acc, F.greatest(i - by + 1, F.lit(1))))))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(x), F.lit(1)))).cast("int")), x, step)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        return F.struct((at + F.length(x["hit"])).alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+def _before(x: Column, first: int) -> Column:
+    """An array moved by one place: the element before each, `first` for the first."""
+    return F.slice(F.concat(F.array(F.lit(first)), x), F.lit(1), F.size(x))
 
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<int>"))
+
+def _starts(text: Column, pattern: str, hits: Column) -> Column:
+    """0-based starts, in code points, of the matches `hits` of the pattern."""
+    size = F.transform(hits, lambda h: F.length(h))
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda g: F.length(g))
+    return F.when(F.size(hits) > 0, _running(F.zip_with(gaps, _before(size, 0), lambda g, h: g + h))).otherwise(F.array().cast("array<int>"))
 
 
 def _digits(s: Column) -> Column:
@@ -121,18 +131,19 @@ def _spans(text: Column, kind: str, hits: Column, starts: Column, base: bool) ->
 _SPAN = "array<struct<kind:int,start:int,end:int,base:boolean,votes:int>>"
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs with `_spans`, all candidates of the text (null: empty), base matches first."""
+def candidates(docs: DataFrame, name: str = "_spans") -> DataFrame:
+    """docs with `name` behind its columns: all candidates of the text (null: empty), base matches first."""
+    own = spare("_h", [c[:2] for c in docs.columns])
     t = F.coalesce(F.col("text"), F.lit(""))
     at, dots = t.contains("@"), t.rlike(r"[0-9]\.[0-9]")
     base = {"email": (EMAIL, at), "ip": (IP, dots), "card": (CARD, t.rlike(r"(?:[0-9][\x20-]?){15}[0-9]")), "phone": (PHONE, t.contains("+"))}
     loose = {"email": (LOOSE["email"], t.rlike(r"[\[({]at[\])}]")), "ip": (LOOSE["ip"], t.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]")), "card": (LOOSE["card"], dots), "phone": (LOOSE["phone"], t.rlike(r"[0-9]{3}[.-][0-9]{4}"))}
     cols = [f"`{c}`" for c in docs.columns]
-    every = [(f"_h{i}{k}", k, b, p, g) for i, (b, group) in enumerate(((True, base), (False, loose))) for k, (p, g) in group.items()]
+    every = [(f"{own}{i}{k}", k, b, p, g) for i, (b, group) in enumerate(((True, base), (False, loose))) for k, (p, g) in group.items()]
     rows = docs.select(*cols, *(_found(t, p, g).alias(n) for n, _, _, p, g in every))
     rows = rows.select(*cols, *(n for n, *_ in every), *(_starts(t, p, F.col(n)).alias(f"{n}s") for n, _, _, p, _ in every))
     spans = F.concat(*(_spans(t, k, F.col(n), F.col(f"{n}s"), b).cast(_SPAN) for n, k, b, _, _ in every))
-    return rows.select(*cols, spans.alias("_spans"))
+    return rows.select(*cols, spans.alias(name))
 
 
 def reliabilities(counts: list[tuple[int, int, int]], rounds: int = 50) -> dict[tuple[int, int], float]:
@@ -166,11 +177,11 @@ def reliabilities(counts: list[tuple[int, int, int]], rounds: int = 50) -> dict[
 
 
 def _active(k: int, v: int) -> list[int]:
-    """Features of a pattern: its kind, and for each vote its number; a shape that is voted down has one of
-    its own, after the others."""
+    """Features of a pattern: its kind, and for each vote its number; behind them, one for a shape that is
+    voted down and one for a shape labeler that abstains."""
     base = len(KINDS)
-    down = [] if v & LOOSE_BIT or v & 1 else [base + len(VOTES)]
-    return [k, *(base + j for j in range(len(VOTES)) if v >> j & 1), *down]
+    shape = [base + len(VOTES) + 1] if v & LOOSE_BIT else [] if v & 1 else [base + len(VOTES)]
+    return [k, *(base + j for j in range(len(VOTES)) if v >> j & 1), *shape]
 
 
 def classifier(counts: list[tuple[int, int, int]], steps: int = 600) -> tuple[float, ...]:
@@ -178,7 +189,7 @@ def classifier(counts: list[tuple[int, int, int]], steps: int = 600) -> tuple[fl
     reliabilities(), each pattern weighing the root of its number. Without a kind's spans its weight
     is 0."""
     soft = reliabilities(counts)
-    w = [0.0] * (len(KINDS) + len(VOTES) + 1)
+    w = [0.0] * (len(KINDS) + len(VOTES) + 2)
     weight = {(k, v): math.sqrt(n) for k, v, n in counts}
     total = sum(weight.values()) or 1.0
     for _ in range(steps):
@@ -209,11 +220,9 @@ def accepted(spans: Column, weights: tuple[float, ...]) -> Column:
         z = F.element_at(k, s["kind"] + 1)
         for j, x in enumerate(weights[len(KINDS) : len(KINDS) + len(VOTES)]):
             z = z + F.when(s["votes"].bitwiseAND(F.lit(1 << j)) > 0, x).otherwise(0.0)
-        z = z + F.when(s["votes"].bitwiseAND(F.lit(LOOSE_BIT | 1)) == 0, weights[-1]).otherwise(0.0)
+        z = z + F.when(s["votes"].bitwiseAND(F.lit(LOOSE_BIT)) > 0, weights[-1]).when(s["votes"].bitwiseAND(F.lit(1)) == 0, weights[-2]).otherwise(0.0)
         apart = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        # at least two labelers besides the shape, the edges among them
-        agreed = (s["votes"] >= LOOSE_BIT) & (s["votes"].bitwiseAND(F.lit(14)) >= 10)
-        return s["base"] | ((z >= 0) & agreed & apart)
+        return s["base"] | ((z >= 0) & apart)
 
     return F.array_sort(F.transform(F.filter(spans, wanted), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
 
@@ -233,21 +242,22 @@ def found(rows: DataFrame, weights: tuple[float, ...]) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by its kind in angle brackets (spans that overlap, by
-    the kind of the first, of equal starts the longest); n_chars, if there is such a column, follows. Null texts stay null."""
-    rows = candidates(docs)
-    spans = F.array_sort(F.transform(accepted(F.col("_spans"), fit(rows)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    the kind of the first, of equal starts the longest); n_chars, if there is such a column, follows. Null
+    texts stay null. All other columns stay, whatever their names; repeated rows are masked each, an empty
+    table gives no rows. The candidates are sought once: documents and spans are a table in between."""
+    cols, s, t = docs.columns, spare("spans", docs.columns), spare("masks", docs.columns)
+    rows = written(candidates(docs, s), "masking")
+    weights = fit(rows.select(F.col(s).alias("_spans")))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], out).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("_taken", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    cols = docs.columns
-    rows = rows.withColumn("_taken", spans)
-    out = rows.select(*(F.when(F.size("_taken") > 0, new).otherwise(text).alias(c) if c == "text" else F.col(f"`{c}`") for c in cols))
+    spans = F.array_sort(F.transform(accepted(F.col(s), weights), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("last"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    # each with the end of all before it: what starts earlier is part of an earlier span
+    ends = _running(F.transform(F.col(t), lambda x: x["end"]), F.greatest)
+    pairs = F.filter(F.arrays_zip(F.col(t).alias("span"), _before(ends, 0).alias("at")), lambda p: p["span"]["start"] >= p["at"])
+    parts = F.transform(pairs, lambda p: F.concat(F.substring(text, p["at"] + 1, p["span"]["start"] - p["at"]), F.element_at(names, p["span"]["kind"] + 1)))
+    new = F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(F.transform(F.col(t), lambda x: x["end"])) + 1, F.length(text)))
+    rows = rows.select(*(F.col(f"`{c}`") for c in cols), spans.alias(t))
+    out = rows.select(*(F.when(F.size(t) > 0, new).otherwise(text).alias(c) if c == "text" else F.col(f"`{c}`") for c in cols))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cols else out
 
 

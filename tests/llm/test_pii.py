@@ -30,7 +30,7 @@ def frame(spark):
 
 def test_base_spans_are_those_of_the_plain_patterns(spark):
     rows = pii.candidates(frame(spark).select("doc_id", "text"))
-    for r in pii.found(rows, (0.0,) * 9).collect():
+    for r in pii.found(rows, (0.0,) * 10).collect():
         want = spans(TEXTS[r["doc_id"]])
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), (TEXTS[r["doc_id"]] or "")[:60]
@@ -53,7 +53,7 @@ def test_unlikely_spans_stay_out(spark):
 def test_expectation_maximisation_tells_reliable_labelers():
     got = pii.reliabilities([(0, 15, 500), (0, 7, 80), (0, 0, 400), (0, 4, 90), (0, 30, 20), (0, 20, 20)])
     assert got[0, 15] > 0.95 and got[0, 0] < 0.05 and got[0, 30] > 0.8 > got[0, 4] and got[0, 20] < 0.5
-    assert pii.reliabilities([]) == {} and pii.classifier([]) == (0.0,) * 9
+    assert pii.reliabilities([]) == {} and pii.classifier([]) == (0.0,) * 10
 
 
 def test_masking(spark):
@@ -72,3 +72,22 @@ def test_overlapping_spans_are_masked_once(spark):
 def test_no_rows(spark):
     rows = pii.candidates(frame(spark).select("doc_id", "text").limit(0))
     assert pii.found(rows, pii.fit(rows)).count() == 0
+
+
+def test_the_trained_weights_alone_decide(spark):
+    """Labelers taken for the reverse of what they are add other spans."""
+    rows = pii.candidates(frame(spark).select("doc_id", "text"))
+    weights = pii.fit(rows)
+    mine, turned = ({r["doc_id"]: r["spans"] for r in pii.found(rows, w).collect()} for w in (weights, tuple(-x for x in weights)))
+    assert mine[11] == "phone:11:25" and turned[11] == ""
+    never = pii.found(rows, (-99.0,) * 4 + (0.0,) * 6).collect()
+    assert all(r["spans"].count(":") == 2 * sum(r[f"n_{k}"] for k in BASE) for r in never)
+
+
+def test_many_matches_in_one_text(spark):
+    text = "a@b.co é " * 6000
+    df = spark.createDataFrame([(1, text, "x", "y", "z")], "doc_id long, text string, spans string, _h0email string, masks string")
+    got = pii.found(pii.candidates(df.select("doc_id", "text")), (0.0,) * 10).first()
+    assert got["n_email"] == 6000 and got["spans"].endswith(f"email:{9 * 5999}:{9 * 5999 + 6}")
+    out = pii.masked(df).first()
+    assert out["text"] == "<EMAIL> é " * 6000 and (out["spans"], out["_h0email"], out["masks"]) == ("x", "y", "z")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import WORD, table, written
+from millrace.llm.shared import WORD, spare, table, written
 
 #: Whole slots of a schedule at most, besides the last, shorter one of each source: the block grows with
 #: the corpus, the schedule doesn't.
@@ -27,8 +27,9 @@ SLOTS = 1 << 19
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
 #: Sources up to which their goals are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
-#: Ranges of the shuffle order within a source: a source's documents are never sorted in one task.
-RANGES = 4096
+#: Rows in a range of the shuffle order, about, were all of one source: a source's documents are never sorted
+#: in one task.
+RANGE = 1 << 14
 
 
 def n_words(text: Column) -> Column:
@@ -46,7 +47,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
     Sources share `share` times all words by weight; a target stops at `passes` times its source's
     words and the excess goes to the others by weight. In order of words per weight, the first k
     sources that stop leave a common level for the rest; the first k whose level stops no further
-    source is the answer. Null is a source of its own, the last. No words give targets of 0."""
+    source is the answer. Null is a source of its own, the last. No words give targets of 0. The sums run
+    over one row per source in one task, which is fine for some millions of sources."""
     one = W.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.row_number().over(one) - 1, F.lit(len(weights))) + 1).cast("int"))
     rows = sizes.withColumn("weight", w).withColumn("top", F.col("source_size").cast("double") * passes)
@@ -101,12 +103,12 @@ def schedule(goals: DataFrame) -> DataFrame:
     return rows.select("source", rank.alias("rank"), "slot")
 
 
-def shuffled(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def shuffled(docs: DataFrame, ranges: int) -> DataFrame:
     """docs(key, source, size, ...) with `at`, the words of the same source before it, in an order
     given by a hash of the key (ties by size). Sums per range of hashes are joined back, so a source
     with a third of all rows is spread over many tasks."""
     rows = docs.withColumn("_h", F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("_range", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int") % ranges)
+    rows = rows.withColumn("_range", F.shiftright(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.lit(ranges), 32))
     sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("n"))
     before = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
@@ -127,7 +129,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     goals = written(quotas(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, passes, slots), "goals")
     few = goals.count() <= BROADCAST_SOURCES
     goal = goals.select(F.col("source").alias("_g"), "source_size", "target", "block", "end")
-    rows = shuffled(docs)
+    rows = shuffled(docs, min(1 << 20, max(64, docs.count() // RANGE)))
     rows = rows.join(F.broadcast(goal) if few else goal, _same(F.col("source"), F.col("_g"))).drop("_g")
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     rows = rows.withColumn("_from", F.col("at") + F.col("pass") * F.col("source_size"))
@@ -147,18 +149,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
     """The rows of the mix with all columns of docs (doc_id, text, source, ... as documents): a row for
-    each document and pass with words in the mix. The one document per source and pass at which the
-    quota ends is cut after its last word taken; its n_chars, if there is such a column, follows."""
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text", "source").cast("string"))
+    each document and pass with words in the mix. Documents come whole and unchanged: the one per source at
+    which its target ends brings all its words. Rows that are equal in all columns are taken as often as
+    their number says; rows that differ in any column stay apart. Null texts have no words and are not
+    taken; an empty table gives no rows. Columns may have any names but those of maps and variants."""
     cols = docs.columns
+    k, n = spare("key", cols), spare("times", cols)
+    every = [x for c in cols for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    key = F.concat_ws(":", F.xxhash64(*every).cast("string"), F.xxhash64(F.lit(1), *every).cast("string"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in cols), key.alias(k))
     slim = docs.select(key.alias("key"), "source", n_words(F.col("text")).alias("size"))
-    takes = mix(slim, weights, share, passes).where("taken > 0").groupBy("key").agg(F.collect_list(F.struct("pass", "taken", "size")).alias("_takes"))
-    rows = docs.withColumn("_key", key).groupBy("_key").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in cols))).alias("_row"))
-    rows = rows.join(takes, F.col("_key") == F.col("key")).select("_row", F.explode("_takes").alias("_take"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take.taken").cast("int")), " ")
-    text = F.when(F.col("_take.taken") < F.col("_take.size"), cut).otherwise(F.col("_row.text"))
-    out = rows.select(*(text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in cols))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cols else out
+    takes = mix(slim, weights, share, passes).where("taken > 0").groupBy("key").agg(F.count(F.lit(1)).alias(n)).withColumnRenamed("key", k)
+    rows = rows.dropDuplicates([k]).join(takes, k)
+    again = spare("again", [*cols, k, n])
+    return rows.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*(F.col(f"`{c}`") for c in cols))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,16 +174,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
-#: The same rows in closed form: a source takes a prefix of `quota * block` words of its passes.
-ORACLE_SQL = f"""
+#: The same rows in closed form: a source takes a prefix of as many words of its passes as its target says.
+ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 2.0 * source_size AS top FROM s),
 o AS (SELECT *, (sum(source_size::DOUBLE) OVER () * 1.5 - coalesce(sum(top) OVER (ORDER BY top / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
         / sum(weight) OVER (ORDER BY top / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 g AS (SELECT source, source_size, least(coalesce((SELECT min_by(level, top / weight) FROM o WHERE level * weight <= top), 'inf'::DOUBLE) * weight, top) AS target FROM o),
-b AS (SELECT *, greatest(1, ceil(sum(target) OVER () / {SLOTS})) AS block FROM g),
-q AS (SELECT *, least(round(target / block), ceil(source_size * 2 / block)) * block AS upto FROM b),
+q AS (SELECT *, CASE WHEN target > 0 THEN least(greatest(round(target), 1), source_size * 2) ELSE 0 END AS upto FROM g),
 a AS (SELECT d.*, q.source_size, q.target, q.upto, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
       FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, source, size, source_size, target,

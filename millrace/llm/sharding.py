@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import table
+from millrace.llm.shared import others, spare, table
 
 #: Slots: a prime, and over 100 times the shards used here, so that shares differ by a percent or so.
 SLOTS = 65_537
@@ -55,18 +55,16 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 def place(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """df with `slot` and `shard`. Rows with equal keys share a shard; null keys have one of their
-    own. Columns of df named slot or shard are replaced. An empty table gives an empty one. The
+    own. Columns of df named slot or shard are replaced, all others stay, whatever their names; repeated
+    rows are placed each. An empty table gives an empty one. The
     table of slots is broadcast: its size is fixed by the parameter and doesn't grow with df."""
-    owners = lookup_table(shards, slots)
-    names = list(shards)
-    spark, names = df.sparkSession, list(shards)
-    rows = spark.createDataFrame(pd.DataFrame({"_slot": range(slots), "_shard": [names[i] for i in owners]}))
-    kept = [c for c in df.columns if c not in ("slot", "shard")]
-    return (
-        df.select(*(F.col(f"`{c}`") for c in kept), slot_of(F.col(f"`{key}`"), slots).alias("slot"))
-        .join(F.broadcast(rows), F.col("slot") == F.col("_slot"), "left")
-        .select(*(F.col(f"`{c}`") for c in kept), "slot", F.col("_shard").alias("shard"))
-    )
+    owners, names = lookup_table(shards, slots), list(shards)
+    kept = others(df, "slot", "shard")
+    at, owner = spare("at", df.columns), spare("owner", df.columns)
+    rows = df.sparkSession.createDataFrame(pd.DataFrame({at: range(slots), owner: [names[i] for i in owners]}))
+    cols = [F.col(f"`{c}`") for c in kept]
+    placed = df.select(*cols, slot_of(F.col(f"`{key}`"), slots).alias("slot")).join(F.broadcast(rows), F.col("slot") == F.col(at), "left")
+    return placed.select(*cols, "slot", F.col(owner).alias("shard"))
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, files: int = 4) -> None:

@@ -204,6 +204,20 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     return mapped(docs, F.col("text").cast("string"), cols, run, [("score", T.DoubleType()), ("predicted", T.IntegerType())])
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs(text, ...) that the model doesn't reject, with all their columns, whatever their
+    names. Null and empty texts are judged like any other; repeated rows go or stay together."""
+    cols = docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = b.filter(pa.array(sent.value.scores(b.column(0)) < 0.5))
+            yield pa.record_batch(kept.columns[1:], cols)
+
+    return mapped(docs, F.col("text").cast("string"), cols, run, [])
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; held out: crc32 of the id mod 5 is 0."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")

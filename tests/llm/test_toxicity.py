@@ -52,6 +52,8 @@ def test_odd_rows(spark):
     got = out.collect()
     assert len(got) == 5 and len({r["score"] for r in got if not (r["text"] or "").strip()}) == 1 and all(r["predicted"] == 0 for r in got)
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+    rows = spark.createDataFrame([(1, None, 9), (2, "grumble vileness snarling", 9), (2, "ame", 9)], "doc_id long, text string, score int")
+    assert sorted(str(tuple(r)) for r in toxicity.clean(rows, model).collect() if not r["text"] or "vile" not in r["text"]) == ["(1, None, 9)", "(2, 'ame', 9)"]
 
 
 def test_without_labels(spark):

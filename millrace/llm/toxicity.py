@@ -84,7 +84,7 @@ def log_ratios(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     stems = stems.crossJoin(sums(stems))  # with one row
     stems = stems.select("s", *(_smoothed(F.col(f"k{c}"), F.col(f"sum_{c}"), F.col(f"mass_{c}"), share).alias(f"s{c}") for c in "to"))
-    rows = ends.join(stems, "s").crossJoin(sums(ends))  # with one row
+    rows = ends.join(F.broadcast(stems), "s").crossJoin(sums(ends))  # with one row
     rows = rows.select("w", *(_smoothed(F.col(f"k{c}"), F.col(f"sum_{c}"), F.col(f"mass_{c}"), share * F.col(f"s{c}") / both("s")).alias(f"w{c}") for c in "to"))
     rows = written(rows, "words")
     joint = (F.col("t") + F.col("o")) / (F.col("nt") + F.col("no"))

@@ -52,12 +52,16 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda x: F.regexp_replace(x, ",", "").cast("decimal(38,10)")))
 
 
-def unsupported_numbers(answer: Column, sources: Column, calculated: Column) -> Column:
-    """Numbers of the answer that neither a source states nor a calculated value gives when rounded, half
-    up, to as many places as the literal has once trailing zeros go."""
-    # citation tags and list markers are no claims
-    clean = F.regexp_replace(F.regexp_replace(answer, r"\[\d+\]", " "), r"(?m)^\s*\d+[.)]\s", " ")
-    new = F.array_except(numbers(clean), numbers(sources))
+# A citation tag, and the number that leads a list item or a heading.
+CITATION, MARKER = r"\[cite:[^\]]+\]", r"(?m)^([ \t]*(?:#{1,6}[ \t]+)?)\d+[.)][ \t]+"
+
+
+def unsupported_numbers(answer: Column, sources: Column, calculated: Column, expressions: Column | None = None) -> Column:
+    """Numbers of the answer that neither a source nor a calculation's expression states, nor a calculated
+    value gives when rounded, half up, to as many places as the literal has once trailing zeros go. Citations
+    and the numbers of list items and headings are no claims."""
+    clean = F.regexp_replace(F.regexp_replace(answer, CITATION, ""), MARKER, "$1")
+    new = F.array_except(numbers(clean), numbers(sources if expressions is None else F.concat_ws(" ; ", sources, expressions)))
 
     def places(x: Column) -> Column:
         return F.length(F.regexp_extract(F.regexp_replace(x.cast("string"), r"0+$", ""), r"\.(\d*)$", 1))
@@ -149,34 +153,36 @@ def coordinates(text: Column) -> Column:
 
 # ---------------------------------------------------------------- in Python: no SQL form
 
+# Chinese digits, units and steps.
 _DIGITS = dict(zip("零一二三四五六七八九", range(10), strict=True)) | {"〇": 0, "两": 2}
 _UNITS = {"十": 10, "百": 100, "千": 1000}
 _BIG = {"万": 10**4, "亿": 10**8}
+_NUMERAL = {*_DIGITS, *_UNITS, *_BIG}
 
 
 def chinese_number(text: str) -> float | None:
-    """The value of a Chinese numeral with 十百千万亿, 点 and 负; None if it is none."""
+    """The value of a Chinese numeral with 十百千万亿, 点 and 负; digits alone are read as written. None if it
+    is none."""
     if text[:1] == "负":
         value = chinese_number(text[1:])
         return None if value is None else -value
-    whole, _, part = text.partition("点")
-    if not whole or ("点" in text and not part):
-        return None
-    total = section = digit = 0
-    for c in whole:
-        if c in _DIGITS:
-            digit = _DIGITS[c]
-        elif c in _UNITS:
-            section += (digit or (1 if c == "十" and not section else 0)) * _UNITS[c]
-            digit = 0
-        elif c in _BIG:
-            total = (total + section + digit) * _BIG[c] if c == "亿" else total + (section + digit) * _BIG[c]
-            section = digit = 0
-        else:
-            return None
-    if any(c not in _DIGITS for c in part):
+    whole, point, part = text.partition("点")
+    if not set(whole) - set(_BIG) or set(whole) - _NUMERAL or (point and not part) or set(part) - set(_DIGITS):
         return None
-    value = total + section + digit
+    if not set(whole) - set(_DIGITS):
+        value = int("".join(str(_DIGITS[c]) for c in whole))
+    else:
+        total = section = digit = 0
+        for i, c in enumerate(whole):
+            if c in _DIGITS:
+                digit = _DIGITS[c]
+            elif c in _UNITS:
+                section, digit = section + (digit or 1) * _UNITS[c], 0
+            else:
+                here = section + digit if i else 1
+                total = (total + here) * _BIG[c] if c == "亿" else total + here * _BIG[c]
+                section = digit = 0
+        value = total + section + digit
     return float(f"{value}.{''.join(str(_DIGITS[c]) for c in part)}") if part else float(value)
 
 
@@ -186,6 +192,7 @@ def chinese_numeral(text: pd.Series) -> pd.Series:
 
 
 _OPS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b, ast.FloorDiv: lambda a, b: a // b, ast.Mod: lambda a, b: a % b}
+# Fixed value: the bound of a calculation's numbers.
 LIMIT = 1e12
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators import metrics as M
+from millrace.operators.spans import containing
 from millrace.plans.base import table
 
 QUERIES, ORACLE = {}, {}
@@ -68,11 +69,11 @@ def fact_coverage(spark, d):
     return M.fact_coverage(hits, sets, "q", "item", "r", 6)
 
 
-@query("context_score", "SELECT d.doc_id, count(*) AS anchors FROM documents d JOIN benchmark b ON contains(left(d.text, 1200), left(b.text, 40)) GROUP BY d.doc_id")
+@query("context_score", "SELECT d.doc_id, count(*) AS anchors FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def context_score(spark, d):
-    b = table(spark, d, "benchmark").select(F.left("text", F.lit(40)).alias("anchor"))
-    docs = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(1200)).alias("context"))
-    return docs.join(F.broadcast(b), F.contains("context", "anchor")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("anchors"))  # a fixed table
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("anchor"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("context"))
+    return containing(docs, "doc_id", "context", b, "item_id", "anchor").groupBy("doc_id").agg(F.count(F.lit(1)).alias("anchors"))
 
 
 @query("round_gain", f"""WITH {_RANK}, c AS (SELECT h.q, (h.r - 1) // 4 AS stage, h.item FROM hits h JOIN rel ON rel.q = h.q AND rel.item = h.item), f AS (SELECT q, item, min(stage) AS stage FROM c GROUP BY ALL)
@@ -179,12 +180,12 @@ def routing_scorecard(spark, d):
     return c.select("grp", "n", *(F.round(x, 6).alias(x) for x in ("accuracy", "false_rate", "missed_rate")), F.when(F.col("n") < 100, "INCOMPLETE").when(ok, "PASS").otherwise("FAIL").alias("verdict"))
 
 
-@query("agent_diagnostics", """WITH t AS (SELECT o_custkey AS run, o_orderkey AS target, list_sort(list(DISTINCT l_partkey % 50)) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 200 GROUP BY ALL),
+@query("agent_diagnostics", """WITH t AS (SELECT o_custkey AS run, o_orderkey AS target, list_sort(list(DISTINCT l_partkey % 50)) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
 p AS (SELECT a.run, avg(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))) AS jaccard FROM t a JOIN t b ON a.run = b.run AND a.target < b.target GROUP BY a.run),
-q AS (SELECT o_custkey AS run, count(*) AS n, count(DISTINCT o_orderpriority) AS d FROM orders WHERE o_custkey < 200 GROUP BY ALL)
+q AS (SELECT o_custkey AS run, count(*) AS n, count(DISTINCT o_orderpriority) AS d FROM orders GROUP BY ALL)
 SELECT q.run, round((n - d) / n, 6) AS repeated, round(jaccard, 6) AS jaccard FROM q LEFT JOIN p ON p.run = q.run""")
 def agent_diagnostics(spark, d):
-    o = table(spark, d, "orders").where("o_custkey < 200").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("target"), "o_orderpriority")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("target"), "o_orderpriority")
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("target"), (F.col("l_partkey") % 50).alias("chunk"))
     t = o.join(li, "target").groupBy("run", "target").agg(F.collect_set("chunk").alias("s"))
     b = t.select(F.col("run").alias("r2"), F.col("target").alias("t2"), F.col("s").alias("s2"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
 from millrace.operators import research as R
@@ -24,9 +27,9 @@ def query(name, sql=None):
 @query("query_windowing")
 def query_windowing(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    docs = table(spark, d, "conversations").where("turn = 0").select("conv_id", F.col("text").alias("t"))
+    docs = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     rows = docs.withColumn("item_id", F.col("conv_id") % 40).join(b, "item_id")
-    return rows.select("conv_id", "item_id", R.windowed_score(R.shared_terms, 120)("q", "t").alias("score"))
+    return rows.select("conv_id", "turn", "item_id", R.windowed_score(R.shared_terms, 120)("q", "t").alias("score"))
 
 
 @query("hashed_embedding")
@@ -47,10 +50,10 @@ def query_compilation(spark, d):
     return chunks(spark, d).where(F.col("user_id").isin(*plan.scope) & F.col("child_id").cast("string").isin(*plan.documents)).select("child_id")
 
 
-@query("context_claims", """WITH c AS (SELECT o_custkey, o_orderkey, 1 + o_totalprice::BIGINT % 30 AS n FROM orders WHERE o_custkey < 300), f AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey ORDER BY n, o_orderkey) AS upto FROM c) SELECT o_custkey, count(*) FILTER (upto <= 64) AS kept FROM f GROUP BY o_custkey""".replace("o_totalprice::BIGINT", "floor(o_totalprice)::BIGINT"))
+@query("context_claims", """WITH c AS (SELECT o_custkey, o_orderkey, 1 + o_totalprice::BIGINT % 30 AS n FROM orders), f AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey ORDER BY n, o_orderkey) AS upto FROM c) SELECT o_custkey, count(*) FILTER (upto <= 64) AS kept FROM f GROUP BY o_custkey""".replace("o_totalprice::BIGINT", "floor(o_totalprice)::BIGINT"))
 def context_claims(spark, d):
     """Claims by rising size: the first that doesn't fit is followed by none that does."""
-    o = table(spark, d, "orders").where("o_custkey < 300")
+    o = table(spark, d, "orders")
     n = (1 + F.floor("o_totalprice") % 30).cast("int")
     claim = F.struct(n.alias("priority"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), F.repeat(F.lit("w "), n).alias("text"))
     g = o.groupBy("o_custkey").agg(F.collect_list(claim).alias("claims"))
@@ -63,14 +66,22 @@ def context_compaction(spark, d):
     return R.compacted(o, "o_custkey", "o_orderkey", "s", "o_orderpriority", 100).select("o_custkey", "o_orderkey", "keep")
 
 
-@query("greedy_cover")
+@query("greedy_cover", """WITH RECURSIVE r AS (SELECT l_orderkey, l_partkey % 100 AS a, l_partkey % 100 + l_quantity::BIGINT AS b, l_linenumber::BIGINT AS id FROM lineitem),
+t AS (SELECT l_orderkey, min(a) AS low, min(a) + 20 AS high FROM r GROUP BY l_orderkey),
+g AS (SELECT l_orderkey, low AS at, []::BIGINT[] AS ids FROM t
+  UNION ALL SELECT g.l_orderkey, max({'b': r.b, 'id': r.id}).b, any_value(g.ids) || [max({'b': r.b, 'id': r.id}).id] FROM g JOIN t ON t.l_orderkey = g.l_orderkey JOIN r ON r.l_orderkey = g.l_orderkey AND r.a <= g.at AND g.at < r.b WHERE g.at < t.high GROUP BY g.l_orderkey)
+SELECT t.l_orderkey, CASE WHEN max(g.at) >= any_value(t.high) THEN list_sort(list_distinct(max_by(g.ids, g.at))) ELSE [] END AS ids FROM t JOIN g ON g.l_orderkey = t.l_orderkey GROUP BY t.l_orderkey""")
 def greedy_cover(spark, d):
     r = F.struct((F.col("l_partkey") % 100).alias("start"), (F.col("l_partkey") % 100 + F.col("l_quantity").cast("long")).alias("end"), F.col("l_linenumber").cast("long").alias("id"))
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(r).alias("r"), F.min(F.col("l_partkey") % 100).alias("a"))
     return R.covered(g.withColumn("b", F.col("a") + 20), "l_orderkey", "a", "b", "r")
 
 
-@query("date_headings")
+@query("date_headings", """WITH b AS (SELECT p_partkey // 20 AS page, p_partkey AS block, p_partkey % 2 = 0 AS head, CASE WHEN p_partkey % 2 = 0 THEN 0.0 ELSE 300.0 + p_size % 3 END::DOUBLE AS l, (p_partkey // 2) % 10 * 30.0::DOUBLE AS t FROM part),
+p AS (SELECT d.page, d.block, h.block AS heading, d.l, round((least(d.t, h.t) + 12 - greatest(d.t, h.t)) / 12, 6) AS share, d.l - h.l - 100 AS gap FROM b d JOIN b h ON d.page = h.page AND NOT d.head AND h.head AND h.l + 100 <= d.l),
+q AS (SELECT *, row_number() OVER (PARTITION BY page, block ORDER BY share DESC, gap, heading) AS n, count(*) OVER (PARTITION BY page, block, share, gap) AS tie FROM p WHERE share >= 0.6),
+w AS (SELECT page, max(l + 100) - min(l) AS width FROM b GROUP BY page), s AS (SELECT * FROM q WHERE n = 1 AND tie = 1)
+SELECT s.page, s.block, s.heading FROM s JOIN w ON w.page = s.page JOIN s o ON o.page = s.page AND abs(s.l - o.l) <= greatest(1.0, w.width * 0.05) GROUP BY ALL HAVING count(DISTINCT o.heading) >= 2""")
 def date_headings(spark, d):
     p = table(spark, d, "part")
     kind = F.when(F.col("p_partkey") % 2 == 0, "heading").otherwise("date")
@@ -80,7 +91,12 @@ def date_headings(spark, d):
     return R.dates_beside_headings(b, "page", "block")
 
 
-@query("budget_admission")
+@query("budget_admission", """WITH RECURSIVE o AS (SELECT o_custkey AS build, o_orderkey AS "at", floor(o_totalprice)::BIGINT AS tokens, o_totalprice / 1000 AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+f AS (SELECT build, i, "at", tokens, cost, true AS admitted, 1 AS n, tokens AS t, cost AS c FROM o WHERE i = 1 AND tokens <= 1500000 AND cost <= 1200
+  UNION ALL SELECT build, i, "at", tokens, cost, false, 0, 0, 0.0 FROM o WHERE i = 1 AND NOT (tokens <= 1500000 AND cost <= 1200)
+  UNION ALL SELECT o.build, o.i, o."at", o.tokens, o.cost, f.n + 1 <= 8 AND f.t + o.tokens <= 1500000 AND f.c + o.cost <= 1200, f.n + (f.n + 1 <= 8 AND f.t + o.tokens <= 1500000 AND f.c + o.cost <= 1200)::INT,
+    f.t + CASE WHEN f.n + 1 <= 8 AND f.t + o.tokens <= 1500000 AND f.c + o.cost <= 1200 THEN o.tokens ELSE 0 END, f.c + CASE WHEN f.n + 1 <= 8 AND f.t + o.tokens <= 1500000 AND f.c + o.cost <= 1200 THEN o.cost ELSE 0 END
+  FROM f JOIN o ON o.build = f.build AND o.i = f.i + 1) SELECT build, "at", tokens, cost, admitted FROM f""")
 def budget_admission(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("build"), F.col("o_orderkey").alias("at"), F.col("o_totalprice").cast("long").alias("tokens"), (F.col("o_totalprice") / 1000).alias("cost"))
     return R.admitted(o, "build", "at", 8, 1_500_000, 1200.0)
@@ -94,9 +110,28 @@ def locator_authorization(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ok.alias("authorized"))
 
 
-@query("container_safety")
+def _container(*parts: tuple[str, str]) -> bytes:
+    """A container with such parts (name, text)."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts:
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+_PARTS = ("[Content_Types].xml", "<Types/>"), ("xl/workbook.xml", "<workbook/>")
+
+
+@query("container_safety", "SELECT page_id, [NULL, 'unsafe names', 'unsafe names', 'a part is missing', 'declares entities', 'nested container', 'too large', 'not a container'][(page_id % 8 + 1)::INT] AS problem FROM pages")
 def container_safety(spark, d):
-    return table(spark, d, "pages").select("page_id", readers.container_check(F.encode("html", "UTF-8")).alias("problem"))
+    """A sound container, six that aren't, and a page."""
+    extra = [None, ("../up.xml", ""), ("XL/workbook.xml", ""), None, ("xl/a.xml", '<!DOCTYPE a [<!ENTITY b "c">]>'), ("xl/in.xlsx", "x"), ("xl/big.txt", "0" * 5_000_000)]
+    made = [_container(*(_PARTS[:1] if i == 3 else _PARTS), *([x] if x else [])) for i, x in enumerate(extra)]
+    of = lambda i: F.col("page_id") % 8 == i
+    content = F.when(of(7), F.encode("html", "UTF-8"))
+    for i, x in enumerate(made):
+        content = content.when(of(i), F.lit(x))
+    return table(spark, d, "pages").select("page_id", readers.container_check(content).alias("problem"))
 
 
 @query("text_blocks", "SELECT conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x)), lambda x: x <> '')) AS blocks FROM conversations")

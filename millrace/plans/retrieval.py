@@ -101,7 +101,7 @@ _BIGRAM = f"list_filter(flatten(list_transform({_BI}, lambda t: list_transform(r
 WITH w AS (SELECT doc_id, 0 AS a, unnest({TERMS.format("text")}) AS term FROM documents UNION ALL SELECT doc_id, 1 AS a, unnest({_BIGRAM}) FROM documents),
 p AS (SELECT a, doc_id, term, count(*) AS tf FROM w GROUP BY ALL), l AS (SELECT a, doc_id, count(*) AS dl FROM w GROUP BY ALL),
 s AS (SELECT a, count(*) AS n, avg(dl) AS avgdl FROM l GROUP BY a), f AS (SELECT a, term, count(*) AS df FROM p GROUP BY ALL),
-b AS (SELECT * FROM benchmark WHERE item_id < 5),
+b AS (SELECT * FROM benchmark),
 q AS (SELECT DISTINCT item_id, 0 AS a, unnest({TERMS.format("text")}) AS term FROM b UNION ALL SELECT DISTINCT item_id, 1 AS a, unnest({_BIGRAM}) FROM b),
 m AS (SELECT a, q.item_id, p.doc_id AS child_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
   FROM p JOIN q USING (a, term) JOIN f USING (a, term) JOIN l USING (a, doc_id) JOIN s USING (a) GROUP BY ALL),
@@ -109,7 +109,7 @@ x AS (SELECT item_id, child_id, max(CASE a WHEN 1 THEN 2 * score ELSE score END)
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, child_id) AS lane_rank FROM x)
 SELECT item_id, child_id, round(score, 6) AS score, lane_rank FROM r WHERE lane_rank <= 10""")
 def bm25_best_fields(spark, d):
-    c, b = chunks(spark, d), table(spark, d, "benchmark").where("item_id < 5")
+    c, b = chunks(spark, d), table(spark, d, "benchmark")
     args = (c, b, "child_id", "text", "item_id", "text")
     hits = lanes.best_fields(lanes.bm25(*args, analyzer=lanes.bigrams), lanes.bm25(*args), ["item_id", "child_id"])
     out = lanes.ranked(hits, by=["item_id"], limit=10)
@@ -236,11 +236,11 @@ def fail_closed_missing(spark, d):
     return fusion.hydrated_or_none(asked, found)
 
 
-_BATCHES = "cand AS (SELECT l_partkey AS parent_id, l_suppkey % 4 AS version_id, l_linenumber AS batch, l_orderkey AS position, round(l_discount * 10 - l_tax, 4) AS score, l_suppkey AS document_id FROM lineitem WHERE l_orderkey < 3000)"
+_BATCHES = "cand AS (SELECT l_partkey AS parent_id, l_suppkey % 4 AS version_id, l_linenumber AS batch, l_orderkey AS position, round(l_discount * 10 - l_tax, 4) AS score, l_suppkey AS document_id FROM lineitem)"
 
 
 def _candidates(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 3000")
+    li = table(spark, d, "lineitem")
     return li.select(F.col("l_partkey").alias("parent_id"), (F.col("l_suppkey") % 4).alias("version_id"), F.col("l_linenumber").alias("batch"), F.col("l_orderkey").alias("position"), F.round(F.col("l_discount") * 10 - F.col("l_tax"), 4).alias("score"), F.col("l_suppkey").alias("document_id"))
 
 
@@ -310,5 +310,5 @@ def latest_per_group(spark, d):
 @query("greedy_packing")
 def greedy_packing(spark, d):
     """Evidence accepted greedily within a budget, target-first; order-dependent, so tested by brute force."""
-    c = chunks(spark, d).where("child_id < 600").select(F.col("user_id").alias("request"), "child_id", (F.col("child_id") % 3).alias("target"), F.col("text").alias("content"), (F.lit(1.0) / (F.col("child_id") + 1)).alias("score"), (F.col("child_id") % 7).alias("document_id"))
+    c = chunks(spark, d).select(F.col("user_id").alias("request"), "child_id", (F.col("child_id") % 3).alias("target"), F.col("text").alias("content"), (F.lit(1.0) / (F.col("child_id") + 1)).alias("score"), (F.col("child_id") % 7).alias("document_id"))
     return evidence.packed(c, "request").select("request", "child_id", "position", F.length("content").alias("n_chars"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import identity as I
 from millrace.functions import text as T
+from millrace.operators.spans import containing
 from millrace.plans.base import table
 
 QUERIES, ORACLE = {}, {}
@@ -31,9 +32,9 @@ def block_id(spark, d):
     return table(spark, d, "pages").select("page_id", I.unit_separated(F.lit("pages"), F.col("page_id").cast("string"), "url", length=24, prefix="blk_").alias("id"))
 
 
-@query("evidence_id", "SELECT l_orderkey, l_linenumber, substr(sha256(concat_ws(chr(31), l_orderkey::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, l_linenumber::VARCHAR)), 1, 32) AS id FROM lineitem WHERE l_orderkey < 2000")
+@query("evidence_id", "SELECT l_orderkey, l_linenumber, substr(sha256(concat_ws(chr(31), l_orderkey::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, l_linenumber::VARCHAR)), 1, 32) AS id FROM lineitem")
 def evidence_id(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000")
+    li = table(spark, d, "lineitem")
     return li.select("l_orderkey", "l_linenumber", I.unit_separated(*(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")), length=32).alias("id"))
 
 
@@ -48,25 +49,26 @@ def normalize_anchor(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.anchor_ascii(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("anchor"))
 
 
-@query("unicode_normalize")
+@query("unicode_normalize", r"SELECT item_id, replace(lower(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))), 'ß', 'ss') AS text FROM benchmark")
 def unicode_normalize(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.normalized("text").alias("text"))
 
 
-@query("literal_numbers", r"SELECT event_id, list_sort(list_distinct(list_transform(regexp_extract_all('at ' || value || ' of ' || event_id || ' in ' || props, '\d+(?:\.\d+)?'), lambda x: x::DECIMAL(38,10))))::VARCHAR[] AS numbers FROM events WHERE event_id < 3000")
+@query("literal_numbers", r"SELECT event_id, list_sort(list_distinct(list_transform(regexp_extract_all('at ' || value || ' of ' || event_id || ' in ' || props, '\d+(?:\.\d+)?'), lambda x: x::DECIMAL(38,10))))::VARCHAR[] AS numbers FROM events")
 def literal_numbers(spark, d):
-    e = table(spark, d, "events").where("event_id < 3000")
+    e = table(spark, d, "events")
     t = F.concat(F.lit("at "), F.col("value").cast("string"), F.lit(" of "), F.col("event_id").cast("string"), F.lit(" in "), F.col("props"))
     return e.select("event_id", F.transform(F.array_sort(T.numbers(t)), lambda x: x.cast("string")).alias("numbers"))
 
 
-@query("unsupported_numbers", "SELECT event_id, (round(value, 1) <> value)::INT AS n FROM events WHERE event_id BETWEEN 1 AND 3000")
+@query("unsupported_numbers", "SELECT event_id, (round(value, 1) <> value)::INT AS n FROM events")
 def unsupported_numbers(spark, d):
-    """An answer states value and event id; the source has the id and the calculation gives the value to one place."""
-    e = table(spark, d, "events").where("event_id BETWEEN 1 AND 3000")
-    answer = F.concat(F.lit("it is "), F.col("value").cast("string"), F.lit(" for "), F.col("event_id").cast("string"), F.lit(" [7]"))
+    """An answer states value, event id and an operand, below a numbered heading and with a citation; the source
+    has the id, the expression the operand, and the calculation gives the value to one place."""
+    e = table(spark, d, "events")
+    answer = F.concat(F.lit("## 94. It is "), F.col("value").cast("string"), F.lit(" for "), F.col("event_id").cast("string"), F.lit(" [cite:77], by 0.125\n95) done"))
     calc = F.array(F.round("value", 1).cast("double"))
-    return e.select("event_id", F.size(T.unsupported_numbers(answer, F.col("event_id").cast("string"), calc)).alias("n"))
+    return e.select("event_id", F.size(T.unsupported_numbers(answer, F.col("event_id").cast("string"), calc, F.lit("0.125 * 8"))).alias("n"))
 
 
 @query("sentence_split", r"SELECT conv_id, turn, len(regexp_extract_all(text, '[^。！？\n]+[。！？\n]*')) AS n, md5(array_to_string(regexp_extract_all(text, '[^。！？\n]+[。！？\n]*'), '|')) AS h FROM conversations")
@@ -78,8 +80,7 @@ def sentence_split(spark, d):
 @query("span_resolve", "WITH m AS (SELECT d.doc_id, b.item_id, strpos(d.text, b.text) AS pos, strpos(substr(d.text, strpos(d.text, b.text) + 1), b.text) AS again FROM documents d, benchmark b WHERE strpos(d.text, b.text) > 0) SELECT doc_id, item_id, pos - 1 AS start FROM m WHERE again = 0")
 def span_resolve(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("part"))
-    # the passages are a fixed table of known size
-    rows = table(spark, d, "documents").join(F.broadcast(b), F.contains("text", "part"))
+    rows = containing(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", b, "item_id", "part")
     return rows.select("doc_id", "item_id", T.unique_place(F.col("text"), F.col("part")).cast("long").alias("start")).where("start is not null")
 
 
@@ -119,13 +120,14 @@ def envelope_render(spark, d):
     return table(spark, d, "documents").select("doc_id", T.envelope(F.col("source"), F.col("doc_id").cast("string"), F.col("lang"), path).alias("json"))
 
 
-@query("company_mentions")
+@query("company_mentions", """WITH m(odd, field, value, start, "end", status) AS (VALUES (0, 'company', '星河公司', 2, 6, 'resolved'), (0, 'company', '蓝天科技公司', 7, 13, 'resolved'), (0, 'population', '普通员工', 14, 18, 'resolved'), (1, 'company', '本公司与多家公司', 0, 8, 'unresolved'))
+SELECT conv_id, turn, field, value, start, "end", status FROM conversations JOIN m ON turn % 2 = odd""")
 def company_mentions(spark, d):
     q = F.when(F.col("turn") % 2 == 0, "请问星河公司和蓝天科技公司的普通员工").otherwise("本公司与多家公司")
     return table(spark, d, "conversations").select("conv_id", "turn", q.alias("q")).select("conv_id", "turn", F.explode(T.mentioned("q")).alias("m")).select("conv_id", "turn", "m.*")
 
 
-@query("file_names")
+@query("file_names", "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'café ' || page_id || '.pdf' END AS name FROM pages")
 def file_names(spark, d):
     n = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("../"), "url")).otherwise(F.concat(F.lit(" café "), F.col("page_id").cast("string"), F.lit(".pdf")))
     return table(spark, d, "pages").select("page_id", T.safe_file_name(n).alias("name"))
@@ -142,11 +144,11 @@ def log_detector(spark, d):
     return table(spark, d, "events").select("event_id", T.is_log(F.concat(F.upper("event_type"), F.lit(" x"))).alias("is_log"))
 
 
-@query("mime_sniff", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/zip' WHEN 2 THEN 'text/plain' ELSE 'application/octet-stream' END AS mime FROM lineitem WHERE l_orderkey < 1000")
+@query("mime_sniff", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/zip' WHEN 2 THEN 'text/plain' ELSE 'application/octet-stream' END AS mime FROM lineitem")
 def mime_sniff(spark, d):
     m = F.col("l_linenumber") % 4
     body = F.when(m == 0, F.unhex(F.lit("255044462D312E37"))).when(m == 1, F.unhex(F.lit("504B030414000600"))).when(m == 2, F.encode(F.lit("plain\ttext\n"), "UTF-8")).otherwise(F.unhex(F.lit("00010203FFFE")))
-    return table(spark, d, "lineitem").where("l_orderkey < 1000").select("l_orderkey", "l_linenumber", T.sniffed_type(body).alias("mime"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.sniffed_type(body).alias("mime"))
 
 
 @query("coordinates", "SELECT c_custkey, CASE WHEN c_acctbal / 20 BETWEEN -180 AND 180 AND c_nationkey * 8.0 - 60 <= 90 THEN round(c_acctbal / 20, 4) END AS lon FROM customer")
@@ -179,13 +181,16 @@ def attribute_sanitizing(spark, d):
     return table(spark, d, "events").select("event_id", F.when(p["k"].between(0, 50), p["k"]).alias("k"), F.when(F.col("event_type").isin("view", "click", "purchase"), F.col("event_type")).alias("kind"))
 
 
-@query("chinese_numerals")
+_NUMERALS = {"三": 3, "十五": 15, "二百零四": 204, "一千二百": 1200, "三万五千": 35000, "一亿零二": 100000002, "负二点五": -2.5, "x": None, "二〇二四": 2024, "一百十": 110, "三万五": 30005, "两亿三千万": 230000000, "万": None}
+
+
+@query("chinese_numerals", "WITH n(i, numeral, value) AS (VALUES " + ", ".join(f"({i}, '{k}', {'NULL' if v is None else float(v)}::DOUBLE)" for i, (k, v) in enumerate(_NUMERALS.items())) + f") SELECT event_id, numeral, n.value FROM events JOIN n ON event_id % {len(_NUMERALS)} = i")
 def chinese_numerals(spark, d):
-    words = F.array(*(F.lit(x) for x in ("三", "十五", "二百零四", "一千二百", "三万五千", "一亿零二", "负二点五", "x")))
-    return table(spark, d, "events").select("event_id", F.element_at(words, (F.col("event_id") % 8 + 1).cast("int")).alias("numeral")).withColumn("value", T.chinese_numeral("numeral"))
+    words = F.array(*(F.lit(x) for x in _NUMERALS))
+    return table(spark, d, "events").select("event_id", F.element_at(words, (F.col("event_id") % len(_NUMERALS) + 1).cast("int")).alias("numeral")).withColumn("value", T.chinese_numeral("numeral"))
 
 
-@query("safe_calculator")
+@query("safe_calculator", "SELECT event_id, value || ' * (2 + ' || user_id || ') ** 2 // 3' AS expression, floor(value * ((2 + user_id) * (2 + user_id)) / 3) AS value FROM events")
 def safe_calculator(spark, d):
     e = F.concat(F.col("value").cast("string"), F.lit(" * (2 + "), F.col("user_id").cast("string"), F.lit(") ** 2 // 3"))
     return table(spark, d, "events").select("event_id", e.alias("expression")).withColumn("value", T.calculator("expression"))

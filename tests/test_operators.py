@@ -90,13 +90,13 @@ def test_calculator():
 
 
 def test_chinese_numerals():
-    cases = {"十": 10, "二十一": 21, "一百零五": 105, "三千二百": 3200, "十二万": 120000, "一亿零三": 100000003, "负三点一四": -3.14, "苹果": None, "": None}
+    cases = {"十": 10, "二十一": 21, "一百零五": 105, "三千二百": 3200, "十二万": 120000, "一亿零三": 100000003, "负三点一四": -3.14, "苹果": None, "": None, "二〇二四": 2024, "一百十": 110, "三万五": 30005, "万": None, "十五点": None, "负": None}
     assert {k: T.chinese_number(k) for k in cases} == cases
 
 
 def test_numbers_round_half_up(spark):
     row = lambda a, s, c: spark.range(1).select(T.unsupported_numbers(F.lit(a), F.lit(s), F.array(*(F.lit(x) for x in c))).alias("n")).first()["n"]
-    assert row("grew 2.35 to 20.0 [3]", "20", [2.345]) == []
+    assert row("grew 2.35 to 20.0 [cite:3]", "20", [2.345]) == []
     assert len(row("1,200 and 7", "1200", [6.2])) == 1
 
 
@@ -214,3 +214,12 @@ def test_schema_diff():
 
     a, b = ST.StructType().add("x", "string").add("y", "string"), ST.StructType().add("y", "long").add("z", "string")
     assert readers.schema_diff(a, b) == {"missing": ["x"], "unexpected": ["z"], "changed": ["y"]}
+
+
+def test_passages_are_found_whatever_their_length(spark):
+    from millrace.operators.spans import containing
+
+    texts = spark.createDataFrame([(1, "xone two three  four five sixy"), (2, "one two three four five six"), (3, "a b"), (4, None), (5, "")], "id long, t string")
+    parts = spark.createDataFrame([(1, "one two three  four five six"), (2, "two three four five six"), (3, "b"), (4, None), (5, "e two three  four fiv")], "p long, part string")
+    got = {(r["id"], r["p"]) for r in containing(texts, "id", "t", parts, "p", "part").collect()}
+    assert got == {(1, 1), (1, 5), (2, 2), (3, 3)}

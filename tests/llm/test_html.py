@@ -53,3 +53,55 @@ def test_rows(spark):
     out = got.collect()
     assert len(out) == 4 and sorted(r["n_chars"] for r in out)[:2] == [0, 0] and all(len(r["text"]) == r["n_chars"] for r in out)
     assert html.extract(df.limit(0)).count() == 0
+
+
+def learnt(spark, pages):
+    return html.fitted(spark.createDataFrame([(p,) for p in pages], "h string"))
+
+
+def test_the_cut_decides_where_names_tell_nothing(spark, data):
+    """The given pages, then the same without classes and with plain containers: the labels by text alone lose
+    or add blocks on every page, the cut mends them."""
+    import re
+
+    pages = [r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect() if r["html"]]
+    model = learnt(spark, pages)
+    right = alone = changed = 0
+    for source in pages:
+        want = html.main_text(source, model)
+        page = html.Page(re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", source)))
+        own, cut = (model.odds(page) > 0).tolist(), model.labels(page)
+        right += want == "\n\n".join(t for t, k in zip(page.texts, cut, strict=True) if k)
+        alone += want == "\n\n".join(t for t, k in zip(page.texts, own, strict=True) if k)
+        changed += sum(a != b for a, b in zip(own, cut, strict=True))
+    assert right >= 0.98 * len(pages) and alone < 0.5 * len(pages) and changed >= len(pages) / 2
+
+
+def test_articles_within_marked_layouts():
+    body = "".join(f"<p>Sentence number {i} of this page is here.</p>" for i in range(4))
+    for around in ('<div class="has-sidebar">{}</div>', '<form action="/all">{}</form>', '<div class="promo-layout"><div>{}</div></div>'):
+        got = html.main_text("<body>" + around.format(f"<article>{body}</article><div class='sidebar'><a href='/'>More</a></div>") + "</body>")
+        assert got.count("Sentence") == 4 and "More" not in got
+
+
+def test_what_is_no_markup_stays():
+    page = '<article><p>An icon <svg class="i"/> and a formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> stand here.</p><object><p>The fallback of an object stays too.</p></object></article>'
+    assert html.main_text(page) == "An icon and a formula x=2 stand here.\n\nThe fallback of an object stays too."
+
+
+def test_many_undecided_blocks_take_little_time():
+    import time
+
+    rng = random.Random(1)
+    n = 4000
+    odds = [rng.uniform(-1, 1) for _ in range(n)]
+    edges = [(i, i + 1, rng.uniform(0.5, 2)) for i in range(n - 1)] + [(i, i + 2, 0.6) for i in range(n - 2)]
+    t = time.time()
+    label = html.minimum_cut(odds, edges)
+    assert len(label) == n and time.time() - t < 20
+
+
+def test_clashing_names_and_no_sample(spark):
+    df = spark.createDataFrame([(PAGE, "a", 1)], "html string, value string, h long")
+    out = html.extract(df)
+    assert out.columns == ["value", "h", "text", "n_chars"] and out.first()["text"].startswith("A & B")

@@ -2,11 +2,12 @@
 
 Unit vectors are projected on a few Gaussian directions: a projected squared distance is the true one
 times a chi-square variable. The top of a kd-tree over the projections, cut by a bounded sample, deals
-all vectors to parts of some thousand rows; each part has a kd-tree of its own. A query takes its
-projected neighbours in order of distance, bucket by bucket, and verifies them on the true vectors; it
-stops once the next bucket is so far that a closer neighbour in it would be a chance below 1 - SURE
-under the chi-square distribution. It visits its own part first; the distance found there limits the
-parts it visits next.
+all vectors to parts, and a hash to chunks of some thousand rows; each chunk has a kd-tree of its own. A query
+takes its projected neighbours in order of distance, bucket by bucket, and verifies them on the true vectors;
+it stops once the next bucket is so far that a closer neighbour in it would be a chance below 1 - SURE
+under the chi-square distribution. It does so in rounds: its own part, the FEW next parts, then all that the
+test, with the distances found so far, still leaves. Parts are sought from the root of the tree down, past
+branches out of reach.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from millrace.llm.shared import table, written
+from millrace.llm.shared import small_batches, table, written
 from millrace.llm.vectors import matrix, unit, usable, width
 
-DIMENSIONS, SURE, SEED = 8, 0.99, 7
-#: Rows of a part and of a bucket, about; rows of the sample that cuts the parts; queries of a task.
-PART, BUCKET, SAMPLE, QUERIES_AT_ONCE = 2048, 64, 1 << 16, 4096
+DIMENSIONS, SURE, SEED = 8, 0.95, 7
+#: Rows of a part or chunk and of a bucket, about; rows of the sample that cuts the parts, and those of it that a
+#: part must have: so parts number 2048 at most, beyond which chunks do; queries of a task; parts of the second round.
+PART, BUCKET, SAMPLE, LEAST_SAMPLE, QUERIES_AT_ONCE, FEW = 2048, 64, 1 << 16, 32, 4096, 3
 
 
 def chi_square_limit(p: float, m: int = DIMENSIONS) -> float:
@@ -60,18 +62,26 @@ class Cuts:
             v = x[:, self.axis[i]]
             low = (v < self.at[i]) | ((v == self.at[i]) & (np.arange(len(v)) % 2 == 0))
             stack += [(2 * i + 1, x[low]), (2 * i + 2, x[~low])]
-        self.low = np.full((2**depth, sample.shape[1]), -np.inf)
-        self.high = np.full((2**depth, sample.shape[1]), np.inf)
-        for leaf in range(2**depth):
-            i = leaf + 2**depth - 1
-            while i:
-                up = (i - 1) // 2
-                a = self.axis[up]
-                if i % 2:
-                    self.high[leaf, a] = min(self.high[leaf, a], self.at[up])
-                else:
-                    self.low[leaf, a] = max(self.low[leaf, a], self.at[up])
-                i = up
+
+    def within(self, q: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, part, squared distance) of all parts at most `reach` from their query: pairs of a query and a
+        node go down level by level, those out of reach stay behind."""
+        i, node, far = np.arange(len(q)), np.zeros(len(q), int), np.zeros(len(q))
+        gap = np.zeros((len(q), q.shape[1]))
+        for _ in range(self.depth):
+            axis, cut = self.axis[node], self.at[node]
+            side = q[i, axis] - cut
+            at = np.arange(len(i))
+            below, above = gap.copy(), gap
+            below[at, axis] = np.maximum(below[at, axis], side)
+            new_far = far + below[at, axis] ** 2 - gap[at, axis] ** 2
+            old = above[at, axis].copy()
+            above[at, axis] = np.maximum(old, -side)
+            far = np.concatenate([new_far, far + above[at, axis] ** 2 - old**2])
+            i, node, gap = np.tile(i, 2), np.concatenate([2 * node + 1, 2 * node + 2]), np.concatenate([below, above])
+            near = far <= reach[i]
+            i, node, gap, far = i[near], node[near], gap[near], far[near]
+        return i, node - (2**self.depth - 1), far
 
     def part(self, y: np.ndarray, ids: np.ndarray) -> np.ndarray:
         node = np.zeros(len(y), int)
@@ -134,13 +144,14 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
     return out
 
 
-def nearest(rows: DataFrame, queries, k: int = 5, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", seen: list | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found, by cosine, of every row that `queries` (a
     condition) selects; ties go to the smaller id.
 
     Vectors that are null, zero, of another width than most, or hold null or non-finite components take
     no part, nor do null ids. Rows with the query's id are its own and no candidates. Fewer than k
-    candidates are all returned. Other columns are ignored; an empty table gives no rows."""
+    candidates are all returned. Other columns are ignored; an empty table gives no rows. seen: gets the numbers
+    of visits of the second and third round."""
     rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
     d = width(rows, "v")
@@ -148,8 +159,11 @@ def nearest(rows: DataFrame, queries, k: int = 5, id_column: str = "vec_id", vec
     n = rows.count()
     project, limit = directions(d), chi_square_limit(SURE)
     every = max(1, n // SAMPLE)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", "v").orderBy("id").toPandas()
-    cuts = Cuts(unit(matrix(sample["v"], d)) @ project, max(0, math.ceil(math.log2(max(1, n) / PART))))
+    drawn = F.xxhash64("id", "v")
+    sample = rows.where(F.pmod(drawn, F.lit(every)) == 0).select("id", "v").orderBy(drawn, "id").limit(2 * SAMPLE).toPandas()
+    depth = math.ceil(math.log2(max(1, n) / PART)) if n > PART else 0
+    cuts = Cuts(unit(matrix(sample["v"], d)) @ project, min(depth, int(math.log2(max(1, len(sample) // LEAST_SAMPLE)))) if len(sample) else 0)
+    small_batches(rows.sparkSession)
 
     def parts(batches):
         for b in batches:
@@ -157,7 +171,9 @@ def nearest(rows: DataFrame, queries, k: int = 5, id_column: str = "vec_id", vec
             yield b.assign(part=cuts.part(y, b["id"].to_numpy()))
 
     placed = written(rows.mapInPandas(parts, "id long, v array<double>, asks boolean, part int"), "parts")
-    asking = placed.where("asks").select("id", "v", "part", F.lit(-2.0).alias("bound"))
+    # parts number 2 * SAMPLE / LEAST_SAMPLE at most: what is counted by part is small
+    chunks = F.broadcast(placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / (2 * PART)).cast("int").alias("chunks")))
+    stored = placed.select("id", "v", "part").join(chunks, "part").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5)), "chunks").cast("int"))
 
     def find(data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asks):
@@ -165,27 +181,56 @@ def nearest(rows: DataFrame, queries, k: int = 5, id_column: str = "vec_id", vec
         got = search(matrix(data["v"], d), data["id"].to_numpy(), matrix(asks["v"], d), asks["id"].to_numpy(), k, asks["bound"].to_numpy(), project, limit)
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
 
-    found = "query_id long, vec_id long, score double"
-    home = written(placed.select("id", "v", "part").groupBy("part").cogroup(asking.groupBy("part")).applyInPandas(find, found), "home")
-    reached = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    bound = F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-2.0))
-    asking = asking.drop("bound").join(reached, F.col("id") == F.col("query_id"), "left").withColumn("bound", F.coalesce(bound, F.lit(-2.0)))
-
-    def others(batches):
-        for b in batches:
-            y = unit(matrix(b["v"], d)) @ project
-            near = _box_distance(y, cuts.low, cuts.high) <= np.maximum(0, 2 - 2 * b["bound"].to_numpy())[:, None] * limit
-            near[np.arange(len(b)), b["part"].to_numpy()] = False
-            i, part = np.nonzero(near)
-            for a in range(0, len(i), 4096):
-                at = i[a : a + 4096]
-                yield b.iloc[at].assign(part=part[a : a + 4096].astype(np.int32), lot=b["id"].to_numpy()[at] % 1_000_003)
-
-    visits = asking.select("id", "v", "part", "bound").mapInPandas(others, "id long, v array<double>, part int, bound double, lot long")
-    rest = placed.select("id", "v", "part").groupBy("part").cogroup(visits.drop("lot").groupBy("part")).applyInPandas(find, found)
-    both = home.union(rest).distinct()
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def searched(visits: DataFrame) -> DataFrame:
+        """Each visit (id, v, bound, part) searched in all chunks of its part; many visits of a part are dealt to
+        lots, each with a copy of the part."""
+        lots = F.broadcast(visits.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("lots")))
+        data = stored.join(lots, "part").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+        asked = visits.join(lots, "part").join(chunks, "part").withColumn("lot", F.pmod(F.xxhash64("id", F.lit(6)), "lots").cast("int"))
+        asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        keys = ["part", "chunk", "lot"]
+        both = data.select("id", "v", *keys).groupBy(*keys).cogroup(asked.select("id", "v", "bound", *keys).groupBy(*keys))
+        return both.applyInPandas(find, "query_id long, vec_id long, score double")
+
+    def visits(first: int, last: float) -> Callable:
+        """Visits of the parts within reach that are first to last in order of distance, the own one apart."""
+
+        def run(batches):
+            for b in batches:
+                for a in range(0, len(b), 256):
+                    some = b.iloc[a : a + 256]
+                    y = unit(matrix(some["v"], d)) @ project
+                    i, part, far = cuts.within(y, np.maximum(0, 2 - 2 * some["bound"].to_numpy()) * limit)
+                    other = part != some["part"].to_numpy()[i]
+                    i, part, far = i[other], part[other], far[other]
+                    o = np.lexsort((part, far, i))
+                    i, part = i[o], part[o]
+                    nth = np.arange(len(i)) - np.searchsorted(i, i)
+                    due = (nth >= first) & (nth < last)
+                    i, part = i[due], part[due]
+                    for c in range(0, len(i), 4096):
+                        yield some.iloc[i[c : c + 4096]].assign(part=part[c : c + 4096].astype(np.int32))
+
+        return run
+
+    asking = written(placed.where("asks").select("id", "v", "part"), "asking")
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+
+    def bounded(found: DataFrame) -> DataFrame:
+        """The queries with the k-th cosine found so far."""
+        top = found.distinct().withColumn("n", best).where(F.col("n") <= k)
+        reached = top.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(-2.0).alias("bound"))
+        return asking.join(reached, F.col("id") == F.col("query_id"), "left").select("id", "v", "part", F.coalesce("bound", F.lit(-2.0)).alias("bound"))
+
+    found = written(searched(asking.withColumn("bound", F.lit(-2.0))), "home")
+    for first, last in ((0, FEW), (FEW, math.inf)):
+        if cuts.depth:
+            go = written(bounded(found).mapInPandas(visits(first, last), "id long, v array<double>, part int, bound double"), "visits")
+            if seen is not None:
+                seen.append(go.count())
+            found = written(found.union(searched(go)), "found")
+    rank = best.cast("int")
+    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,45 @@ def test_ties_and_few_candidates(spark):
 def test_chi_square():
     # the median and the 99th percentile of 8 degrees, from tables
     assert abs(neighbours.chi_square_limit(0.5) - 7.344) < 1e-3 and abs(neighbours.chi_square_limit(0.99) - 20.090) < 1e-3
+
+
+def test_parts_out_of_reach_are_left_out(spark, monkeypatch):
+    """Where vectors lie in clusters, most parts are never visited, and nearly all neighbours are found."""
+    monkeypatch.setattr(neighbours, "PART", 64)
+    monkeypatch.setattr(neighbours, "QUERIES_AT_ONCE", 7)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(0, 60, 2000)] + 0.08 * rng.normal(size=(2000, 16))).astype(np.float32)
+    seen: list = []
+    got = neighbours.nearest(table(spark, x), neighbours.F.col("vec_id") % 10 == 0, seen=seen).collect()
+    c = cosines(x)
+    np.fill_diagonal(c, -2)
+    right = sum(r["vec_id"] in set(np.argsort(-c[r["query_id"]])[:5].tolist()) for r in got)
+    assert len(got) == 1000 and right >= 950
+    assert sum(seen) < 0.5 * 31 * 200, seen
+
+
+def test_parts_within_reach_are_those_of_all_boxes():
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=(500, 8))
+    cuts = neighbours.Cuts(y, 5)
+    part = cuts.part(y, np.arange(500))
+    q, reach = rng.normal(size=(40, 8)), rng.uniform(0, 9, 40)
+    i, p, far = cuts.within(q, reach)
+    got = set(zip(i.tolist(), p.tolist(), strict=True))
+    for a in range(40):
+        for b in set(part.tolist()):
+            rows = y[part == b]
+            if ((rows - q[a]) ** 2).sum(1).min() <= reach[a]:
+                assert (a, b) in got
+    assert (far <= reach[i] + 1e-12).all() and len(got) < 40 * 32
+
+
+def test_one_vector_on_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 32)
+    x = data(600)
+    x[200:400] = x[0]
+    got = {}
+    for r in neighbours.nearest(table(spark, x), neighbours.F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got[0] == [200, 201, 202, 203, 204] and got[250] == [0, 200, 201, 202, 203]

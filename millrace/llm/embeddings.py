@@ -3,7 +3,8 @@
 The halves of unit vectors have a codebook each; their product is a grid of cells and every vector lies
 in the cell of its nearest codes. A vector visits cells in order of the sum of its squared distances to
 their two codes (the multi-sequence order) until the sum exceeds that of its own cell by a reach; the
-reach is calibrated on a bounded sample of queries, compared with all rows, to the target recall. What
+reach is calibrated on a bounded sample of queries, compared with all rows, so that nearly every query finds
+the target share of its own partners. What
 visitors meet in a cell is verified by the exact cosine. A pair that would be met in both vectors' cells
 is counted in one of them. Cells with many vectors are cut into lots, every two of which meet in a task
 of their own. A task returns sums per vector and a forest of links, never all pairs.
@@ -27,8 +28,8 @@ from millrace.llm.vectors import matrix, unit, usable, width
 
 LEAST, RECALL = 0.9, 0.995
 #: Rows that the codebooks are fitted on and queries that the reach is calibrated on, at most or so; rows of
-#: a lot.
-FITTED, CALIBRATED, LOT, SEED = 1 << 14, 512, 1024, 11
+#: a lot; codes of a half at most; what is added for rounding before the exact sum decides.
+FITTED, CALIBRATED, LOT, CODES, SEED, SLACK = 1 << 14, 512, 1024, 4096, 11, 1e-9
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -80,11 +81,17 @@ class Grid:
 
 
 def _grid(rows: DataFrame, n: int, d: int) -> Grid:
-    """Codebooks from a sample of rows, and the reach with which sampled queries find RECALL of all their
-    true partners, whichever of the two visits the other."""
-    drawn = lambda most, seed: rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n // most))) == 0).orderBy("id")
+    """Codebooks from a sample of rows, and the reach with which the share RECALL of sampled queries finds the
+    share RECALL of their true partners, whichever of the two visits the other: each query counts alike,
+    however many partners it has. Where no sampled query has a partner, the reach is what the cosine allows:
+    a squared distance d and a residual r let the sums differ by d + 2 r sqrt(d)."""
+
+    def drawn(most: int, seed: int) -> DataFrame:
+        h = F.xxhash64("v", F.lit(seed))
+        return rows.where(F.pmod(h, F.lit(max(1, n // most))) == 0).orderBy(h, "id").limit(2 * most)
+
     u = unit(matrix(drawn(FITTED, 1).select("v").toPandas()["v"], d))
-    k = int(min(1024, max(4, 2 ** math.ceil(math.log2(max(1.0, math.sqrt(n) / 4))))))
+    k = int(min(CODES, max(4, 2 ** math.ceil(math.log2(max(1.0, math.sqrt(n) / 4))))))
     half = max(1, d // 2)
     grid = Grid(codebook(u[:, :half], k), codebook(u[:, half:], k))
     asked = drawn(CALIBRATED, 2).select("id", "v").toPandas()
@@ -97,22 +104,23 @@ def _grid(rows: DataFrame, n: int, d: int) -> Grid:
             x = unit(matrix(b["v"], d))
             for i in range(0, len(x), 4096):
                 part = x[i : i + 4096]
-                row, col = np.nonzero(part @ q.T >= LEAST)
+                row, col = np.nonzero(part @ q.T >= LEAST - SLACK)
                 keep = b["id"].to_numpy()[i : i + 4096][row] != ids[col]
                 row, col = row[keep], col[keep]
                 a, c = grid.excess(part)
                 cell = grid.cells(a, c)
                 there = qa[col, cell[row] // width_] + qb[col, cell[row] % width_]
                 back = a[row, own[col] // width_] + c[row, own[col] % width_]
-                yield pd.DataFrame({"excess": np.round(np.minimum(there, back), 4)})
+                yield pd.DataFrame({"query": col, "excess": np.minimum(there, back)})
 
     if len(q):
-        seen = rows.mapInPandas(partners, "excess double").groupBy("excess").count().orderBy("excess").toPandas()
+        seen = rows.mapInPandas(partners, "query long, excess double").groupBy("query").agg(F.percentile_approx("excess", RECALL, 10_000).alias("needs")).toPandas()
         if len(seen):
-            share = seen["count"].cumsum() / seen["count"].sum()
-            grid.reach = float(seen["excess"][int(np.searchsorted(share, RECALL))]) * 1.25 + 0.02
+            grid.reach = float(np.quantile(seen["needs"], RECALL)) * 1.25 + 0.02
             return grid
-    grid.reach = 0.25
+    a, b = (_squared(x, c).min(1) for x, c in zip((u[:, :half], u[:, half:]), grid.books, strict=True))
+    apart = 2 - 2 * LEAST
+    grid.reach = apart + 2 * math.sqrt(apart * float(np.quantile(a + b, RECALL))) if len(u) else apart
     return grid
 
 
@@ -136,7 +144,7 @@ def _pairs(grid: Grid, d: int) -> Callable:
         sums, up = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
         for a in range(0, len(left), 512):
             i = left[a : a + 512]
-            hit = u[i] @ u[right].T >= LEAST
+            hit = u[i] @ u[right].T >= LEAST - SLACK
             if same:
                 hit &= right[None] > i[:, None]
             elif kind == 2:

@@ -116,7 +116,8 @@ def _requests(shards: int, hot: np.ndarray) -> Callable:
             by_word, by_pair = np.argsort(of_word, kind="stable"), np.argsort(of_pair, kind="stable")
             cut_w, cut_p = (np.searchsorted(o[i], np.arange(shards + 1)) for o, i in ((of_word, by_word), (of_pair, by_pair)))
             rows = []
-            for s in range(shards):
+            # shards that own something of the block: no more than it has words and pairs
+            for s in np.flatnonzero((np.diff(cut_w) > 0) | (np.diff(cut_p) > 0)).tolist():
                 w, p = by_word[cut_w[s] : cut_w[s + 1]], by_pair[cut_p[s] : cut_p[s + 1]]
                 if len(w) or len(p):
                     heads = np.flatnonzero(np.diff(context[p], prepend=~context[p[:1]]))
@@ -164,7 +165,7 @@ def _answer(hot: np.ndarray) -> Callable:
         types = np.bincount(ci[seen], minlength=len(context))
         log_b = np.log10(np.maximum(DISCOUNT * types, 1e-9) / of)
         log_p = np.log10((n[seen] - DISCOUNT) / of[ci[seen]])
-        trie = NgramTrie.built(len(context), len(succ) + 1, ci[seen], pi[seen], log_p, log_b)
+        trie = NgramTrie.built(len(context), len(succ) + 1, ci[seen], pi[seen], log_p, log_b).in_mapped_memory()
         code = np.concatenate([trie.find(ci[i : i + 1_000_000], pi[i : i + 1_000_000]) for i in range(0, max(len(key), 1), 1_000_000)])
         # backoffs of words that are contexts with successors in training; 255: none, all mass backs off
         back = np.full(len(word), 255, np.uint8)

@@ -1,5 +1,6 @@
 """An n-gram trie in Elias-Fano coded levels: monotone pointers, and successors found by a search
-that stays within their context. One buffer holds all levels, in memory or mapped from a file."""
+that stays within their context. One mapped buffer holds all levels: anonymous memory of the task that built
+it, or a file."""
 
 from __future__ import annotations
 
@@ -10,6 +11,8 @@ import numpy as np
 _POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Place of the k-th zero of a byte.
 _ZERO8 = np.zeros((256, 8), np.uint8)
+#: Place of the k-th one of a byte.
+_ONE8 = _ZERO8[::-1]
 for _b in range(256):
     for _k, _i in enumerate(i for i in range(8) if not _b >> i & 1):
         _ZERO8[_b, _k] = _i
@@ -22,6 +25,7 @@ class EliasFano:
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
         zeros = 64 - _POP8[high].reshape(-1, 8).sum(1, dtype=np.int64)
         self.before = np.concatenate([[0], np.cumsum(zeros)])  # zeros before each 64-bit word
+        self.ones = np.arange(len(self.before)) * 64 - self.before
 
     @staticmethod
     def coded(values: np.ndarray, top: int) -> EliasFano:
@@ -31,8 +35,13 @@ class EliasFano:
         length = n + (int(top) >> bits) + 2
         marks = np.zeros(-(-length // 64) * 64, np.uint8)
         marks[(v >> bits) + np.arange(n)] = 1
-        kind = np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
-        low = (v & ((1 << bits) - 1)).astype(kind)
+        low = np.zeros((n * bits >> 6) + 2, np.uint64)
+        if bits:
+            bit, x = np.arange(n, dtype=np.uint64) * np.uint64(bits), (v & ((1 << bits) - 1)).astype(np.uint64)
+            word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+            np.bitwise_or.at(low, word, x << off)
+            over = off + np.uint64(bits) > 64
+            np.bitwise_or.at(low, word[over] + 1, x[over] >> (np.uint64(64) - off[over]))
         return EliasFano(n, bits, low, np.packbits(marks, bitorder="little"))
 
     def zero(self, k: np.ndarray) -> np.ndarray:
@@ -49,27 +58,51 @@ class EliasFano:
             at = at + go
         return at * 8 + _ZERO8[self.high[at], left]
 
-    def next_geq(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each x, the first place whose value is x or more (n if there is none), and whether it is x."""
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i: the high bits are the zeros before the i-th one."""
+        word = np.searchsorted(self.ones, i, "right") - 1
+        left = i - self.ones[word]
+        at = word * 8
+        for _ in range(7):  # at most 8 bytes to pass
+            here = _POP8[self.high[at]].astype(np.int64)
+            go = left >= here
+            if not go.any():
+                break
+            left = left - here * go
+            at = at + go
+        place = at * 8 + _ONE8[self.high[at], left]
+        return (place - i) << self.low_bits | self.low_at(i)
+
+    def low_at(self, i: np.ndarray) -> np.ndarray:
+        """The low bits at places i, from two neighbouring words of the packed ones."""
+        if not self.low_bits:
+            return np.zeros(len(i), np.int64)
+        bit = i.astype(np.uint64) * np.uint64(self.low_bits)
+        word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        x = self.low[word] >> off
+        over = off + np.uint64(self.low_bits) > 64
+        x[over] |= self.low[word[over] + 1] << (np.uint64(64) - off[over])
+        return (x & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+
+    def search(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each x, its place among the values at lo to hi (excluded), and whether it is there: the bucket of
+        its high bits, cut to that range, is halved by low bits."""
         h, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
-        place = np.where(h > 0, self.zero(np.maximum(h - 1, 0)) + 1, 0)
-        i = place - h
-        todo = np.arange(len(x))
-        while len(todo):  # past smaller low bits in the same bucket
-            p = place[todo]
-            inside = self.high[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0
-            todo = todo[inside]
-            todo = todo[self.low[i[todo]] < low[todo]]
-            i[todo] += 1
-            place[todo] += 1
-        inside = self.high[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
-        hit = np.zeros(len(x), bool)
-        k = np.flatnonzero(inside)
-        hit[k] = self.low[i[k]] == low[k]
-        return i, hit
+        first = np.where(h > 0, self.zero(np.maximum(h - 1, 0)) - np.maximum(h - 1, 0), 0)
+        last = self.zero(h) - h
+        lo, hi = np.maximum(lo, first), np.minimum(hi, last)
+        end = hi.copy()
+        while len(todo := np.flatnonzero(lo < hi)):
+            mid = (lo[todo] + hi[todo]) >> 1
+            below = self.low_at(mid) < low[todo]
+            lo[todo[below]], hi[todo[~below]] = mid[below] + 1, mid[~below]
+        hit = lo < end
+        k = np.flatnonzero(hit)
+        hit[k] = self.low_at(lo[k]) == low[k]
+        return lo, hit
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits, self.low.itemsize], np.int64), self.low, self.high]
+        return [np.array([self.n, self.low_bits], np.int64), self.low, self.high]
 
 
 def quantised(values: np.ndarray, codes: int = 255) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +120,8 @@ def quantised(values: np.ndarray, codes: int = 255) -> tuple[np.ndarray, np.ndar
 class NgramTrie:
     """Level 1: contexts, with the pointer to their first successor and a coded backoff. Level 2: their
     successors, sorted, and a coded probability each. A context's successors are made to follow the
-    last one's by adding context * width, so one monotone sequence holds all and a search for
-    context * width + word stays within the context."""
+    last one's by adding context * width, so one monotone sequence holds all; a pair is sought between its
+    context's two pointers."""
 
     def __init__(self, width: int, pointers: EliasFano, successors: EliasFano, p: np.ndarray, p_book: np.ndarray, b: np.ndarray, b_book: np.ndarray):
         self.width, self.pointers, self.successors = width, pointers, successors
@@ -107,7 +140,9 @@ class NgramTrie:
         """Codes of the pairs' probabilities, 255 where a pair isn't there."""
         if not self.successors.n or not len(word):
             return np.full(len(word), 255, np.uint8)
-        at, hit = self.successors.next_geq(context.astype(np.int64) * self.width + word)
+        of, at = np.unique(np.concatenate([context, context + 1]), return_inverse=True)
+        edge = self.pointers.get(of)[at]
+        at, hit = self.successors.search(context.astype(np.int64) * self.width + word, edge[: len(word)], edge[len(word) :])
         return np.where(hit, self.p[np.minimum(at, self.successors.n - 1)], 255).astype(np.uint8)
 
     def to_bytes(self) -> bytes:
@@ -115,6 +150,13 @@ class NgramTrie:
         head = np.array([self.width, len(parts), *(x.nbytes for x in parts)], np.int64)
         return head.tobytes() + b"".join(x.tobytes() + bytes(-x.nbytes % 8) for x in parts)
 
+    def in_mapped_memory(self) -> NgramTrie:
+        """The same trie in one anonymous mapping, which goes as a whole when the trie does."""
+        raw = self.to_bytes()
+        room = mmap.mmap(-1, len(raw))
+        room[:] = raw
+        return NgramTrie.of_buffer(room)
+
     @staticmethod
     def of_buffer(buffer) -> NgramTrie:
         width, k = np.frombuffer(buffer, np.int64, 2)
@@ -125,8 +167,8 @@ class NgramTrie:
             at += size + -size % 8
 
         def coded(meta, low, high):
-            n, bits, item = map(int, meta.view(np.int64))
-            return EliasFano(n, bits, low.view(f"u{item}"), high)
+            n, bits = map(int, meta.view(np.int64))
+            return EliasFano(n, bits, low.view(np.uint64), high)
 
         return NgramTrie(int(width), coded(*raw[:3]), coded(*raw[3:6]), raw[6], raw[7].view(np.float32), raw[8], raw[9].view(np.float32))
 

@@ -68,8 +68,16 @@ def test_elias_fano_finds_successors():
         v = np.sort(rng.choice(top, n, replace=False))
         ef = trie.EliasFano.coded(v, top)
         x = np.unique(np.concatenate([v, rng.integers(0, top, 2000)]))
-        at, hit = ef.next_geq(x)
-        assert (at == np.searchsorted(v, x)).all() and (hit == np.isin(x, v)).all()
+        assert (ef.get(np.arange(n)) == v).all()
+        at, hit = ef.search(x, np.zeros(len(x), int), np.full(len(x), n))
+        assert (hit == np.isin(x, v)).all() and (at[hit] == np.searchsorted(v, x[hit])).all()
+        # only what lies between the two places given is found
+        lo = rng.integers(0, n, len(x))
+        hi = np.minimum(n, lo + rng.integers(0, 50, len(x)))
+        at, hit = ef.search(x, lo, hi)
+        place = np.searchsorted(v, x)
+        assert (hit == (np.isin(x, v) & (place >= lo) & (place < hi))).all() and (at[hit] == place[hit]).all()
+        assert len(ef.low) * 64 <= n * ef.low_bits + 192
 
 
 def test_trie_from_a_mapped_file(tmp_path):

@@ -21,26 +21,27 @@ def bigrams(text: Column) -> Column:
     return F.flatten(F.transform(terms(text), lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))))
 
 
-def postings(docs: DataFrame, key: str, text: str, analyzer=terms) -> DataFrame:
-    """(key, term, tf, dl): one row per distinct term of a document."""
+def postings(docs: DataFrame, key: str, text: str, analyzer=terms, wanted: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, dl): one row per distinct term of a document, or per distinct term of `wanted`."""
     t = docs.select(F.col(key), analyzer(F.col(text)).alias("_terms"))
     t = t.select(key, F.size("_terms").alias("dl"), F.explode("_terms").alias("term"))
+    t = t if wanted is None else t.join(wanted, "term", "left_semi")
     return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, where: Column | None = None, analyzer=terms) -> DataFrame:
     """(query key, key, score) of documents that share a term with a query and meet `where`.
 
-    Statistics come from all documents: a filter doesn't change N, document frequency or mean length.
-    Only postings of query terms are summed; the join on terms carries no text."""
+    Statistics come from all documents: a filter doesn't change N, document frequency or mean length. A
+    document's distinct terms are counted where it is read, so only counts are shuffled for them; postings
+    are made of the documents that meet `where` alone, and only for terms of a query."""
     asked = queries.select(query_key, F.explode(F.array_distinct(analyzer(F.col(query_text)))).alias("term"))
-    sized = docs.select(key, F.size(analyzer(F.col(text))).alias("dl")).where("dl > 0")
-    sizes = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     wanted = asked.select("term").distinct()
-    post = postings(docs, key, text, analyzer).join(wanted, "term", "left_semi")
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if where is not None:
-        post = post.join(docs.where(where).select(key), key, "left_semi")
+    found = docs.select(analyzer(F.col(text)).alias("_terms"))
+    sizes = found.select(F.size("_terms").alias("dl")).where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    once = found.select(F.explode(F.array_distinct("_terms")).alias("term"))
+    df = once.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    post = postings(docs if where is None else docs.where(where), key, text, analyzer, wanted)
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = post.join(df, "term").crossJoin(F.broadcast(sizes)).join(asked, "term")  # sizes is one row

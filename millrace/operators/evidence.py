@@ -65,3 +65,17 @@ def packed(df: DataFrame, request: str, budget: int = BUDGET, cap: int = PER_DOC
 
     kind = dict(df.dtypes)
     return df.groupBy(request).applyInPandas(pack, f"{request} {kind[request]}, child_id {kind['child_id']}, position int, content string")
+
+
+def merged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], same: Sequence[str], children: str, targets: str) -> DataFrame:
+    """One row a group of candidates: the first one's columns `same`, all its children (structs of child_id
+    and identity) and targets in order of first sight, and `conflict`: whether candidates differ in `same` or
+    one child has two identities. A group is a parent's candidates of one request, so it is small."""
+    each = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), *same, F.col(children).alias("kids"), F.col(targets).alias("aims"))
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(each)).alias("_all"))
+    kids = F.array_distinct(F.flatten(F.transform("_all", lambda x: x["kids"])))
+    ids = F.array_distinct(F.transform(kids, lambda k: k["child_id"]))
+    differ = F.size(F.array_distinct(F.transform("_all", lambda x: F.struct(*(x[s].alias(s) for s in same))))) > 1
+    first = F.element_at("_all", 1)
+    aims = F.array_distinct(F.flatten(F.transform("_all", lambda x: x["aims"])))
+    return g.select(*keys, *(first[s].alias(s) for s in same), ids.alias(children), aims.alias(targets), (differ | (F.size(kids) > F.size(ids))).alias("conflict"))

@@ -14,10 +14,15 @@ def _words(text: Column) -> Column:
 
 
 def _windows(words: Column) -> Column:
-    """Hashes of WORDS words in a row, each once."""
-    last = F.size(words) - WORDS + 1
-    each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WORDS), " ")))
-    return F.array_distinct(F.when(last > 0, each).otherwise(F.array().cast("array<bigint>")))
+    """Hashes of WORDS words in a row, each once. The words stand in an array of one, so that they are
+    split once a text and not once a window."""
+
+    def of(w: Column) -> Column:
+        last = F.size(w) - WORDS + 1
+        each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, WORDS), " ")))
+        return F.when(last > 0, each).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(words), of)))
 
 
 def containing(texts: DataFrame, key: str, text: str, parts: DataFrame, part_key: str, part: str) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from millrace.operators import documents as D
 from millrace.plans.base import table
 from millrace.sources import readers
+from millrace.sources.tables import fresh
 from millrace.streaming import operators as S
+from millrace.streaming.leases import leased, with_rocksdb
 
 QUERIES, ORACLE = {}, {}
 
@@ -116,22 +118,88 @@ def _stream(spark, d):
     return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
 
 
+def _log(spark, d, most: int = 4000):
+    """The events as a log of messages, `most` a file, and a stream of it, a file a micro-batch."""
+    events = table(spark, d, "events")
+    path = fresh(spark, "messages")
+    S.message_log(events, path, "event_id", most)
+    return S.consumed(spark, path, events.schema)
+
+
 @query("stream_publish_once", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_publish_once(spark, d):
     s = _stream(spark, d).withColumn("k", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
-    return S.drained(spark, S.published_once(s, "k").select("user_id", "event_type"))
+    return S.drained(S.published_once(s, "k").select("user_id", "event_type"))
 
 
 @query("stream_projection", "SELECT user_id, count(*) AS events, count_if(event_type = 'error') AS errors, max_by(event_type, event_id) AS last_type, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stream_projection(spark, d):
     s = _stream(spark, d).select("user_id", "event_id", "event_type", "value")
-    got = S.drained(spark, S.projected(s), "update")
-    last = got.groupBy("user_id").agg(F.max(F.struct("events", "errors", "last_type", "total")).alias("m"))
+    got = S.drained(S.projected(s), mode="update")
+    last = got.groupBy("user_id").agg(F.max_by(F.struct("events", "errors", "last_type", "total"), "batch").alias("m"))
     return last.select("user_id", "m.events", "m.errors", "m.last_type", F.round("m.total", 4).alias("total"))
 
 
 @query("stream_windows", "SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, d):
     s = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    got = S.drained(spark, S.windowed(s, "ts", "6 hours", "1 day", "event_type"), "complete")
+    got = S.drained(S.windowed(s, "ts", "6 hours", "1 day", "event_type"), mode="complete")
     return got.select(F.unix_micros("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_consumption", "SELECT event_id, user_id, event_type, value FROM events")
+def stream_consumption(spark, d):
+    """Every message once, through micro-batches of a bounded number."""
+    return S.drained(_log(spark, d).select("event_id", "user_id", "event_type", "value"))
+
+
+@query("stream_dead_letters", """WITH dead AS (SELECT user_id, min(event_id // 4000) AS first FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT 'good' AS kind, user_id, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY user_id UNION ALL SELECT 'dead', user_id, 1 FROM dead""")
+def stream_dead_letters(spark, d):
+    """Users whose messages fail are dead letters once, in however many batches they fail; the rest goes on."""
+    good, dead = fresh(spark, "good"), fresh(spark, "dead")
+    S.split_dead(_log(spark, d), F.col("event_type") == "error", good, dead, fresh(spark, "dead-checkpoint"), "user_id").awaitTermination()
+    counted = lambda path, kind: spark.read.parquet(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "user_id", "n")
+    return counted(good, "good").union(counted(dead, "dead"))
+
+
+#: Ten items of three days for each user; views claim, errors complete, the rest are heartbeats by one of three tokens.
+_LEASE_EVENTS = """e AS (SELECT user_id * 100 + (epoch_us(ts) // 1000 - 1704067200000) // 259200000 AS item, event_id AS event, epoch_us(ts) // 1000 AS millis,
+ CASE event_type WHEN 'view' THEN 'claim' WHEN 'error' THEN 'complete' ELSE 'heartbeat' END AS kind, 'w' || event_id % 2 AS owner, event_id % 3 + 1 AS token, 43200000 AS lasts,
+ 1704067200000 + (epoch_us(ts) // 1000 - 1704067200000) // 259200000 * 259200000 + 216000000 AS deadline FROM events),
+ n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY millis, event) AS nth FROM e), mark AS (SELECT max(millis) - 3600000 AS mark FROM e)"""
+
+
+@query("stream_leases", f"""WITH RECURSIVE {_LEASE_EVENTS},
+ s AS (SELECT item, 0::BIGINT AS nth, NULL::BIGINT AS event, NULL::BIGINT AS millis, NULL::VARCHAR AS outcome, NULL::VARCHAR AS who, NULL::BIGINT AS shown, NULL::BIGINT AS ends,
+   'idle' AS status, NULL::VARCHAR AS owner, 0::BIGINT AS token, 0::BIGINT AS until, 0::BIGINT AS attempts, NULL::VARCHAR AS ran_out, NULL::BIGINT AS out_at, NULL::VARCHAR AS out_owner, NULL::BIGINT AS out_token FROM (SELECT DISTINCT item FROM n)
+ UNION ALL
+ SELECT x.item, x.nth, x.event, x.millis,
+   CASE WHEN x.kind = 'claim' THEN CASE WHEN now = 'idle' AND deadline > x.millis THEN 'granted' ELSE 'refused' END WHEN NOT mine THEN 'stale' WHEN x.kind = 'heartbeat' THEN 'extended' ELSE 'completed' END,
+   x.who, CASE WHEN x.kind = 'claim' THEN CASE WHEN now = 'idle' AND deadline > x.millis THEN x.token + 1 END ELSE x.says END,
+   CASE WHEN (x.kind = 'claim' AND now = 'idle' AND deadline > x.millis) OR (x.kind = 'heartbeat' AND mine) THEN least(x.millis + lasts, deadline) END,
+   CASE WHEN x.kind = 'claim' AND now = 'idle' AND deadline > x.millis THEN 'running' WHEN x.kind = 'complete' AND mine THEN 'completed' ELSE now END,
+   CASE WHEN x.kind = 'claim' AND now = 'idle' AND deadline > x.millis THEN x.who ELSE x.owner END,
+   CASE WHEN x.kind = 'claim' AND now = 'idle' AND deadline > x.millis THEN x.token + 1 ELSE x.token END,
+   CASE WHEN (x.kind = 'claim' AND now = 'idle' AND deadline > x.millis) OR (x.kind = 'heartbeat' AND mine) THEN least(x.millis + lasts, deadline) ELSE x.until END,
+   CASE WHEN x.kind = 'claim' AND now = 'idle' AND deadline > x.millis THEN x.attempts + 1 ELSE x.attempts END,
+   CASE WHEN over THEN CASE WHEN x.attempts >= 3 THEN 'failed' ELSE 'expired' END END, CASE WHEN over THEN x.until END, CASE WHEN over THEN x.owner END, CASE WHEN over THEN x.token END
+ FROM (SELECT s.item, n.nth, n.event, n.millis, n.kind, n.owner AS who, n.token AS says, n.lasts, n.deadline, s.owner, s.token, s.until, s.attempts,
+   s.status = 'running' AND s.until <= n.millis AS over,
+   CASE WHEN s.status = 'running' AND s.until <= n.millis THEN CASE WHEN s.attempts >= 3 THEN 'failed' ELSE 'idle' END ELSE s.status END AS now,
+   s.status = 'running' AND s.until > n.millis AND s.owner = n.owner AND s.token = n.token AS mine FROM s JOIN n ON n.item = s.item AND n.nth = s.nth + 1) x),
+ last AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item ORDER BY nth DESC) = 1)
+SELECT item, event, millis, outcome, who AS owner, shown AS token, ends AS until FROM s WHERE nth > 0
+UNION ALL SELECT item, NULL, out_at, ran_out, out_owner, out_token, out_at FROM s WHERE ran_out IS NOT NULL
+UNION ALL SELECT item, NULL, until, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'expired' END, owner, token, until FROM last, mark WHERE status = 'running' AND until <= mark""")
+def stream_leases(spark, d):
+    """Claims, heartbeats and completions of work items, and the expiry of leases that nobody kept."""
+    with_rocksdb(spark)
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    window = F.floor((at - 1704067200000) / 259200000)
+    kind = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "error", "complete").otherwise("heartbeat")
+    s = _stream(spark, d).select(
+        (F.col("user_id") * 100 + window).alias("item"), F.col("event_id").alias("event"), at.alias("millis"), kind.alias("kind"), F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string")).alias("owner"),
+        (F.col("event_id") % 3 + 1).alias("token"), F.lit(43200000).cast("long").alias("lasts"), (F.lit(1704067200000) + window * 259200000 + 216000000).alias("deadline"), F.col("ts").cast("timestamp").alias("time"),
+    )
+    return S.drained(leased(s, "time", "1 hour"), "leases")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import evidence, fusion, lanes
 from millrace.operators.filters import SearchFilter, page_before
+from millrace.operators.indexes import StoredLexicalIndex, StoredVectorIndex
 from millrace.plans.base import CHUNKS, DOCUMENTS, VERSIONS, chunks, documents, table, versions
+from millrace.sources.tables import built_once
 
 QUERIES, ORACLE = {}, {}
 
@@ -74,6 +76,25 @@ def bm25_lane(spark, d):
     return out.select("item_id", "child_id", F.round("score", 6).alias("score"), F.col("lane_rank").cast("long").alias("lane_rank"))
 
 
+def lexical_index(spark, d) -> StoredLexicalIndex:
+    """The stored index of all chunks, built from the tables as they are now unless that is done."""
+    build = lambda path: StoredLexicalIndex.build(chunks(spark, d), "child_id", "text", path, ["user_id", "content_type", "is_active"])
+    return StoredLexicalIndex(spark, built_once(spark, "lexical", [f"{d}/documents.parquet", f"{d}/labels.parquet"], build))
+
+
+def vector_index(spark, d) -> StoredVectorIndex:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("child_id"), "embedding", "label")
+    build = lambda path: StoredVectorIndex.build(rows, "child_id", "embedding", path, 64, ["label"])
+    return StoredVectorIndex(spark, built_once(spark, "vectors", [f"{d}/embeddings.parquet"], build))
+
+
+@query("indexed_lexical", _hits("c.content_type = 'en' AND c.is_active") + "SELECT item_id, child_id, round(score, 6) AS score, lane_rank FROM bmr WHERE lane_rank <= 40")
+def indexed_lexical(spark, d):
+    """The lane of bm25_lane from the stored index: postings of the terms asked, no text."""
+    out = lexical_index(spark, d).search(table(spark, d, "benchmark"), "item_id", "text", (F.col("content_type") == "en") & F.col("is_active"))
+    return out.select("item_id", "child_id", F.round("score", 6).alias("score"), F.col("lane_rank").cast("long").alias("lane_rank"))
+
+
 def _vector(spark, d, vec_id: int = 0) -> list[float]:
     row = table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
     return [float(x) for x in row[0]]
@@ -86,6 +107,13 @@ nnr AS (SELECT *, row_number() OVER (ORDER BY round(score, 6) DESC, child_id) AS
 """
 
 
+@query("indexed_dense", "WITH " + _KNN.format(where="label <> 3") + "SELECT child_id, round(score, 6) AS score, lane_rank FROM nnr WHERE lane_rank <= 40")
+def indexed_dense(spark, d):
+    """The lane of knn_lane from the stored index."""
+    out = vector_index(spark, d).search(_vector(spark, d), F.col("label") != 3)
+    return out.select("child_id", F.round("score", 6).alias("score"), F.col("lane_rank").cast("long").alias("lane_rank"))
+
+
 @query("knn_lane", "WITH " + _KNN.format(where="label <> 3") + "SELECT child_id, round(score, 6) AS score, lane_rank FROM nnr WHERE lane_rank <= 40")
 def knn_lane(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("child_id"), "embedding", "label")
@@ -122,10 +150,7 @@ x AS (SELECT bm.item_id, bm.child_id, bm.score + coalesce(more, 0) AS score FROM
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, child_id) AS lane_rank FROM x)
 SELECT item_id, child_id, round(score, 6) AS score, lane_rank FROM r WHERE lane_rank <= 10""")
 def bm25_scope_terms(spark, d):
-    c, b = chunks(spark, d), table(spark, d, "benchmark")
-    hits = lanes.bm25(c, b, "child_id", "text", "item_id", "text")
-    extra = lanes.bm25(c, b.withColumn("text", F.lit("the")), "child_id", "text", "item_id", "text")
-    out = lanes.ranked(lanes.with_scope_terms(hits, extra, ["item_id", "child_id"]), by=["item_id"], limit=10)
+    out = lexical_index(spark, d).search(table(spark, d, "benchmark"), "item_id", "text", None, 10, ["the"])
     return out.select("item_id", "child_id", F.round("score", 6).alias("score"), F.col("lane_rank").cast("long").alias("lane_rank"))
 
 
@@ -140,11 +165,9 @@ fur AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY rrf_score DESC, bes
 
 
 def _lanes(spark, d) -> DataFrame:
-    c = chunks(spark, d)
     one = table(spark, d, "benchmark").where("item_id = 0")
-    bm = lanes.ranked(lanes.bm25(c, one, "child_id", "text", "item_id", "text", F.col("is_active")), limit=40).select("child_id", F.lit("bm25").alias("lane"), "lane_rank")
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("child_id"), "embedding")
-    nn = lanes.ranked(lanes.knn(rows, "child_id", "embedding", _vector(spark, d), 40)).select("child_id", F.lit("dense").alias("lane"), "lane_rank")
+    bm = lexical_index(spark, d).search(one, "item_id", "text", F.col("is_active")).select("child_id", F.lit("bm25").alias("lane"), "lane_rank")
+    nn = vector_index(spark, d).search(_vector(spark, d)).select("child_id", F.lit("dense").alias("lane"), "lane_rank")
     return bm.union(nn).withColumn("parent_id", F.floor(F.col("child_id") / 10))
 
 

@@ -188,15 +188,6 @@ def chunked(blocks: DataFrame, doc: str) -> DataFrame:
     return blocks.select(doc, "block_index", "kind", "level", "text").groupBy(doc).applyInPandas(run, f"{doc} {dict(blocks.dtypes)[doc]}, {_PARENT}")
 
 
-def sections(blocks: DataFrame, doc: str, order: str, level: str) -> DataFrame:
-    """Headings with the end of their section: the next heading of the same level or above (null: the
-    document's end)."""
-    h = blocks.where(F.col(level).isNotNull()).select(doc, F.col(order).alias("start"), F.col(level).alias("lv"))
-    n = h.select(F.col(doc).alias("_d"), F.col("start").alias("_s"), F.col("lv").alias("_l"))
-    after = (F.col(doc) == F.col("_d")) & (F.col("_s") > F.col("start")) & (F.col("_l") <= F.col("lv"))
-    return h.join(n, after, "left").groupBy(doc, "start", "lv").agg(F.min("_s").alias("end"))
-
-
 def table_cells(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, row, column, cell) of tables with pipes or tabs; rules between rows are skipped."""
     rows = df.select(key, F.posexplode(F.split(text, "\n")).alias("row", "_line")).where(F.length(F.trim("_line")) > 0)

@@ -1,15 +1,14 @@
-"""Evidence: ranked dedup, diversity, bounded history, and greedy packing."""
+"""Evidence: ranked dedup, diversity, bounded history, merging."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUDGET, CROP, PER_DOCUMENT, PER_SINGLE = 12_000, 1_200, 3, 6
+PER_DOCUMENT, PER_SINGLE = 3, 6
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -36,37 +35,6 @@ def bounded_history(turns: DataFrame, key: str, order: str, text: str, most: int
     return rows.where(F.col("_before") < budget).withColumn("tail", F.right(F.col(text), room.cast("int"))).drop("_back", "_before")
 
 
-def _cropped(content: str, room: int) -> str:
-    return content if len(content) <= room else content[: max(0, room - 1)] + "…" if room > 1 else ""
-
-
-def packed(df: DataFrame, request: str, budget: int = BUDGET, cap: int = PER_DOCUMENT) -> DataFrame:
-    """df(request, child_id, target, document_id, content, score) to the accepted rows with position: one
-    best row for each target first, then by score; a row that doesn't fit is cropped to what is left, or
-    skipped if less than a hundred characters are; newlines between rows count. A request's candidates
-    are bounded by the rerank limit, so a group is small."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "child_id"], ascending=[False, True])
-        first = ~pdf["target"].duplicated()
-        left, per, single, out = budget, {}, pdf["document_id"].nunique() == 1, []
-        for _, row in pd.concat([pdf[first], pdf[~first]]).iterrows():
-            doc = row["document_id"]
-            if per.get(doc, 0) >= (PER_SINGLE if single else cap):
-                continue
-            room = left - (1 if out else 0)
-            content = _cropped(row["content"], min(room, CROP))
-            if len(content) < min(100, len(row["content"])):
-                continue
-            left = room - len(content)
-            per[doc] = per.get(doc, 0) + 1
-            out.append((row[request], row["child_id"], len(out) + 1, content))
-        return pd.DataFrame(out, columns=[request, "child_id", "position", "content"])
-
-    kind = dict(df.dtypes)
-    return df.groupBy(request).applyInPandas(pack, f"{request} {kind[request]}, child_id {kind['child_id']}, position int, content string")
-
-
 def merged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], same: Sequence[str], children: str, targets: str) -> DataFrame:
     """One row a group of candidates: the first one's columns `same`, all its children (structs of child_id
     and identity) and targets in order of first sight, and `conflict`: whether candidates differ in `same` or

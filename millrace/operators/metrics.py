@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -87,19 +88,34 @@ def nearest_rank(column: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{column}`)")
 
 
-def dominated(df: DataFrame, key: str, up: Sequence[str], down: Sequence[str]) -> DataFrame:
-    """Rows that no other row beats: at least as good in all, better in one. For a table of
-    configurations, not of data."""
-    o = df.select(*(F.col(c).alias(f"_{c}") for c in (key, *up, *down)))
-    no_worse = [F.col(f"_{c}") >= F.col(c) for c in up] + [F.col(f"_{c}") <= F.col(c) for c in down]
-    better = [F.col(f"_{c}") > F.col(c) for c in up] + [F.col(f"_{c}") < F.col(c) for c in down]
-    whole = no_worse[0]
-    for c in no_worse[1:]:
-        whole = whole & c
-    some = better[0]
-    for c in better[1:]:
-        some = some | c
-    return df.join(o, whole & some, "left_anti")
+def _unbeaten(points: np.ndarray) -> np.ndarray:
+    """Places of the rows that none beats, all columns the larger the better: in falling order of the columns a row
+    can only be beaten by one before it."""
+    kept = np.zeros(0, int)
+    for i in np.lexsort(-points.T[::-1]):
+        x, k = points[i], points[kept]
+        if not ((k >= x).all(1) & (k > x).any(1)).any():
+            kept = np.append(kept, i)
+    return np.sort(kept)
+
+
+def dominated(df: DataFrame, up: Sequence[str], down: Sequence[str], parts: int = 64) -> DataFrame:
+    """Rows that no other row beats: at least as good in all, better in one; equal rows stay together, rows with a null
+    among the columns are neither kept nor beat any. A frontier of each part first, then of `parts` of these, then of
+    what is left: each task holds a frontier and one batch."""
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for b in batches:
+            kept = b if kept is None else pd.concat([kept, b], ignore_index=True)
+            points = np.hstack([kept[list(up)].to_numpy(float), -kept[list(down)].to_numpy(float)])
+            kept = kept.iloc[_unbeaten(points)]
+        if kept is not None:
+            yield kept
+
+    whole = df.dropna(subset=[*up, *down])
+    first = whole.mapInPandas(local, df.schema).repartition(parts).mapInPandas(local, df.schema)
+    return first.coalesce(1).mapInPandas(local, df.schema)
 
 
 def bootstrap(rows: DataFrame, cluster: str, order: str, value: str, resamples: int = 1000, seed: int = 20260930) -> DataFrame:

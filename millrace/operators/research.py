@@ -177,23 +177,53 @@ def dates_beside_headings(blocks: DataFrame, page: str, order: str) -> DataFrame
     return near.groupBy(page, order, "heading").agg(F.count_distinct("_h").alias("n")).where("n >= 2").drop("n")
 
 
-def reserved(requests: Sequence[tuple[int, float]], most_requests: int, most_tokens: int, most_cost: float) -> list[bool]:
-    """Which of a build's requests (tokens, cost), in order, a budget admits."""
-    n, tokens, cost, out = 0, 0, 0.0, []
-    for t, c in requests:
-        ok = n + 1 <= most_requests and tokens + t <= most_tokens and cost + c <= most_cost
-        if ok:
-            n, tokens, cost = n + 1, tokens + t, cost + c
-        out.append(ok)
-    return out
+def _folded(rows: DataFrame, build: str, fields: Sequence[str], state: Column, step: Callable[[Column, Column], Column], out: str) -> DataFrame:
+    """A build's rows (structs of fields, the first their order) through a fold whose state collects `out`."""
+    g = rows.groupBy(build).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
+    return g.select(build, F.explode(F.aggregate("_rows", state, step, lambda s: s[out])).alias("_r"))
 
 
 def admitted(requests: DataFrame, build: str, order: str, most_requests: int, most_tokens: int, most_cost: float) -> DataFrame:
-    """requests(build, order, tokens, cost) with `admitted`: a fold, since a refused request frees room for a
-    later, smaller one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(admitted=reserved(list(zip(pdf["tokens"], pdf["cost"], strict=True)), most_requests, most_tokens, most_cost))
-
-    return requests.groupBy(build).applyInPandas(run, T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType())]))
+    """requests(build, order, tokens, cost) with `admitted`: a fold, since a refused request leaves room for a
+    later, smaller one. Orders are unique in a build, whose requests a fold holds."""
+    kind = dict(requests.dtypes)
+    row = f"struct<{order}:{kind[order]},tokens:{kind['tokens']},cost:{kind['cost']},admitted:boolean>"
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast(kind["tokens"]).alias("tokens"), F.lit(0).cast(kind["cost"]).alias("cost"), F.array().cast(f"array<{row}>").alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        ok = (s["n"] + 1 <= most_requests) & (s["tokens"] + r["tokens"] <= most_tokens) & (s["cost"] + r["cost"] <= most_cost)
+        more = lambda c: (s[c] + F.when(ok, r[c]).otherwise(0)).cast(kind[c]).alias(c)
+        new = F.struct(r[order].alias(order), r["tokens"].alias("tokens"), r["cost"].alias("cost"), ok.alias("admitted"))
+        return F.struct((s["n"] + ok.cast("int")).alias("n"), more("tokens"), more("cost"), F.concat(s["out"], F.array(new)).alias("out"))
+
+    return _folded(requests, build, [order, "tokens", "cost"], zero, step, "out").select(build, "_r.*")
+
+
+def metered(events: DataFrame, build: str, order: str, most_requests: int, most_tokens: int, most_cost: float) -> DataFrame:
+    """events(build, order, kind, id, tokens, cost), in order, with their outcome and the build's account behind them.
+
+    reserve: reserved, if requests, tokens and cost, reserved and consumed together, stay within their caps; else
+    exhausted, which changes nothing. settle: what was reserved under the id goes and what was used is consumed,
+    once: settled; a second time repeated, and unknown where nothing was reserved. Only what is used counts from then
+    on, so settling makes room. Orders are unique in a build; a fold holds one build's events."""
+    kind = dict(events.dtypes)
+    one = f"struct<id:{kind['id']},tokens:{kind['tokens']},cost:{kind['cost']},open:boolean>"
+    row = f"struct<{order}:{kind[order]},outcome:string,requests:int,reserved_tokens:{kind['tokens']},consumed_tokens:{kind['tokens']},reserved_cost:{kind['cost']},consumed_cost:{kind['cost']}>"
+    none = lambda c, name: F.lit(0).cast(kind[c]).alias(name)
+    zero = F.struct(F.lit(0).alias("requests"), none("tokens", "reserved_tokens"), none("tokens", "consumed_tokens"), none("cost", "reserved_cost"), none("cost", "consumed_cost"), F.array().cast(f"array<{one}>").alias("held"), F.array().cast(f"array<{row}>").alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        held = F.try_element_at(F.filter(s["held"], lambda h: h["id"] == r["id"]), F.lit(1))
+        fits = (s["requests"] + 1 <= most_requests) & (s["reserved_tokens"] + s["consumed_tokens"] + r["tokens"] <= most_tokens) & (s["reserved_cost"] + s["consumed_cost"] + r["cost"] <= most_cost)
+        outcome = F.when(r["kind"] == "reserve", F.when(fits, "reserved").otherwise("exhausted")).when(held.isNull(), "unknown").when(held["open"], "settled").otherwise("repeated")
+        made, paid = outcome == "reserved", outcome == "settled"
+        account = [(s["requests"] + made.cast("int")).alias("requests")]
+        for c in ("tokens", "cost"):
+            account.append((s[f"reserved_{c}"] + F.when(made, r[c]).when(paid, -held[c]).otherwise(0)).cast(kind[c]).alias(f"reserved_{c}"))
+            account.append((s[f"consumed_{c}"] + F.when(paid, r[c]).otherwise(0)).cast(kind[c]).alias(f"consumed_{c}"))
+        entry = lambda h, is_open: F.struct(h["id"].alias("id"), h["tokens"].alias("tokens"), h["cost"].alias("cost"), F.lit(is_open).alias("open"))
+        shut = F.transform(s["held"], lambda h: F.when(h["id"] == r["id"], entry(h, False)).otherwise(h))
+        now = F.when(made, F.concat(s["held"], F.array(entry(r, True)))).when(paid, shut).otherwise(s["held"])
+        return F.struct(*account, now.alias("held"), F.concat(s["out"], F.array(F.struct(r[order].alias(order), outcome.alias("outcome"), *account))).alias("out"))
+
+    return _folded(events, build, [order, "kind", "id", "tokens", "cost"], zero, step, "out").select(build, "_r.*")

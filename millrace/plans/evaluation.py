@@ -221,7 +221,7 @@ def _configs(spark, d):
 
 @query("pareto_frontier", f"WITH {_CONF} SELECT config, success, correctness, p95, cost FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.success >= c.success AND o.correctness >= c.correctness AND o.p95 <= c.p95 AND o.cost <= c.cost AND (o.success > c.success OR o.correctness > c.correctness OR o.p95 < c.p95 OR o.cost < c.cost))")
 def pareto_frontier(spark, d):
-    return M.dominated(_configs(spark, d), "config", ["success", "correctness"], ["p95", "cost"])
+    return M.dominated(_configs(spark, d), ["success", "correctness"], ["p95", "cost"])
 
 
 @query("selection", f"WITH {_CONF} SELECT config, success FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.success >= c.success AND o.correctness >= c.correctness AND o.p95 <= c.p95 AND o.cost <= c.cost AND (o.success > c.success OR o.correctness > c.correctness OR o.p95 < c.p95 OR o.cost < c.cost)) ORDER BY success DESC, correctness DESC, p95, cost, config LIMIT 1")

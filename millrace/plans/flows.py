@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators import documents as D
+from millrace.operators.outline import outlined
 from millrace.plans.base import table
 from millrace.sources import readers
 from millrace.sources.tables import fresh
@@ -67,7 +68,8 @@ def near_page_edge(spark, d):
 @query("section_ranges", "WITH h AS (SELECT o_custkey, o_orderkey AS start, (o_orderkey % 3 + 1)::INT AS lv FROM orders WHERE o_orderpriority <> '5-LOW') SELECT a.o_custkey, a.start, a.lv, min(b.start) AS \"end\" FROM h a LEFT JOIN h b ON a.o_custkey = b.o_custkey AND b.start > a.start AND b.lv <= a.lv GROUP BY ALL")
 def section_ranges(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderpriority") != "5-LOW", (F.col("o_orderkey") % 3 + 1).cast("int")).alias("level"))
-    return D.sections(o, "o_custkey", "o_orderkey", "level")
+    out = outlined(o.withColumn("text", F.lit("")), "o_custkey", "o_orderkey", "level", "text", repair=False)
+    return out.select("o_custkey", F.col("o_orderkey").alias("start"), F.col("level").alias("lv"), "end")
 
 
 @query("table_layout", "WITH t AS (SELECT o_orderkey, o_orderstatus || ' | ' || o_orderpriority AS line FROM orders) SELECT o_orderkey, 2 AS row, c AS column, trim(split_part(line, '|', c + 1)) AS cell FROM t, range(0, 2) r(c) UNION ALL SELECT o_orderkey, 0, c, CASE c WHEN 0 THEN 'a' ELSE 'b' END FROM t, range(0, 2) r(c)".replace("c AS column", 'c::INT AS "column"').replace("0, c, CASE", "0, c::INT, CASE"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import evidence, fusion, lanes
+from millrace.operators import evidence, fusion, lanes, packing
 from millrace.operators.filters import SearchFilter, page_before
 from millrace.operators.indexes import StoredLexicalIndex, StoredVectorIndex
 from millrace.plans.base import CHUNKS, DOCUMENTS, VERSIONS, chunks, documents, table, versions
@@ -330,8 +330,45 @@ def latest_per_group(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
 
 
-@query("greedy_packing")
+_PACK = _hits("true").replace("WITH chunks", "WITH RECURSIVE chunks", 1) + r""",
+c0 AS (SELECT item_id, lane_rank AS rank, child_id, d.lang, d.source, d.text AS content, substr(d.text, length(d.text) // 3 + 1, 30) AS child FROM bmr JOIN documents d ON d.doc_id = bmr.child_id WHERE lane_rank <= 8),
+c1 AS (SELECT *, CASE WHEN length(child) > 0 THEN strpos(content, child) - 1 ELSE length(content) // 2 END AS spot FROM c0),
+c2 AS (SELECT *, greatest(0, least(spot - 600, length(content) - 1200)) AS s FROM c1),
+c3 AS (SELECT *, CASE WHEN length(content) <= 1200 THEN content ELSE (CASE WHEN s > 0 THEN '…' ELSE '' END) || CASE WHEN s + 1200 < length(content)
+  THEN substr(content, s + 1, 1200 - (s > 0)::INT - 1) || '…' ELSE right(content, 1199) END END AS whole FROM c2),
+c4 AS (SELECT *, CASE WHEN length(child) > 0 AND contains(whole, child) THEN strpos(whole, child) - 1 ELSE length(whole) // 2 END AS pos,
+  length('{"trust":"untrusted_data","source":"document:' || child_id % 5 || '","evidence_id":"' || child_id || '","content":}') + CASE WHEN child_id % 2 = 1 THEN length(',"heading_path":["' || source || '"]') ELSE 0 END AS fixed FROM c3),
+k0 AS (SELECT *, unnest(range(0, length(whole) + 1)) AS k FROM c4),
+k1 AS (SELECT *, greatest(0, least(pos - k // 2, length(whole) - k)) AS s2 FROM k0),
+k2 AS (SELECT item_id, rank, k, fixed, CASE WHEN k = length(whole) THEN whole WHEN k < 1 THEN '' ELSE (CASE WHEN s2 > 0 THEN '…' ELSE '' END) || CASE WHEN s2 + k < length(whole)
+  THEN substr(whole, s2 + 1, greatest(0, k - (s2 > 0)::INT - 1)::BIGINT) || '…' ELSE right(whole, greatest(0, k - (s2 > 0)::INT)::BIGINT) END END AS crop FROM k1),
+k3 AS (SELECT item_id, rank, list(fixed + length(to_json(crop)::VARCHAR) ORDER BY k) AS sizes, list(length(translate(crop, '… ' || chr(10) || chr(13) || chr(9), '')) > 0 ORDER BY k) AS usable FROM k2 GROUP BY ALL),
+cand AS (SELECT c4.item_id, rank, child_id, child_id % 5 AS document, lang, sizes, usable FROM c4 JOIN k3 USING (item_id, rank)),
+one AS (SELECT item_id, CASE WHEN count(DISTINCT document) = 1 THEN 6 ELSE 3 END AS cap FROM cand GROUP BY item_id),
+tries AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY phase, rank) AS i FROM (SELECT *, 1 AS phase, lang AS target FROM cand WHERE lang = 'de' UNION ALL SELECT *, 2, lang FROM cand WHERE lang = 'fr' UNION ALL SELECT *, 3, NULL FROM cand)),
+st AS (SELECT item_id, 0::BIGINT AS i, 0::BIGINT AS used, 0 AS n, []::BIGINT[] AS chosen, []::VARCHAR[] AS covered, []::BIGINT[] AS docs, NULL::BIGINT AS took, NULL::BIGINT AS k FROM one
+  UNION ALL
+  SELECT item_id, i, CASE WHEN ok THEN used + (n > 0)::INT + sizes[best + 1] ELSE used END, n + ok::INT, CASE WHEN ok THEN list_append(chosen, rank) ELSE chosen END,
+    CASE WHEN ok THEN list_append(covered, lang) ELSE covered END, CASE WHEN ok THEN list_append(docs, document) ELSE docs END, CASE WHEN ok THEN rank END, CASE WHEN ok THEN best END
+  FROM (SELECT *, free AND best >= 0 AND coalesce(usable[best + 1], false) AS ok FROM (SELECT st.item_id, t.i, st.used, st.n, st.chosen, st.covered, st.docs, t.rank, t.lang, t.document, t.sizes, t.usable,
+      len(list_filter(t.sizes, lambda y: y <= 4000 - st.used - (st.n > 0)::INT)) - 1 AS best,
+      NOT coalesce(list_contains(st.covered, t.target), false) AND NOT list_contains(st.chosen, t.rank) AND len(list_filter(st.docs, lambda y: y = t.document)) < one.cap AS free
+    FROM st JOIN tries t ON t.item_id = st.item_id AND t.i = st.i + 1 JOIN one ON one.item_id = st.item_id) u) v)
+SELECT st.item_id, cand.child_id, st.n::BIGINT AS position, length(k2.crop) AS n_chars, md5(k2.crop) AS content FROM st JOIN cand ON cand.item_id = st.item_id AND cand.rank = st.took JOIN k2 ON k2.item_id = st.item_id AND k2.rank = st.took AND k2.k = st.k
+"""
+
+
+@query("greedy_packing", _PACK)
 def greedy_packing(spark, d):
-    """Evidence accepted greedily within a budget, target-first; order-dependent, so tested by brute force."""
-    c = chunks(spark, d).select(F.col("user_id").alias("request"), "child_id", (F.col("child_id") % 3).alias("target"), F.col("text").alias("content"), (F.lit(1.0) / (F.col("child_id") + 1)).alias("score"), (F.col("child_id") % 7).alias("document_id"))
-    return evidence.packed(c, "request").select("request", "child_id", "position", F.length("content").alias("n_chars"))
+    """The 8 best documents of each item packed in 4000 characters: one in German and one in French first, three of a
+    document (here: of ids that agree modulo 5) at most."""
+    hits = lexical_index(spark, d).search(table(spark, d, "benchmark"), "item_id", "text", None, 8)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("child_id"), "lang", "source", "text")
+    third = F.substring(F.col("text"), (F.floor(F.length("text") / 3) + 1).cast("int"), F.lit(30))
+    odd = F.col("child_id") % 2 == 1
+    rows = hits.join(docs, "child_id").select(
+        "item_id", F.col("lane_rank").alias("rank"), (F.col("child_id") % 5).cast("string").alias("document"), F.col("child_id").cast("string").alias("evidence"), F.col("text").alias("content"),
+        third.alias("child"), F.when(odd, F.array("source")).otherwise(F.array().cast("array<string>")).alias("headings"), F.array("lang").alias("targets"),
+    )
+    out = packing.packed(rows, "item_id", ["de", "fr"], 4000)
+    return out.select("item_id", F.col("evidence").cast("long").alias("child_id"), F.col("position").cast("long").alias("position"), F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content"))

@@ -16,8 +16,9 @@ def test_cover_takes_the_furthest():
     assert R.greedy_cover((0, 10), [(0, 4, 1), (5, 12, 2)]) == []
 
 
-def test_refused_requests_leave_room():
-    assert R.reserved([(5, 1.0), (9, 1.0), (4, 1.0), (1, 1.0)], 3, 10, 9.0) == [True, False, True, True]
+def test_refused_requests_leave_room(spark):
+    rows = spark.createDataFrame([(1, i, t, 1.0) for i, t in enumerate((5, 9, 4, 1))], "build long, at long, tokens long, cost double")
+    assert [r.admitted for r in R.admitted(rows, "build", "at", 3, 10, 9.0).orderBy("at").collect()] == [True, False, True, True]
 
 
 def test_plans_are_named_by_content():
@@ -64,7 +65,7 @@ def test_streams_drop_what_comes_twice_and_part_the_dead(spark, tmp_path):
     schema = "user_id long, event_id long, event_type string, value double"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    got = {r["user_id"]: (r["events"], r["errors"], r["last_type"], r["total"]) for r in S.drained(spark, S.projected(stream), "update").collect()}
+    got = {r["user_id"]: (r["events"], r["errors"], r["last_type"], r["total"]) for r in S.drained(S.projected(stream), mode="update").collect()}
     assert got == {1: (2, 1, "error", 3.0), 2: (1, 1, "error", 5.0)}
     q = S.split_dead(stream, F.col("event_type") == "error", str(tmp_path / "good"), str(tmp_path / "dead"), str(tmp_path / "cp"), "event_id")
     q.awaitTermination()

@@ -3,8 +3,8 @@
 The halves of unit vectors have a codebook each; their product is a grid of cells and every vector lies
 in the cell of its nearest codes. A vector visits cells in order of the sum of its squared distances to
 their two codes (the multi-sequence order) until the sum exceeds that of its own cell by a reach; the
-reach is calibrated on a bounded sample of queries, compared with all rows, so that nearly every query finds
-the target share of its own partners. What
+reach is calibrated on a bounded sample of queries, compared with all rows and with partners made at the least
+cosine that links, so that nearly every query finds the target share of its partners. What
 visitors meet in a cell is verified by the exact cosine. A pair that would be met in both vectors' cells
 is counted in one of them. Cells with many vectors are cut into lots, every two of which meet in a task
 of their own. A task returns sums per vector and a forest of links, never all pairs.
@@ -26,10 +26,12 @@ from millrace.llm.shared import table, written
 from millrace.llm.simhash import roots
 from millrace.llm.vectors import matrix, unit, usable, width
 
-LEAST, RECALL = 0.9, 0.995
+LEAST, RECALL = 0.9, 0.985
 #: Rows that the codebooks are fitted on and queries that the reach is calibrated on, at most or so; rows of
 #: a lot; codes of a half at most; what is added for rounding before the exact sum decides.
 FITTED, CALIBRATED, LOT, CODES, SEED, SLACK = 1 << 14, 512, 1024, 4096, 11, 1e-9
+#: Sampled queries with partners that set the reach alone; made partners stand in for those missing.
+ENOUGH = 128
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -80,18 +82,36 @@ class Grid:
         return out
 
 
+def made_partners(u: np.ndarray, half: int) -> np.ndarray:
+    """A unit vector at cosine LEAST from each row of u, the hardest that link: it differs in a random direction of the
+    whole space, of one half of the components, or of four of them, in turn."""
+    rng = np.random.default_rng(SEED)
+    n, d = u.shape
+    mask = np.ones((n, d))
+    mask[1::4, half:] = 0
+    mask[2::4, :half] = 0
+    few = np.argsort(rng.random((n, d)), axis=1) < min(4, d)
+    mask[3::4] = few[3::4]
+    own = u * mask
+    w = rng.standard_normal((n, d)) * mask
+    w -= own * ((w * own).sum(1) / np.maximum((own * own).sum(1), 1e-300))[:, None]  # at right angles to u
+    size = np.sqrt((w * w).sum(1))
+    ok = size > 1e-9
+    w[ok] /= size[ok, None]
+    return np.where(ok[:, None], LEAST * u + math.sqrt(1 - LEAST**2) * w, u)
+
+
 def _grid(rows: DataFrame, n: int, d: int) -> Grid:
-    """Codebooks from a sample of rows, and the reach with which the share RECALL of sampled queries finds the
-    share RECALL of their true partners, whichever of the two visits the other: each query counts alike,
-    however many partners it has. Where no sampled query has a partner, the reach is what the cosine allows:
-    a squared distance d and a residual r let the sums differ by d + 2 r sqrt(d)."""
+    """Codebooks from a sample of rows, and the reach with which the share RECALL of partners is found, whichever of
+    the two visits the other: of the true partners of sampled queries, each query counting alike however many it has,
+    and, with the weight of those missing where fewer than ENOUGH have any, of partners made for all."""
 
     def drawn(most: int, seed: int) -> DataFrame:
         h = F.xxhash64("v", F.lit(seed))
         return rows.where(F.pmod(h, F.lit(max(1, n // most))) == 0).orderBy(h, "id").limit(2 * most)
 
     u = unit(matrix(drawn(FITTED, 1).select("v").toPandas()["v"], d))
-    k = int(min(CODES, max(4, 2 ** math.ceil(math.log2(max(1.0, math.sqrt(n) / 4))))))
+    k = int(min(CODES, max(4, 2 ** round(math.log2(max(1.0, math.sqrt(n) / 16))))))  # some 256 vectors a cell: fewer cells, fewer visits to ship
     half = max(1, d // 2)
     grid = Grid(codebook(u[:, :half], k), codebook(u[:, half:], k))
     asked = drawn(CALIBRATED, 2).select("id", "v").toPandas()
@@ -113,14 +133,19 @@ def _grid(rows: DataFrame, n: int, d: int) -> Grid:
                 back = a[row, own[col] // width_] + c[row, own[col] % width_]
                 yield pd.DataFrame({"query": col, "excess": np.minimum(there, back)})
 
-    if len(q):
-        seen = rows.mapInPandas(partners, "query long, excess double").groupBy("query").agg(F.percentile_approx("excess", RECALL, 10_000).alias("needs")).toPandas()
-        if len(seen):
-            grid.reach = float(np.quantile(seen["needs"], RECALL)) * 1.25 + 0.02
-            return grid
-    a, b = (_squared(x, c).min(1) for x, c in zip((u[:, :half], u[:, half:]), grid.books, strict=True))
-    apart = 2 - 2 * LEAST
-    grid.reach = apart + 2 * math.sqrt(apart * float(np.quantile(a + b, RECALL))) if len(u) else apart
+    if not len(q):
+        return grid
+    seen = rows.mapInPandas(partners, "query long, excess double").groupBy("query").agg(F.percentile_approx("excess", RECALL, 10_000).alias("needs")).toPandas()
+    ma, mb = grid.excess(made_partners(q, half))
+    cell = grid.cells(ma, mb)
+    at = np.arange(len(q))
+    there = qa[at, cell // width_] + qb[at, cell % width_]
+    back = ma[at, own // width_] + mb[at, own % width_]
+    need = float(np.quantile(np.minimum(there, back), RECALL))
+    known = min(1.0, len(seen) / ENOUGH)
+    if len(seen):
+        need = known * float(np.quantile(seen["needs"], RECALL)) + (1 - known) * need
+    grid.reach = need * 1.1 + 0.01
     return grid
 
 
@@ -174,7 +199,7 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector: str = "e
     another width than most, or hold null or non-finite components link with nothing. Rows that repeat
     an id are vectors of their own; null ids link with nothing. Other columns are ignored; an empty table
     gives no rows."""
-    rows = written(rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")), "vectors")
+    rows = written(rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).alias("v")), "vectors")
     fit_ = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     d = width(fit_, "v")
     fit_ = fit_.where(F.size("v") == d)
@@ -190,9 +215,9 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector: str = "e
                 at = np.repeat(np.arange(len(cells)), [len(x) for x in cells])
                 flat = np.concatenate([np.array(x, np.int64) for x in cells]) if cells else np.zeros(0, np.int64)
                 first = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
-                yield b.iloc[i + at].assign(cell=flat, member=first)
+                yield b[["id", "n"]].iloc[i + at].assign(cell=flat, member=first)
 
-    met = written(classes.mapInPandas(visits, "v array<double>, id long, n long, cell long, member boolean"), "visits")
+    met = written(classes.mapInPandas(visits, "id long, n long, cell long, member boolean"), "visits")
     counts = met.groupBy("cell").agg(F.sum(F.col("member").cast("int")).alias("m"), F.sum((~F.col("member")).cast("int")).alias("o")).where("m > 0")
     lots = counts.select(F.col("cell").alias("_c"), F.ceil(F.col("m") / LOT).cast("int").alias("ml"), F.greatest(F.ceil(F.col("o") / LOT), F.lit(0)).cast("int").alias("ol"))
     met = met.join(lots, F.col("cell") == F.col("_c")).drop("_c")
@@ -203,10 +228,12 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector: str = "e
     with_members = F.transform(F.sequence(F.lit(0), F.col("ml") - 1), lambda x: task(1, F.least(x, F.col("lot")), F.greatest(x, F.col("lot")), F.col("lot") > x))
     with_members = F.transform(with_members, lambda t: F.struct(F.when(t["a"] == t["b"], 0).otherwise(1).alias("kind"), t["a"].alias("a"), t["b"].alias("b"), t["right"].alias("right")))
     with_visitors = F.when(F.col("ol") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("ol") - 1, F.lit(0))), lambda x: task(2, F.col("lot"), x, F.lit(False)))).otherwise(F.slice(with_members, 1, 0))
-    member = member.select("id", "n", "v", "cell", F.explode(F.concat(with_members, with_visitors)).alias("t"))
+    member = member.select("id", "n", "cell", F.explode(F.concat(with_members, with_visitors)).alias("t"))
     visitor = met.where("not member").withColumn("lot", lot(F.col("ol")))
-    visitor = visitor.select("id", "n", "v", "cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("ml") - 1), lambda x: task(2, x, F.col("lot"), F.lit(True)))).alias("t"))
-    tasks = member.union(visitor).select("id", "n", "v", "cell", "t.kind", "t.a", "t.b", "t.right")
+    visitor = visitor.select("id", "n", "cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("ml") - 1), lambda x: task(2, x, F.col("lot"), F.lit(True)))).alias("t"))
+    tasks = member.union(visitor).select("id", "n", "cell", "t.kind", "t.a", "t.b", "t.right")
+    # vectors come in only now, on their way to the tasks
+    tasks = tasks.join(classes.select("id", "v"), "id")
     # by all four: the rows come dealt by cell, which would keep a hot cell's tasks together
     tasks = tasks.repartition("cell", "kind", "a", "b")
     found = written(tasks.groupBy("cell", "kind", "a", "b").applyInPandas(_pairs(grid, d), "id long, n long, to long"), "found")

@@ -51,6 +51,52 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     assert len(got) == len(x) + len(ODD) and got[None]["n_links"] == 0
 
 
+def links(x):
+    c = cosines(x)
+    np.fill_diagonal(c, 0)
+    return c >= 0.9
+
+
+def test_made_partners_are_at_the_bound():
+    rng = np.random.default_rng(4)
+    for d in (64, 7, 2, 1):
+        u = rng.normal(size=(40, d))
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        c = (u * embeddings.made_partners(u, max(1, d // 2))).sum(1)
+        assert np.all((np.abs(c - 0.9) < 1e-9) | (np.abs(c - 1) < 1e-9)) and (d < 7 or np.all(np.abs(c - 0.9) < 1e-9))
+
+
+def test_few_cells_are_visited_where_no_vector_has_a_partner(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    before = {str(p) for p in _tables(spark, "visits")}
+    got = embeddings.near_duplicates(table(spark, x))
+    assert got.where("n_links > 0").count() == links(x).any(1).sum()
+    (visits,) = {str(p) for p in _tables(spark, "visits")} - before
+    met = spark.read.parquet(visits)
+    assert met.count() < 20 * len(x) and "v" not in met.columns
+
+
+def _tables(spark, name):
+    from pathlib import Path
+
+    return Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob(f"{name}-*")
+
+
+def test_rare_partners_are_found_whatever_they_differ_in(spark):
+    """One vector in a hundred has a partner, at a cosine of 0.9 to 0.95, that differs in some direction of the whole, of
+    a half, or in few components."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(8000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7900:] = embeddings.made_partners(x[:100], 16)
+    x[7900:] += 0.08 * x[:100]
+    near = links(x.astype(np.float32))
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table(spark, x.astype(np.float32))).collect()}
+    found = sum(min(1, got[i]) for i in range(7900, 8000))
+    assert near[7900:].any(1).all() and found >= 95
+
+
 def test_each_pair_is_counted_once(spark):
     x = np.repeat(np.eye(16, dtype=np.float32)[:3], [1, 2, 5], axis=0)
     got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(table(spark, x)).collect())

@@ -40,3 +40,37 @@ def containing(texts: DataFrame, key: str, text: str, parts: DataFrame, part_key
     near = texts.join(keys, key).join(parts_, part_key).where(F.contains(F.col(text), F.col(part)))
     rest = texts.join(parts.where(~long).drop("_w"), F.contains(F.col(text), F.col(part)))
     return near.select(*texts.columns, *parts_.columns).unionByName(rest)
+
+
+def proven(facts: DataFrame, members: DataFrame, fact: str, member: str) -> DataFrame:
+    """(fact, sufficient, needed, members): whether the ranges of a fact's members (fact, member, low, high) cover its own
+    (fact, low, high) without a gap, how many members it can't do without, and how many it has.
+
+    In one pass over the members in order of where they begin: a place that only one of them covers needs it. What the
+    members before reach at most, and at second most, tells which places those are: where the furthest reach so far is
+    one member's and the next begins behind the second furthest, that member is needed."""
+    rows = members.join(facts.select(fact, F.col("low").alias("_a"), F.col("high").alias("_b")), fact)
+    rows = rows.select(fact, member, "_a", "_b", F.greatest("low", "_a").alias("low"), F.least("high", "_b").alias("high"))
+    ranges = F.array_sort(F.collect_list(F.when(F.col("low") < F.col("high"), F.struct("low", "high", member))))
+    g = rows.groupBy(fact).agg(ranges.alias("_r"), F.count(F.lit(1)).alias("members"), F.first("_a").alias("_a"), F.first("_b").alias("_b"))
+    kind = dict(members.dtypes)
+    end = F.struct(F.col("_b").alias("low"), F.col("_b").alias("high"), F.lit(None).cast(kind[member]).alias(member))
+    nobody = F.lit(None).cast(kind[member])
+    zero = F.struct(F.col("_a").alias("most"), nobody.alias("who"), F.col("_a").alias("second"), F.lit(True).alias("whole"), F.array().cast(f"array<{kind[member]}>").alias("alone"))
+
+    def step(s, r):
+        gap = r["low"] > s["most"]
+        single = (r["low"] > s["second"]) & (s["most"] > s["second"]) & s["who"].isNotNull()
+        ahead = r["high"] > s["most"]
+        return F.struct(
+            F.greatest(r["high"], s["most"]).alias("most"),
+            F.when(ahead, r[member]).otherwise(s["who"]).alias("who"),
+            F.when(ahead, s["most"]).otherwise(F.greatest(r["high"], s["second"])).alias("second"),
+            (s["whole"] & ~gap).alias("whole"),
+            F.when(single, F.array_union(s["alone"], F.array(s["who"]))).otherwise(s["alone"]).alias("alone"),
+        )
+
+    fold = F.aggregate(F.concat("_r", F.array(end)), zero, step)
+    out = g.select(fact, "members", fold.alias("_f"))
+    needed = F.when(F.col("_f.whole"), F.size("_f.alone")).otherwise(F.col("members"))
+    return out.select(fact, F.col("_f.whole").alias("sufficient"), needed.cast("long").alias("needed"), "members")

@@ -22,7 +22,7 @@ INSTRUCTIONS = (
     r"\b(?:call|invoke|use)\s+(?:the\s+)?(?:tool|function)\b",
     r"\byou\s+are\s+(?:chatgpt|an?\s+assistant)\b",
 )
-COMPANY = r"(?:(?<=^)|(?<=[，。；、\s与和]))(?:查询|比较|请问|关于)?(?P<company>[一-鿿A-Za-z0-9]{2,20}?公司)"
+COMPANY = r"(?:(?<=^)|(?<=[，。；、\s与和]))(?:查询|比较|请问|关于)?(?P<company>[\u4e00-\u9fffA-Za-z0-9]{2,20}?公司)"
 NO_COMPANY = ("我们公司", "我的公司", "本公司", "其他公司", "哪个公司")
 OPEN_COMPANY = r"[两多各几]家公司$"
 POPULATION = r"普通员工|管理人员|外包人员"
@@ -74,9 +74,30 @@ def unsupported_numbers(answer: Column, sources: Column, calculated: Column, exp
     return F.filter(new, lambda x: ~F.exists(calculated, lambda c: near(x, c)))
 
 
+def placed(pieces: Column) -> Column:
+    """Pieces that make up a text, one after another, as structs of start, end (from 0) and quote; blank ones go."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,quote:string>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        end = s["at"] + F.length(x)
+        new = F.struct(s["at"].alias("start"), end.alias("end"), x.alias("quote"))
+        return F.struct(end.alias("at"), F.when(x.rlike(r"(?U)\S"), F.concat(s["out"], F.array(new))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(pieces, zero, step, lambda s: s["out"])
+
+
 def sentences(text: Column) -> Column:
-    """Segments that end in a full stop of CJK text, ! or ?, or a line, with what ends them."""
-    return F.regexp_extract_all(text, F.lit("[^。！？\\n]+[。！？\\n]*"), F.lit(0))
+    """Segments (start, end, quote) that end in a full stop of CJK text, ! or ?, or a line, with what ends them."""
+    return placed(F.regexp_extract_all(text, F.lit("[^。！？\\n]+[。！？\\n]*|[。！？\\n]+"), F.lit(0)))
+
+
+# Fixed value: where clauses end. A comma between digits ends none.
+CLAUSE_END = r"[，；;：:。！？!?\n]|(?<!\d),|,(?!\d)"
+
+
+def clauses(text: Column) -> Column:
+    """Clauses (start, end, quote) of a text, each with the sign that ends it."""
+    return placed(F.split(F.regexp_replace(text, f"({CLAUSE_END})", "$1\x1f"), "\x1f"))
 
 
 def unique_place(text: Column, part: Column) -> Column:
@@ -231,13 +252,23 @@ def calculator(expression: pd.Series) -> pd.Series:
     return expression.map(lambda x: None if x is None else calculate(x)).astype("float64")
 
 
-_CLAUSE = re.compile(r"(?<!\d)[,;:，；：。！？!?]+|[,;:，；：。！？!?]+(?!\d)|\n+")
+# Number literals of an answer, Chinese numerals, and the words for "per hundred" and "per thousand".
+_LITERAL, _CHINESE, _PER = re.compile(r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"), re.compile("[负零〇一二两三四五六七八九十百千万亿]+(?:点[零〇一二三四五六七八九]+)?"), ("百分之", "千分之")
+
+
+def stated_numbers(text: str) -> list[float]:
+    """All numbers that a text states, first those in digits, then Chinese numerals, without their units: percentages as
+    they are written, thousands' commas aside."""
+    for word in _PER:
+        text = text.replace(word, "")
+    found = [float(x) for x in _LITERAL.findall(text.replace(",", ""))]
+    numerals = [chinese_number(x) for x in _CHINESE.findall(text)]
+    return found + [x for x in numerals if x is not None]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def clauses(text: pd.Series) -> pd.Series:
-    """Clauses between punctuation; a comma inside a number parts nothing."""
-    return text.map(lambda x: None if x is None else [c.strip() for c in _CLAUSE.split(x) if c.strip()])
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def numbers_stated(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else stated_numbers(x))
 
 
 def mentions(text: str) -> list[tuple[str, str, int, int, str]]:

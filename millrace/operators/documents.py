@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.text import normalized
+
 #: Sizes in tokens: a child's limit, a parent's aim (low, high) and its hard limit.
 CHILD, LOW, HIGH, HARD = 384, 1200, 1800, 2400
 #: Kinds by the label of the parser, fixed values.
@@ -29,25 +31,66 @@ def kind_of(label: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), label), F.lit("paragraph"))
 
 
-def joined_across_pages(blocks: DataFrame, doc: str, order: str, page: str, kind: str, text: str, opens: str, goes_on: str) -> DataFrame:
-    """Blocks that go on over a page's end as one: same kind, next page, `goes_on` on the first and `opens`
-    on the second. Their texts are put together with a space."""
-    w = W.partitionBy(doc).orderBy(order)
-    same = (F.lag(kind).over(w) == F.col(kind)) & (F.lag(page).over(w) + 1 == F.col(page)) & F.lag(goes_on).over(w) & F.col(opens)
-    rows = blocks.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+#: Kinds that may go on over a page's end; fixed values.
+GO_ON = ("paragraph", "list_item", "table")
+
+
+def joined_across_pages(blocks: DataFrame, doc: str, order: str, page: str, kind: str, text: str, opens: str, goes_on: str, table: str | None = None, role: str | None = None) -> DataFrame:
+    """Blocks that go on over a page's end as one (order and kind of the first, page_from, page_to, text, parts): the
+    block before is of the same kind, one of GO_ON, on the same page or the one before, and either says that it goes on
+    while this one says that it opens so, or both are of one table (`table`: its id, null for none).
+
+    Headers and footers (`role` isn't null) come between nothing and stay as they are. Tables' rows are put together by a
+    line end; words by a space, if an ASCII letter or digit would meet another, and by nothing otherwise."""
+    w = W.partitionBy(doc, "_role").orderBy(order)
+    before = lambda c: F.lag(c).over(w)
+    rows = blocks.withColumn("_role", F.lit(False) if role is None else F.col(role).isNotNull())
+    near = (before(kind) == F.col(kind)) & F.col(kind).isin(*GO_ON) & F.col(page).between(before(page), before(page) + 1)
+    follows = before(goes_on) & F.col(opens)
+    if table is not None:
+        follows = F.coalesce(follows, F.lit(False)) | ((F.col(kind) == "table") & (before(table) == F.col(table)))
+    rows = rows.withColumn("_new", F.when(F.coalesce(near & follows & ~F.col("_role"), F.lit(False)), 0).otherwise(1))
     rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    parts = F.array_sort(F.collect_list(F.struct(order, text)))
-    out = rows.groupBy(doc, "_run").agg(F.min(order).alias(order), F.first(kind).alias(kind), F.min(page).alias("page_from"), F.max(page).alias("page_to"), F.array_join(F.transform(parts, lambda x: x[text]), " ").alias(text), F.count(F.lit(1)).alias("parts"))
-    return out.drop("_run")
-
-
-def without_furniture(blocks: DataFrame, doc: str, page: str, text: str, role: Column | None = None) -> DataFrame:
-    """blocks without headers and footers whose normalized text stands on two or more pages of the
-    document."""
-    key = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    rows = blocks.withColumn("_k", F.md5(key)).withColumn("_f", role if role is not None else F.lit(True))
-    often = rows.where("_f").groupBy(doc, "_k").agg(F.count_distinct(page).alias("n")).where("n >= 2").select(doc, "_k", F.lit(True).alias("_f"))
-    return rows.join(often, [doc, "_k", "_f"], "left_anti").drop("_k", "_f")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))), lambda x: x["t"])
+    out = rows.groupBy(doc, "_role", "_run").agg(F.min(order).alias(order), F.min_by(kind, order).alias(kind), F.min(page).alias("page_from"), F.max(page).alias("page_to"), parts.alias("_parts"))
+
+    def put(a, b):
+        words = F.right(a, F.lit(1)).rlike("[0-9A-Za-z]") & F.left(b, F.lit(1)).rlike("[0-9A-Za-z]")
+        return F.concat(a, F.when(F.col(kind) == "table", "\n").when(words, " ").otherwise(""), b)
+
+    whole = F.aggregate(F.slice("_parts", 2, F.greatest(F.size("_parts"), F.lit(1))), F.element_at("_parts", 1), put)
+    return out.select(doc, order, kind, "page_from", "page_to", whole.alias(text), F.size("_parts").cast("long").alias("parts"))
+
+
+def without_furniture(blocks: DataFrame, doc: str, page: str, text: str, role: str) -> DataFrame:
+    """blocks without headers and footers (`role` isn't null) whose text, normalized (NFKC, white space collapsed, case
+    folded), stands in that role on two or more pages of the document."""
+    key = F.when(F.col(role).isNotNull(), F.md5(normalized(text)))
+    rows = blocks.withColumn("_k", key)
+    often = rows.where("_k is not null").groupBy(doc, role, "_k").agg(F.count_distinct(page).alias("n")).where("n >= 2").select(doc, role, "_k")
+    return rows.join(often, [doc, role, "_k"], "left_anti").drop("_k").select(*blocks.columns)
+
+
+def resolved(spans: DataFrame, blocks: DataFrame, doc: str, parent: str) -> DataFrame:
+    """(doc, parent, text, problem): the text that a parent's spans give back from the blocks of its document.
+
+    spans(doc, parent, n, block, block_id, start, end, row_from, row_to, header_rows, separator): the span's block by
+    place and id; characters start to end, or, where rows are given and the table's header isn't in them, rows row_from to
+    row_to behind the header's. blocks(doc, block, id, text). A block that isn't there or isn't that one, or a range
+    beyond it, is a problem, and its parent has no text."""
+    at = spans.join(blocks.select(doc, "block", F.col("id").alias("_id"), F.col("text").alias("_text")), [doc, "block"], "left")
+    lines = F.split("_text", "\n")
+    by_row = F.col("row_from").isNotNull() & F.col("row_to").isNotNull() & (F.coalesce("header_rows", F.lit(1)) > 0)
+    problem = (
+        F.when(F.col("_id").isNull(), "no such block").when(F.col("_id") != F.col("block_id"), "another block").when(F.col("end") > F.length("_text"), "beyond the block")
+        .when(by_row & (F.col("row_to") > F.size(lines)), "beyond the rows")
+    )
+    rows = F.concat(F.slice(lines, 1, F.coalesce("header_rows", F.lit(0))), F.slice(lines, F.col("row_from") + 1, F.greatest(F.col("row_to") - F.col("row_from"), F.lit(0))))
+    piece = F.when(by_row, F.array_join(rows, "\n")).otherwise(F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")))
+    at = at.withColumn("_problem", problem).withColumn("_piece", F.concat(F.coalesce("separator", F.lit("")), F.when(F.col("_problem").isNull(), piece).otherwise("")))
+    parts = F.array_sort(F.collect_list(F.struct("n", "_piece")))
+    out = at.groupBy(doc, parent).agg(F.array_join(F.transform(parts, lambda x: x["_piece"]), "").alias("text"), F.min_by("_problem", F.when(F.col("_problem").isNotNull(), F.col("n"))).alias("problem"))
+    return out.withColumn("text", F.when(F.col("problem").isNull(), F.col("text")))
 
 
 def near_edge(top: Column, bottom: Column, height: Column, share: float = 0.15) -> Column:

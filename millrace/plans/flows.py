@@ -39,23 +39,36 @@ def label_kinds(spark, d):
     return table(spark, d, "part").select("p_partkey", D.kind_of(label).alias("kind"))
 
 
-@query("cross_page_join", """WITH b AS (SELECT user_id, event_id, row_number() OVER w AS page, event_type, value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-n AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type AND lag(value) OVER w > 5 AND value < 30 THEN 0 ELSE 1 END AS fresh FROM b WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM n)
-SELECT user_id, min(event_id) AS event_id, min(page) AS page_from, max(page) AS page_to, string_agg(event_id::VARCHAR, ' ' ORDER BY event_id) AS text, count(*) AS parts FROM r GROUP BY user_id, run""")
+#: Users' events as the blocks of a document, four a page: views are footers, errors rows of numbered tables.
+_BLOCKS = """b AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) + 3) // 4 AS page, CASE event_type WHEN 'error' THEN 'table' WHEN 'signup' THEN 'heading' ELSE 'paragraph' END AS kind,
+  CASE WHEN event_type = 'view' THEN 'footer' END AS role, CASE WHEN event_id % 3 = 0 THEN 'part ' || event_id || '-' ELSE event_id || ' of it' END AS text, value < 25 AS opens, value > 5 AS goes_on, CASE WHEN event_type = 'error' THEN user_id % 3 END AS tab FROM events)"""
+
+
+@query("cross_page_join", f"""WITH {_BLOCKS},
+n AS (SELECT *, CASE WHEN role IS NULL AND kind IN ('paragraph', 'table') AND lag(kind) OVER w = kind AND page BETWEEN lag(page) OVER w AND lag(page) OVER w + 1 AND ((lag(goes_on) OVER w AND opens) OR (kind = 'table' AND lag(tab) OVER w = tab)) THEN 0 ELSE 1 END AS fresh FROM b WINDOW w AS (PARTITION BY user_id, role IS NULL ORDER BY event_id)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, role IS NULL ORDER BY event_id) AS run FROM n),
+s AS (SELECT *, CASE WHEN lag(event_id) OVER w IS NULL THEN '' WHEN kind = 'table' THEN chr(10) WHEN regexp_matches(lag(text) OVER w, '[0-9A-Za-z]$') AND regexp_matches(text, '^[0-9A-Za-z]') THEN ' ' ELSE '' END AS gap FROM r WINDOW w AS (PARTITION BY user_id, role IS NULL, run ORDER BY event_id))
+SELECT user_id, min(event_id) AS event_id, min_by(kind, event_id) AS kind, min(page) AS page_from, max(page) AS page_to, string_agg(gap || text, '' ORDER BY event_id) AS text, count(*) AS parts FROM s GROUP BY user_id, role IS NULL, run""")
 def cross_page_join(spark, d):
-    e = table(spark, d, "events").withColumn("page", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long"))
-    e = e.select("user_id", "event_id", "page", "event_type", F.col("event_id").cast("string").alias("text"), (F.col("value") > 5).alias("goes_on"), (F.col("value") < 30).alias("opens"))
-    return D.joined_across_pages(e, "user_id", "event_id", "page", "event_type", "text", "opens", "goes_on").select("user_id", "event_id", "page_from", "page_to", "text", "parts")
+    e = table(spark, d, "events").withColumn("page", F.floor((F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) + 3) / 4))
+    kind = F.when(F.col("event_type") == "error", "table").when(F.col("event_type") == "signup", "heading").otherwise("paragraph")
+    i = F.col("event_id").cast("string")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("part "), i, F.lit("-"))).otherwise(F.concat(i, F.lit(" of it")))
+    rows = e.select("user_id", "event_id", "page", kind.alias("kind"), F.when(F.col("event_type") == "view", "footer").alias("role"), text.alias("text"), (F.col("value") < 25).alias("opens"), (F.col("value") > 5).alias("goes_on"), F.when(F.col("event_type") == "error", F.col("user_id") % 3).alias("tab"))
+    return D.joined_across_pages(rows, "user_id", "event_id", "page", "kind", "text", "opens", "goes_on", "tab", "role")
 
 
-_LINES = "lines AS (SELECT source, doc_id AS page, unnest(string_split(text, chr(10))) AS line FROM documents), keyed AS (SELECT *, md5(lower(trim(regexp_replace(regexp_replace(line, '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')))) AS k FROM lines)"
+#: Lines of a source's documents as blocks, the first and last of a page as header and footer.
+_LINES = """lines AS (SELECT source, doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS m FROM documents),
+keyed AS (SELECT *, CASE WHEN n = 1 THEN 'header' WHEN n = m THEN 'footer' END AS role, md5(replace(lower(trim(regexp_replace(nfc_normalize(line), '\\s+', ' ', 'g'))), 'ß', 'ss')) AS k FROM lines)"""
 
 
-@query("furniture_removal", f"WITH {_LINES}, o AS (SELECT source, k FROM keyed GROUP BY ALL HAVING count(DISTINCT page) >= 2) SELECT page, count(*) AS lines, md5(string_agg(md5(t), '' ORDER BY md5(t))) AS h FROM (SELECT page, regexp_replace(line, '[^\\x00-\\x7F]', '', 'g') AS t FROM keyed WHERE (source, k) NOT IN (SELECT (source, k) FROM o)) GROUP BY page")
+@query("furniture_removal", f"WITH {_LINES}, o AS (SELECT source, role, k FROM keyed WHERE role IS NOT NULL GROUP BY ALL HAVING count(DISTINCT page) >= 2) SELECT page, count(*) AS lines, md5(string_agg(md5(line), '' ORDER BY md5(line))) AS h FROM keyed WHERE role IS NULL OR (source, role, k) NOT IN (SELECT (source, role, k) FROM o) GROUP BY page")
 def furniture_removal(spark, d):
-    lines = table(spark, d, "documents").select("source", F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"[^\x00-\x7F]", ""))
-    out = D.without_furniture(lines, "source", "page", "line")
+    lines = table(spark, d, "documents").select("source", F.col("doc_id").alias("page"), F.split("text", "\n").alias("all"))
+    lines = lines.select("source", "page", F.size("all").alias("m"), F.posexplode("all").alias("n", "line"))
+    role = F.when(F.col("n") == 0, "header").when(F.col("n") == F.col("m") - 1, "footer")
+    out = D.without_furniture(lines.select("source", "page", "line", role.alias("role")), "source", "page", "line", "role")
     return out.groupBy("page").agg(F.count(F.lit(1)).alias("lines"), F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("line"))), "")).alias("h"))
 
 
@@ -84,10 +97,21 @@ def locator_clip(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c.alias("c")).where("c is not null").select("l_orderkey", "l_linenumber", "c.start", "c.end")
 
 
-@query("locator_resolve", "SELECT doc_id, substr(text, 11, 40) AS piece FROM documents WHERE length(text) > 60")
+@query("locator_resolve", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, unnest(lines) AS text, generate_subscripts(lines, 1) - 1 AS block FROM l),
+p AS (SELECT doc_id, block // 3 AS parent, string_agg(CASE WHEN block % 3 = 0 THEN '' ELSE chr(10) || chr(10) END || left(text, 80), '' ORDER BY block) AS text, count(*) AS n FROM b GROUP BY ALL)
+SELECT doc_id, parent, CASE WHEN problem IS NULL THEN md5(text) END AS text, problem FROM (SELECT *, CASE WHEN doc_id % 10 = 3 THEN 'another block' WHEN doc_id % 10 = 5 THEN 'beyond the block' END AS problem FROM p)
+UNION ALL SELECT doc_id, -1, NULL, 'no such block' FROM l WHERE doc_id % 10 = 7""")
 def locator_resolve(spark, d):
-    """A locator's range gives back the text that it was made from."""
-    return table(spark, d, "documents").where(F.length("text") > 60).select("doc_id", F.substring("text", 11, 40).alias("piece"))
+    """Parents of three lines each give back their text by their spans; some spans are off."""
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "text"))
+    blocks = lines.withColumn("id", F.md5(F.concat_ws(":", F.col("block").cast("string"), "text")))
+    kept, m, none = F.least(F.length("text"), F.lit(80)), F.col("doc_id") % 10, F.lit(None).cast("int")
+    spans = blocks.select(
+        "doc_id", F.floor(F.col("block") / 3).alias("parent"), F.col("block").alias("n"), "block", F.when(m == 3, "x").otherwise(F.col("id")).alias("block_id"), F.lit(0).alias("start"), (kept + F.when(m == 5, F.length("text") + 1).otherwise(0)).alias("end"),
+        none.alias("row_from"), none.alias("row_to"), none.alias("header_rows"), F.when(F.col("block") % 3 == 0, "").otherwise("\n\n").alias("separator"),
+    )
+    lost = table(spark, d, "documents").where("text is not null and doc_id % 10 = 7").select("doc_id", F.lit(-1).cast("long"), F.lit(0), F.lit(-1), F.lit("x"), F.lit(0), F.lit(1), none, none, none, F.lit(""))
+    return D.resolved(spans.union(lost), blocks, "doc_id", "parent").select("doc_id", "parent", F.md5("text").alias("text"), "problem")
 
 
 def _blocks(spark, d):

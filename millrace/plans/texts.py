@@ -71,10 +71,13 @@ def unsupported_numbers(spark, d):
     return e.select("event_id", F.size(T.unsupported_numbers(answer, F.col("event_id").cast("string"), calc, F.lit("0.125 * 8"))).alias("n"))
 
 
-@query("sentence_split", r"SELECT conv_id, turn, len(regexp_extract_all(text, '[^。！？\n]+[。！？\n]*')) AS n, md5(array_to_string(regexp_extract_all(text, '[^。！？\n]+[。！？\n]*'), '|')) AS h FROM conversations")
+@query("sentence_split", r"""WITH p AS (SELECT conv_id, turn, regexp_extract_all(text, '[^。！？\n]+[。！？\n]*|[。！？\n]+') AS parts FROM conversations), u AS (SELECT conv_id, turn, unnest(parts) AS quote, generate_subscripts(parts, 1) AS i FROM p),
+o AS (SELECT *, sum(length(quote)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS upto FROM u)
+SELECT conv_id, turn, (upto - length(quote))::INT AS start, upto::INT AS "end", quote FROM o WHERE regexp_matches(quote, '\S')""")
 def sentence_split(spark, d):
-    s = T.sentences(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("h"))
+    """Segments with their places."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.explode(T.sentences(F.col("text"))).alias("s"))
+    return rows.select("conv_id", "turn", "s.*")
 
 
 @query("span_resolve", "WITH m AS (SELECT d.doc_id, b.item_id, strpos(d.text, b.text) AS pos, strpos(substr(d.text, strpos(d.text, b.text) + 1), b.text) AS again FROM documents d, benchmark b WHERE strpos(d.text, b.text) > 0) SELECT doc_id, item_id, pos - 1 AS start FROM m WHERE again = 0")
@@ -196,6 +199,21 @@ def safe_calculator(spark, d):
     return table(spark, d, "events").select("event_id", e.alias("expression")).withColumn("value", T.calculator("expression"))
 
 
-@query("clause_catalog")
+@query("clause_catalog", r"""WITH t AS (SELECT item_id, regexp_replace(regexp_replace(text, '(\d),(\d)', '\1' || chr(30) || '\2', 'g'), '(\d),(\d)', '\1' || chr(30) || '\2', 'g') AS t FROM benchmark),
+p AS (SELECT item_id, string_split(regexp_replace(t, '([，；;：:。！？!?\n,])', '\1' || chr(31), 'g'), chr(31)) AS parts FROM t), u AS (SELECT item_id, unnest(parts) AS quote, generate_subscripts(parts, 1) AS i FROM p),
+o AS (SELECT *, sum(length(quote)) OVER (PARTITION BY item_id ORDER BY i) AS upto FROM u WHERE quote <> '')
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY i) - 1)::INT AS position, (upto - length(quote))::INT AS start, upto::INT AS "end", replace(quote, chr(30), ',') AS quote FROM o WHERE regexp_matches(quote, '\S')""")
 def clause_catalog(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.posexplode(T.clauses("text")).alias("position", "clause"))
+    """Clauses of each item with their places."""
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(T.clauses(F.col("text"))).alias("position", "c"))
+    return rows.select("item_id", "position", "c.*")
+
+
+@query("numerals_in_sentences", """WITH e AS (SELECT event_id, user_id, event_id % 9 + 1 AS a, event_id // 9 % 9 + 1 AS b, event_id % 7 AS c FROM events)
+SELECT event_id, [-(1200.5 + c), event_id::DOUBLE, (a * 10000 + b * 1000)::DOUBLE, (user_id::VARCHAR || '.' || c)::DOUBLE, 100.0 + b] AS numbers FROM e""")
+def numerals_in_sentences(spark, d):
+    """Sentences that state five numbers, in digits and in Chinese, one of them a percentage."""
+    e, digit = table(spark, d, "events"), lambda c: F.translate(c.cast("string"), "0123456789", "零一二三四五六七八九")
+    a, b, c = F.col("event_id") % 9 + 1, F.floor(F.col("event_id") / 9) % 9 + 1, F.col("event_id") % 7
+    text = F.concat(F.lit("约"), digit(a), F.lit("万"), digit(b), F.lit("千家，占百分之"), digit(F.col("user_id")), F.lit("点"), digit(c), F.lit("，即-1,20"), c.cast("string"), F.lit(".5元（编号"), F.col("event_id").cast("string"), F.lit("），另有一百零"), digit(b), F.lit("人。"))
+    return e.select("event_id", T.numbers_stated(text).alias("numbers"))

@@ -33,28 +33,34 @@ TEXT, LOOSEST, TIGHTEST = 2.5, 0.05, 2.0
 #: Share of a tie's weight that is left where one of its blocks lies in a marked container and the other doesn't.
 CROSSING = 0.1
 #: Weights before any fit: of Page.features(); of the names around a block (in boilerplate, in an article, in a
-#: container named as content, in an article within boilerplate), which are also their bounds; and of ties by the
-#: steps in the tree between neighbours (0 to 6 or more), and of the last of an element before its neighbour.
+#: container named as content, in an article within boilerplate, in a container whose name may as well be an ordinary
+#: word), which are also their bounds; and of ties by the steps in the tree between neighbours (0 to 6 or more), and
+#: of the last of an element before its neighbour. TEXT outweighs the last of the names: prose overrules it.
 WEIGHTS = np.array([-1.0, 0.7, -4.0, 1.0, 1.0, -0.5, -3.0])
-NAMES = np.array([-3.0, 2.0, 1.0, -1.0])
+NAMES = np.array([-3.0, 2.0, 1.0, -1.0, -1.5])
 TIES = np.array([1.5, 1.2, 1.0, 0.7, 0.5, 0.35, 0.25, 0.6])
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+>|[^>]*+>)|[!?/][^>]*+>)")
 _OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_RAW = {k: re.compile(rf"</{k}\b[^>]*>?", re.I) for k in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "select")}
+_RAW = {k: re.compile(rf"</{k}\b[^>]*>?", re.I) for k in ("script", "style", "title", "textarea", "template", "iframe", "svg", "select")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msup msub msqrt".split())
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _BAD_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _BAD_NAMES = frozenset(
-    "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner "
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer foot copyright colophon masthead topbar "
-    "sidebar aside widget related recommended recommendations share sharing social "
-    "cookie cookies consent notice alert gdpr newsletter subscribe subscription popup modal disclaimer "
-    "comment comments disqus reply replies respond form search login signup".split()
+    "ad ads advert advertisement advertising adsense sponsored nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer "
+    "colophon masthead topbar sidebar aside widget cookie cookies consent gdpr newsletter popup modal comment comments disqus login signup".split()
 )
+#: Names that are ordinary words too, so that a container may be named after what it is about.
+_WEAK_NAMES = frozenset(
+    "sponsor promo promotion banner foot copyright related recommended recommendations share sharing social notice alert subscribe "
+    "subscription disclaimer reply replies respond form search".split()
+)
+_ADVERT = frozenset("ad ads advert advertisement sponsored".split())
+#: Weak marks: by such a name, or as a fallback for pages without scripts.
+NAMED, FALLBACK = 1, 2
 #: Words that turn a name into one about a page's layout, as in "has-sidebar".
 _ABOUT = frozenset("has with no without".split())
 _GOOD_NAMES = frozenset("article content main post entry story".split())
@@ -73,10 +79,10 @@ class Page:
         self.texts, self.links, self.paths, self.names, self.heads = [], [], [], [], []
         names: list[str] = []  # open containers: name, number, what they say
         numbers: list[int] = []
-        said: list[tuple[bool, bool, bool, bool]] = [(False,) * 4]
+        said: list[tuple[bool, bool, bool, bool, int]] = [(False, False, False, False, 0)]
         buffer: list[str] = []
         linked = in_link = count = 0
-        skipped, inside_skipped = "", 0  # a marked inline element: its text is left out
+        skipped, inside_skipped = "", 0  # an inline element that is hidden or an advert: its text is left out
         at, n = 0, len(source)
         last = source.rfind(">") + 1  # no tag ends behind it, so none is looked for there
 
@@ -149,7 +155,7 @@ class Page:
             elif name == "br":
                 buffer.append(" ")
             if name in _INLINE:
-                if name == "span" and self._kind(name, m[4]) == "bad":
+                if self._inline_apart(name, m[4]):
                     skipped, inside_skipped = name, 1
                 continue
             flush()
@@ -162,22 +168,37 @@ class Page:
                 if names and names[-1] == other:
                     names.pop(), numbers.pop(), said.pop()
             kind = self._kind(name, m[4])
-            bad, article, good, above = said[-1]
+            bad, article, good, above, weak = said[-1]
             if kind == "bad" or name == "header" and not article:
                 bad = True
             elif kind == "article":
-                bad, article, above = False, True, above or bad
+                bad, article, above, weak = False, True, above or bad, 0
             elif kind == "good" and not bad:
                 good = True
+            elif kind == "weak":
+                weak = NAMED
+            elif name == "noscript":
+                weak = weak or FALLBACK
             count += 1
             names.append(name)
             numbers.append(count)
-            said.append((bad, article and not bad, good and not bad, above))
+            said.append((bad, article and not bad, good and not bad, above, weak))
         flush()
+        # where the page marks its article, a weak name marks what isn't part of it
+        marked = any(n[1] for n in self.names)
+        self.names = [(True, False, False, n[3], False) if marked and n[4] == NAMED else (*n[:4], n[4] > 0) for n in self.names]
+
+    @staticmethod
+    def _inline_apart(name: str, attributes: str) -> bool:
+        """Whether an inline element is hidden, or a span that is called an advert and nothing else."""
+        for a in _ATTR.finditer(attributes):
+            if a[1].lower() == "hidden" or name == "span" and (a[2] or a[3] or a[4] or "").lower() in _ADVERT:
+                return True
+        return False
 
     @staticmethod
     def _kind(name: str, attributes: str) -> str:
-        """bad, article, good or nothing, by the name and attributes of a container."""
+        """bad, article, good, weak or nothing, by the name and attributes of a container."""
         if name in _BAD_TAGS:
             return "bad"
         kind = "article" if name in ("article", "main") else ""
@@ -195,6 +216,8 @@ class Page:
                     got = {x.lower() for x in _SPLIT.split(value)}
                     if got & _BAD_NAMES and not got & _ABOUT and name not in ("body", "html", "article", "main"):
                         return "bad"
+                    if got & _WEAK_NAMES and not got & _ABOUT and not kind and name not in ("body", "html"):
+                        kind = "weak"
                     if got & _GOOD_NAMES and not kind:
                         kind = "good"
         return kind

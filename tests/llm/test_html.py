@@ -45,6 +45,25 @@ def test_marked_spans_inside_a_paragraph():
     assert html.main_text('<article><p>one <span class="ad">BUY</p><p>two.</p></article>') == "one\n\ntwo."
 
 
+def test_nothing_else_is_dropped():
+    code = '<article><p>Run <code>x = 1 <span class="hljs-comment"># note</span> y</code> first.</p>'
+    assert html.main_text(code) == "Run x = 1 # note y first."
+    assert html.main_text('<article><p>They said <span class="alert">this very word</span> was it.</p>') == "They said this very word was it."
+    essay = "".join(f"<p>An essay on poetic form has many things to say about line {i}, and it says them at length here.</p>" for i in range(4))
+    for name in ("form", "search", "related", "alert", "share"):
+        assert html.main_text(f'<body><div class="{name}">{essay}</div><div class="{name}"><a href="/">x</a></div></body>').count("poetic") == 4
+    assert html.main_text(f'<article>{essay}<noscript><p>What readers without scripts see is this long sentence of the article itself.</p></noscript></article>').count("readers without") == 1
+    assert html.main_text(f'<article>{essay}</article><div class="related"><p>Another long story of the site, which is not this one, with much to say.</p></div>').count("\n\n") == 3
+    assert "enable" not in html.main_text(f"<body><noscript>Enable scripts</noscript><article>{essay}</article></body>").lower()
+    assert html.main_text('<article><p>a <span hidden>b</span> c.</p></article>') == "a c."
+
+
+def test_repeated_rows_and_long_pages(spark):
+    page = "<article>" + "<p>A sentence of a very long page that goes on.</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, page), (1, page), (1, None)], "page_id long, html string")
+    assert sorted(r.n_chars for r in html.extract(df).collect()) == [0, 20_000 * 46 - 2, 20_000 * 46 - 2]
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "old", 5), (1, "u", PAGE, "old", 5), (2, None, None, None, None), (None, "v", "", "", 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")

@@ -147,9 +147,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     return out.withColumn("_i", F.explode(F.when(F.col("size") == 0, F.sequence(F.lit(1).cast("long"), F.col("_n"))).otherwise(F.array(F.lit(1).cast("long"))))).drop("_i", "_n")
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, slot: str | None = None) -> DataFrame:
     """The rows of the mix with all columns of docs (doc_id, text, source, ... as documents): a row for
-    each document and pass with words in the mix. Documents come whole and unchanged: the one per source at
+    each document and pass with words in the mix. slot: the name of a further column for the first slot of each row, by
+    which they are in the order of the schedule. Documents come whole and unchanged: the one per source at
     which its target ends brings all its words. Rows that are equal in all columns are taken as often as
     their number says; rows that differ in any column stay apart. Null texts have no words and are not
     taken; an empty table gives no rows. Columns may have any names but those of maps and variants."""
@@ -159,22 +160,27 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, pass
     key = F.concat_ws(":", F.xxhash64(*every).cast("string"), F.xxhash64(F.lit(1), *every).cast("string"))
     rows = docs.select(*(F.col(f"`{c}`") for c in cols), key.alias(k))
     slim = docs.select(key.alias("key"), "source", n_words(F.col("text")).alias("size"))
-    takes = mix(slim, weights, share, passes).where("taken > 0").groupBy("key").agg(F.count(F.lit(1)).alias(n)).withColumnRenamed("key", k)
+    takes = mix(slim, weights, share, passes).where("taken > 0")
+    if slot is not None:
+        return rows.dropDuplicates([k]).join(takes.select(F.col("key").alias(k), F.col("first_slot").alias(n)), k).select(*(F.col(f"`{c}`") for c in cols), F.col(n).alias(slot))
+    takes = takes.groupBy("key").agg(F.count(F.lit(1)).alias(n)).withColumnRenamed("key", k)
     rows = rows.dropDuplicates([k]).join(takes, k)
     again = spare("again", [*cols, k, n])
     return rows.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*(F.col(f"`{c}`") for c in cols))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document, with its source."""
+    """doc_id, size, source_size, target, taken of every document, with its source and first_slot, where in the schedule
+    its words first come (null: nowhere)."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", n_words(F.col("text")).alias("size"))
-    rows = mix(docs).groupBy("key", "source", "size", "at", "source_size", "target", "pass").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))
-    out = rows.groupBy("key", "source", "size", "at", "source_size", "target").agg(F.sum("taken").alias("taken"), F.max("n").alias("n"))
+    rows = mix(docs).groupBy("key", "source", "size", "at", "source_size", "target", "pass").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"), F.min("first_slot").alias("first_slot"))
+    out = rows.groupBy("key", "source", "size", "at", "source_size", "target").agg(F.sum("taken").alias("taken"), F.max("n").alias("n"), F.min("first_slot").alias("first_slot"))
     out = out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return out.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+    return out.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "taken", "first_slot")
 
 
-#: The same rows in closed form: a source takes a prefix of as many words of its passes as its target says.
+#: The same rows in closed form: a source takes a prefix of as many words of its passes as its target says; its blocks
+#: come at its slots in order, which are its values with their bits reversed.
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -184,10 +190,15 @@ o AS (SELECT *, (sum(source_size::DOUBLE) OVER () * 1.5 - coalesce(sum(top) OVER
 g AS (SELECT source, source_size, least(coalesce((SELECT min_by(level, top / weight) FROM o WHERE level * weight <= top), 'inf'::DOUBLE) * weight, top) AS target FROM o),
 q AS (SELECT *, CASE WHEN target > 0 THEN least(greatest(round(target), 1), source_size * 2) ELSE 0 END AS upto FROM g),
 a AS (SELECT d.*, q.source_size, q.target, q.upto, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, source, size, source_size, target,
-       CAST(greatest(0, least(size, upto - pos)) + greatest(0, least(size, upto - source_size - pos)) AS BIGINT) AS taken
-FROM a
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+t AS (SELECT doc_id, source, size, source_size, target, pos,
+       CAST(greatest(0, least(size, upto - pos)) + greatest(0, least(size, upto - source_size - pos)) AS BIGINT) AS taken FROM a),
+b AS (SELECT greatest(1, ceil(sum(target) / 524288))::BIGINT AS block FROM q),
+k AS (SELECT source, ceil(upto / block)::BIGINT AS quota, (sum(ceil(upto / block)) OVER (ORDER BY encode(source) NULLS LAST))::BIGINT AS hi, greatest(1, ceil(log2(greatest(sum(ceil(upto / block)) OVER (), 2))))::BIGINT AS bits FROM q, b),
+v AS (SELECT source, bits, hi - quota + unnest(range(quota)) AS v FROM k),
+r AS (SELECT source, list_sum(list_transform(range(bits), lambda i: ((v >> i) & 1) << (bits - 1 - i)))::BIGINT AS slot FROM v),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM r)
+SELECT t.doc_id, t.source, size, source_size, target, taken, n.slot AS first_slot FROM t CROSS JOIN b LEFT JOIN n ON n.source IS NOT DISTINCT FROM t.source AND n.rank = t.pos // block AND t.taken > 0
 """
 
 QUERIES: dict[str, Callable] = {"op8_mixing": op8_mixing}

@@ -135,6 +135,22 @@ def test_mixed_documents(spark):
     assert -2 <= sum(len(r["text"].split()) for r in got) - 1.5 * words <= 24 and {tuple(r) for r in got} <= set(rows)
 
 
+def test_every_prefix_of_the_mix_is_near_its_weights(spark):
+    """Documents of one word each, so that blocks are documents: up to any slot, each source has its share of the words
+    to within a few blocks."""
+    rows = [(i, "w", f"s{i % 3}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = [r["source"] for r in mixing.mixed_documents(df, slot="place").orderBy("place").collect()]
+    total = Counter(order)
+    assert sum(total.values()) == 4500
+    seen = Counter()
+    for i, s in enumerate(order, 1):
+        seen[s] += 1
+        assert all(abs(seen[x] - i * total[x] / len(order)) < 14 for x in total)
+    back = [r["source"] for r in mixing.mixed_documents(df).collect()]
+    assert Counter(back) == total
+
+
 def test_documents_that_differ_in_one_column_stay_apart(spark):
     rows = [(1, "a b c", "s", lang, "k", "t") for lang in ("x", "y", None, "x")] + [(9, "w " * 30, "big", "x", "k", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, key string, times string")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.tables import fresh
+
 
 def query_windows(body: str, document: str, most: int, prefix: str = "") -> list[str]:
     """The query whole if it fits with the document; else two parts, cut after the token nearest the middle
@@ -62,14 +64,16 @@ def hashed_vector(dimensions: int = 64) -> Callable:
 
 
 def either_lane(lanes: Sequence[Callable[[], DataFrame]]) -> tuple[list[DataFrame], list[str]]:
-    """The lanes that can be planned and why others can't. Wrong requests (ValueError) are never hidden;
-    no lane left is an error."""
+    """What the lanes that work find, and why others don't, whether they can't be planned or fail while they run: a lane's
+    hits, as many as its limit at most, are written as a table before any is used. Wrong requests (ValueError) are never
+    hidden; no lane left is an error."""
     good, lost = [], []
     for lane in lanes:
         try:
-            df = lane()
-            df.schema  # noqa: B018  analysis finds a missing table here
-            good.append(df)
+            hits = lane()
+            path = fresh(hits.sparkSession, "lane")
+            hits.write.parquet(path)
+            good.append(hits.sparkSession.read.schema(hits.schema).parquet(path))
         except ValueError:
             raise
         except Exception as e:

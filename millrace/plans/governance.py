@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import governance as G
+from millrace.operators import scope as S
 from millrace.plans.base import DOCUMENTS, VERSIONS, documents, table, versions
 
 QUERIES, ORACLE = {}, {}
@@ -119,3 +120,47 @@ def gold_load(spark, d):
 def answer_tail(spark, d):
     """The next hundred pieces behind the last that a reader has."""
     return G.answer_tail(table(spark, d, "events").select(F.col("user_id").alias("epoch"), F.col("event_id").alias("seq"), "event_type"), (7, 400))
+
+
+#: Users' turns about nations: some name one, some ask for their own company, some do both.
+_QUESTIONS = """n AS (SELECT n_nationkey, n_name FROM nation),
+q AS (SELECT conv_id * 100 + turn AS id, conv_id % 40 AS owner, conv_id % 3 AS kind, (conv_id + turn) % 25 AS about FROM conversations WHERE role = 'user'),
+p AS (SELECT o AS owner, CASE o % 4 WHEN 1 THEN [] WHEN 2 THEN [a.n_name] WHEN 3 THEN [a.n_name, b.n_name] END AS companies, CASE WHEN o % 8 < 4 THEN 'staff' END AS population FROM (SELECT unnest(range(40)) AS o) r JOIN n a ON a.n_nationkey = o % 25 JOIN n b ON b.n_nationkey = (o + 1) % 25 WHERE o % 4 > 0)"""
+
+
+def _questions(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("about"), "n_name")
+    q = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("conv_id") % 40).alias("owner"), (F.col("conv_id") % 3).alias("kind"), ((F.col("conv_id") + F.col("turn")) % 25).alias("about"))
+    name = F.concat(F.lit(" of "), "n_name", F.lit(" now"))
+    text = F.when(F.col("kind") == 0, F.concat(F.lit("what"), name)).when(F.col("kind") == 1, F.lit("我们公司 and its rules")).otherwise(F.concat(F.lit("我们公司"), name))
+    questions = q.join(n, "about").select("id", "owner", text.alias("text"))
+    a, b = n.select(F.col("about").alias("_a"), F.col("n_name").alias("_one")), n.select(F.col("about").alias("_b"), F.col("n_name").alias("_two"))
+    o = table(spark, d, "customer").select((F.col("c_custkey") % 40).alias("owner")).distinct().where("owner % 4 > 0")
+    o = o.join(a, F.col("_a") == F.col("owner") % 25).join(b, F.col("_b") == (F.col("owner") + 1) % 25)
+    companies = F.when(F.col("owner") % 4 == 1, F.array().cast("array<string>")).when(F.col("owner") % 4 == 2, F.array("_one")).otherwise(F.array("_one", "_two"))
+    profiles = o.select("owner", companies.alias("companies"), F.when(F.col("owner") % 8 < 4, "staff").alias("population"))
+    directory = n.select(F.col("n_name").alias("alias"), F.lit("company").alias("field"), F.col("n_name").alias("value"))
+    return questions, profiles, directory
+
+
+@query("business_scope", f"""WITH {_QUESTIONS}, s AS (SELECT id, q.owner, kind > 0 AS own, CASE WHEN kind <> 1 THEN n_name END AS said, companies, population, coalesce(len(companies), 0) AS has FROM q JOIN n ON n_nationkey = about LEFT JOIN p ON p.owner = q.owner),
+t AS (SELECT *, own AND has = 1 AND (said IS NULL OR said = companies[1]) AS takes FROM s)
+SELECT id, CASE WHEN NOT own THEN 'resolved' WHEN said IS NULL AND has = 0 THEN 'unresolved' WHEN said IS NULL AND has <> 1 THEN 'ambiguous' WHEN takes AND (said IS NULL OR population IS NOT NULL) THEN 'defaulted' ELSE 'resolved' END AS status,
+  array_to_string(list_filter([CASE WHEN said IS NOT NULL THEN 'company:' || said || ':explicit_user' WHEN takes THEN 'company:' || companies[1] || ':trusted_profile' END, CASE WHEN takes AND population IS NOT NULL THEN 'population:' || population || ':trusted_profile' END], lambda x: x IS NOT NULL), ' ') AS scope FROM t""")
+def business_scope(spark, d):
+    """Names by the directory, defaults by the asker's own profile."""
+    questions, profiles, directory = _questions(spark, d)
+    out = S.scoped(questions, S.mentioned_names(questions, directory, "id", "text"), profiles, "id", "owner", "text")
+    return out.select("id", "status", F.array_join(F.transform("scope", lambda x: F.concat_ws(":", x["field"], x["value"], x["source_kind"])), " ").alias("scope"))
+
+
+@query("business_coverage", f"""WITH {_QUESTIONS}, c AS (SELECT c_custkey % 40 AS owner, c_custkey AS document_id, n_name AS company, c_custkey % 2 AS revision, c_custkey % 40 % 5 <> 4 AS complete FROM customer JOIN n ON n_nationkey = c_nationkey)
+SELECT q.id, c.document_id FROM q JOIN n ON n_nationkey = about AND kind <> 1 JOIN c ON c.owner = q.owner AND c.company = n_name WHERE complete AND revision = q.owner % 2 AND q.owner % 7 <> 0""")
+def business_coverage(spark, d):
+    """The documents that cover the companies named, as far as their owners' coverage is whole and current."""
+    questions, _, directory = _questions(spark, d)
+    names = S.mentioned_names(questions, directory, "id", "text").join(questions.select("id", "owner"), "id").select("id", "owner", F.col("value").alias("company"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("company"))
+    c = table(spark, d, "customer").join(n, "c_nationkey").select((F.col("c_custkey") % 40).alias("owner"), F.lit("g").alias("generation"), (F.col("c_custkey") % 2).alias("revision"), (F.col("c_custkey") % 40 % 5 != 4).alias("complete"), F.col("c_custkey").alias("document_id"), "company")
+    binding = c.select("owner").distinct().select("owner", F.when(F.col("owner") % 7 == 0, "old").otherwise("g").alias("generation"), (F.col("owner") % 2).alias("revision"))
+    return S.covered_documents(names, c, binding, "id")

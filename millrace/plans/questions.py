@@ -37,11 +37,12 @@ def hashed_embedding(spark, d):
     return table(spark, d, "benchmark").select("item_id", R.hashed_vector()("text").alias("embedding"))
 
 
-@query("lane_degradation", "SELECT vec_id AS child_id FROM embeddings WHERE label = 3")
+@query("lane_degradation", "SELECT vec_id AS child_id, (SELECT count(*) FROM documents) > 0 AS degraded FROM embeddings WHERE label = 3")
 def lane_degradation(spark, d):
-    """One lane's table is missing; the other one answers."""
-    good, _ = R.either_lane([lambda: spark.table("no_such_index"), lambda: table(spark, d, "embeddings").where("label = 3").select(F.col("vec_id").alias("child_id"))])
-    return good[0]
+    """One lane's table is missing, one fails while it reads the documents; the third one answers."""
+    fails = F.when(F.length("text") >= 0, F.raise_error(F.lit("the index is down"))).otherwise(F.col("doc_id"))
+    good, lost = R.either_lane([lambda: spark.table("no_such_index"), lambda: table(spark, d, "documents").select(fails.alias("child_id")), lambda: table(spark, d, "embeddings").where("label = 3").select(F.col("vec_id").alias("child_id"))])
+    return good[0].withColumn("degraded", F.lit(len(good) == 1 and len(lost) == 2))
 
 
 @query("query_compilation", "SELECT doc_id AS child_id FROM documents WHERE source = 'src1' AND doc_id IN (21, 41)")

@@ -36,6 +36,10 @@ def test_lanes_degrade_but_wrong_requests_do_not(spark):
     with pytest.raises(RuntimeError, match="no lane"):
         R.either_lane([broken])
 
+    late = lambda: spark.range(5).select(F.when(F.col("id") == 3, F.raise_error(F.lit("down"))).otherwise(F.col("id")).alias("id"))
+    good, lost = R.either_lane([late, fine])
+    assert [g.count() for g in good] == [3] and len(lost) == 1
+
     def wrong():
         raise ValueError("dimension")
 

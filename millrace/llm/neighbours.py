@@ -152,7 +152,7 @@ def nearest(rows: DataFrame, queries, k: int = 5, id_column: str = "vec_id", vec
     no part, nor do null ids. Rows with the query's id are its own and no candidates. Fewer than k
     candidates are all returned. Other columns are ignored; an empty table gives no rows. seen: gets the numbers
     of visits of the second and third round."""
-    rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("asks"))
+    rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"), queries.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
     d = width(rows, "v")
     rows = rows.where(F.size("v") == d)
@@ -170,7 +170,9 @@ def nearest(rows: DataFrame, queries, k: int = 5, id_column: str = "vec_id", vec
             y = unit(matrix(b["v"], d)) @ project
             yield b.assign(part=cuts.part(y, b["id"].to_numpy()))
 
-    placed = written(rows.mapInPandas(parts, "id long, v array<double>, asks boolean, part int"), "parts")
+    kind = rows.schema["v"].dataType.simpleString()
+    # a row has a number of its own, since ids may repeat
+    placed = written(rows.mapInPandas(parts, f"id long, v {kind}, asks boolean, part int").withColumn("row", F.monotonically_increasing_id()), "parts")
     # parts number 2 * SAMPLE / LEAST_SAMPLE at most: what is counted by part is small
     chunks = F.broadcast(placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / (2 * PART)).cast("int").alias("chunks")))
     stored = placed.select("id", "v", "part").join(chunks, "part").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5)), "chunks").cast("int"))
@@ -182,12 +184,12 @@ def nearest(rows: DataFrame, queries, k: int = 5, id_column: str = "vec_id", vec
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
 
     def searched(visits: DataFrame) -> DataFrame:
-        """Each visit (id, v, bound, part) searched in all chunks of its part; many visits of a part are dealt to
-        lots, each with a copy of the part."""
+        """Each visit (row, bound, part) searched in all chunks of its part; many visits of a part are dealt to lots, each
+        with a copy of the part. A visit gets its vector on the way to its task."""
         lots = F.broadcast(visits.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("lots")))
         data = stored.join(lots, "part").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-        asked = visits.join(lots, "part").join(chunks, "part").withColumn("lot", F.pmod(F.xxhash64("id", F.lit(6)), "lots").cast("int"))
-        asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        asked = visits.join(lots, "part").join(chunks, "part").withColumn("lot", F.pmod(F.xxhash64("row", F.lit(6)), "lots").cast("int"))
+        asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(asking.select("row", "id", "v"), "row")
         keys = ["part", "chunk", "lot"]
         both = data.select("id", "v", *keys).groupBy(*keys).cogroup(asked.select("id", "v", "bound", *keys).groupBy(*keys))
         return both.applyInPandas(find, "query_id long, vec_id long, score double")
@@ -209,23 +211,23 @@ def nearest(rows: DataFrame, queries, k: int = 5, id_column: str = "vec_id", vec
                     due = (nth >= first) & (nth < last)
                     i, part = i[due], part[due]
                     for c in range(0, len(i), 4096):
-                        yield some.iloc[i[c : c + 4096]].assign(part=part[c : c + 4096].astype(np.int32))
+                        yield some[["row", "bound"]].iloc[i[c : c + 4096]].assign(part=part[c : c + 4096].astype(np.int32))
 
         return run
 
-    asking = written(placed.where("asks").select("id", "v", "part"), "asking")
+    asking = written(placed.where("asks").select("row", "id", "v", "part"), "asking")
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
 
     def bounded(found: DataFrame) -> DataFrame:
         """The queries with the k-th cosine found so far."""
         top = found.distinct().withColumn("n", best).where(F.col("n") <= k)
         reached = top.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(-2.0).alias("bound"))
-        return asking.join(reached, F.col("id") == F.col("query_id"), "left").select("id", "v", "part", F.coalesce("bound", F.lit(-2.0)).alias("bound"))
+        return asking.join(reached, F.col("id") == F.col("query_id"), "left").select("row", "v", "part", F.coalesce("bound", F.lit(-2.0)).alias("bound"))
 
-    found = written(searched(asking.withColumn("bound", F.lit(-2.0))), "home")
+    found = written(searched(asking.select("row", "part", F.lit(-2.0).alias("bound"))), "home")
     for first, last in ((0, FEW), (FEW, math.inf)):
         if cuts.depth:
-            go = written(bounded(found).mapInPandas(visits(first, last), "id long, v array<double>, part int, bound double"), "visits")
+            go = written(bounded(found).mapInPandas(visits(first, last), "row long, bound double, part int"), "visits")
             if seen is not None:
                 seen.append(go.count())
             found = written(found.union(searched(go)), "found")

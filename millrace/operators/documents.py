@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,31 +97,38 @@ def near_edge(top: Column, bottom: Column, height: Column, share: float = 0.15)
     return (top <= height * share) | (bottom >= height * (1 - share))
 
 
-def overlap(a: Sequence[float], b: Sequence[float]) -> float:
-    """Area shared by two boxes (left, top, right, bottom) over the area of both."""
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    both = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-    return w * h / both if both > 0 else 0.0
+def overlap(a: Column, b: Column) -> Column:
+    """Area shared by two boxes (arrays of left, top, right, bottom, corners in any order) over the area of both."""
+
+    def side(x: Column, i: int) -> tuple[Column, Column]:
+        return F.least(x[i], x[i + 2]), F.greatest(x[i], x[i + 2])
+
+    shared, sizes = [], []
+    for i in (0, 1):
+        (p, q), (r, s) = side(a, i), side(b, i)
+        shared.append(F.greatest(F.least(q, s) - F.greatest(p, r), F.lit(0.0)))
+        sizes.append((q - p, s - r))
+    both = shared[0] * shared[1]
+    union = sizes[0][0] * sizes[1][0] + sizes[0][1] * sizes[1][1] - both
+    return F.when(union > 0, both / union).otherwise(0.0)
 
 
 def without_overlaid(blocks: DataFrame, doc: str, page: str, order: str, text: str, box: str, least: float = 0.8) -> DataFrame:
-    """Blocks less those that repeat a kept block's text on the same page at the same place. Kept order
-    matters (A may hide B while B would have hidden C), so it is a fold over the blocks of a page."""
-    key = F.md5(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))))
+    """Blocks less those that repeat a kept block's text (normalized) on the same page at the same place; blocks without
+    a box stay. Kept order matters (A may hide B while B would have hidden C), so it is a fold over the boxes of a page
+    and text; orders are unique in a page."""
+    rows = blocks.withColumn("_k", F.md5(normalized(text)))
+    kind = dict(blocks.dtypes)
+    boxed = rows.where(F.size(box) == 4).groupBy(doc, page, "_k").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(box).cast("array<double>").alias("b")))).alias("_all"))
+    boxed = boxed.where(F.size("_all") > 1)  # a text that is there once hides nothing
+    none = F.struct(F.array().cast("array<array<double>>").alias("kept"), F.array().cast(f"array<{kind[order]}>").alias("hidden"))
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[str, list] = {}
-        rows = []
-        sorted_ = pdf.sort_values(order)
-        for i, k, b in zip(sorted_.index, sorted_["_k"], sorted_[box], strict=True):
-            if not any(overlap(b, x) >= least for x in kept.get(k, ())):
-                kept.setdefault(k, []).append(b)
-                rows.append(i)
-        return pdf.loc[rows].drop(columns="_k")
+    def step(s: Column, x: Column) -> Column:
+        hides = F.exists(s["kept"], lambda k: overlap(k, x["b"]) >= least)
+        return F.struct(F.when(hides, s["kept"]).otherwise(F.concat(s["kept"], F.array(x["b"]))).alias("kept"), F.when(hides, F.concat(s["hidden"], F.array(x["o"]))).otherwise(s["hidden"]).alias("hidden"))
 
-    return blocks.withColumn("_k", key).groupBy(doc, page).applyInPandas(keep, blocks.schema)
+    hidden = boxed.select(doc, page, F.explode(F.aggregate("_all", none, step)["hidden"]).alias(order))
+    return blocks.join(hidden, [doc, page, order], "left_anti").select(*blocks.columns)
 
 
 def repaired_levels(levels: Sequence[int | None]) -> list[int]:
@@ -209,12 +216,14 @@ _PARENT = "parent_no int, child_no int, kind string, heading_path array<string>,
 
 def chunked(blocks: DataFrame, doc: str) -> DataFrame:
     """blocks(doc, block_index, kind, level, text) to children with their parent's number and place. The
-    fold needs a document's blocks in order and holds one document at a time."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_index")
-        kinds, texts = pdf["kind"].tolist(), pdf["text"].tolist()
-        paths = heading_paths(kinds, [None if pd.isna(x) else int(x) for x in pdf["level"]], texts)
+    fold needs a document's blocks in order: a row holds one document, a batch some of them."""
+    row = F.array_sort(F.collect_list(F.struct("block_index", "kind", F.col("level").cast("int").alias("level"), "text")))
+    each = lambda c: F.transform("_blocks", lambda x: x[c]).alias(c)
+    whole = blocks.groupBy(doc).agg(row.alias("_blocks")).select(doc, *(each(c) for c in ("kind", "level", "text")))
+    names = [doc, *(c.split()[0] for c in _PARENT.split(", "))]
+
+    def of(key, kinds: list, levels: list, texts: list) -> list[tuple]:
+        paths = heading_paths(kinds, [None if x is None or x != x else int(x) for x in levels], texts)
         out, no = [], 0
         for group in parents_of(kinds, texts):
             kind = kinds[group[0]]
@@ -224,11 +233,17 @@ def chunked(blocks: DataFrame, doc: str) -> DataFrame:
                 head = " > ".join(path)
                 for n, (a, b) in enumerate(children_of(content, head)):
                     piece = content[a:b]
-                    out.append((key[0], no, n, kind, path, a, b, piece, f"{head}\n{piece}" if head else piece))
+                    out.append((key, no, n, kind, path, a, b, piece, f"{head}\n{piece}" if head else piece))
                 no += 1
-        return pd.DataFrame(out, columns=[doc, *(c.split()[0] for c in _PARENT.split(", "))])
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 64):
+                some = b.iloc[i : i + 64]
+                yield pd.DataFrame([r for x in zip(some[doc], *(some[c].map(list) for c in ("kind", "level", "text")), strict=True) for r in of(*x)], columns=names)
 
-    return blocks.select(doc, "block_index", "kind", "level", "text").groupBy(doc).applyInPandas(run, f"{doc} {dict(blocks.dtypes)[doc]}, {_PARENT}")
+    return whole.mapInPandas(run, f"{doc} {dict(blocks.dtypes)[doc]}, {_PARENT}")
 
 
 def table_cells(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -130,13 +130,47 @@ def chunking(spark, d):
     return D.chunked(_blocks(spark, d).where("kind <> 'furniture'"), "page_id")
 
 
-@query("overlaid_removal")
+#: Line items as blocks of a page of their order: a square of 30 each, its place by quantity and discount.
+_BOXES = "b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i, l_returnflag AS text, floor(l_quantity / 4)::BIGINT AS x, round(l_discount * 20)::BIGINT AS y FROM lineitem)"
+
+
+@query("overlaid_removal", f"""WITH RECURSIVE {_BOXES},
+f AS (SELECT page, 0::BIGINT AS i, false AS keeps, []::STRUCT(t VARCHAR, x BIGINT, y BIGINT)[] AS kept FROM (SELECT DISTINCT page FROM b)
+  UNION ALL SELECT page, i, new, CASE WHEN new THEN list_append(kept, {{'t': text, 'x': x, 'y': y}}) ELSE kept END FROM (SELECT f.page, b.i, b.text, b.x, b.y, f.kept,
+    len(list_filter(f.kept, lambda k: k.t = b.text AND (greatest(0, 30 - abs(k.x - b.x)) * greatest(0, 30 - abs(k.y - b.y)))::DOUBLE / (1800 - greatest(0, 30 - abs(k.x - b.x)) * greatest(0, 30 - abs(k.y - b.y))) >= 0.8)) = 0 AS new
+    FROM f JOIN b ON b.page = f.page AND b.i = f.i + 1) u)
+SELECT page, i AS block FROM f WHERE i > 0 AND keeps""")
 def overlaid_removal(spark, d):
-    """Blocks twice, a little apart: the second of each goes."""
-    b = _blocks(spark, d).select("page_id", F.lit(1).alias("page"), "block_index", "text")
-    box = lambda x: F.array(*(F.lit(float(v)) + F.col("block_index") * 30.0 * (i % 2) for i, v in enumerate((x, 0, x + 100, 20))))
-    two = b.withColumn("box", box(0)).withColumn("order", F.col("block_index") * 2).union(b.withColumn("box", box(4)).withColumn("order", F.col("block_index") * 2 + 1))
-    return D.without_overlaid(two, "page_id", "page", "order", "text", "box").select("page_id", "order")
+    """Blocks of the same text that lie over a kept one go; the order decides which."""
+    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("long")
+    x, y = F.floor(F.col("l_quantity") / 4).cast("double"), F.round(F.col("l_discount") * 20).cast("double")
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), n.alias("block"), F.col("l_returnflag").alias("text"), F.array(x, y, x + 30, y + 30).alias("box"))
+    return D.without_overlaid(b.withColumn("doc", F.lit(1)), "doc", "page", "block", "text", "box").select("page", "block")
+
+
+#: Lines of documents as blocks: short ones without a full stop are headings of a level by their length.
+_PIECES = """l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(lines) AS text, generate_subscripts(lines, 1) AS i0 FROM l),
+b AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY i0) AS i, length(text) < 60 AND NOT ends_with(text, '.') AS head, length(text) % 3 + 1 AS level, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM u WHERE regexp_matches(text, '[^\\x20\\x09-\\x0D]'))"""
+
+
+@query("parents_and_children", f"""WITH RECURSIVE {_PIECES},
+f AS (SELECT doc_id, 0::BIGINT AS i, 0 AS parent, 0::BIGINT AS size, 0 AS parts, false AS body, 0 AS last, []::VARCHAR[] AS path, false AS shut FROM (SELECT DISTINCT doc_id FROM b)
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN fresh OR parent = 0 THEN parent + 1 ELSE parent END, CASE WHEN fresh THEN n ELSE size + n END, CASE WHEN fresh THEN 1 ELSE parts + 1 END, CASE WHEN fresh THEN NOT head ELSE body OR NOT head END,
+    CASE WHEN head THEN least(level, last + 1) ELSE last END, CASE WHEN head THEN list_append(path[1:least(level, last + 1) - 1], text) ELSE path END, beyond AND NOT filled AND NOT cut
+  FROM (SELECT *, parts > 0 AND (cut OR filled OR shut) AS fresh FROM (SELECT f.doc_id, b.i, f.parent, f.size, f.parts, f.body, f.last, f.path, f.shut, b.text, b.head, b.level, b.n,
+      b.head AND f.body AS cut, f.parts > 0 AND f.size + b.n > 1800 AS beyond, f.size + b.n > 1800 AND NOT (f.size < 1200 AND f.size + b.n <= 2400) AS filled FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i + 1) x) y),
+p AS (SELECT f.doc_id, f.parent, sum(b.n) AS words, count(*) AS blocks, len(list_filter(regexp_extract_all(array_to_string(max_by(f.path, f.i), ' > '), '[^\\x20\\x09-\\x0D]+'), lambda t: true)) AS heading, md5(array_to_string(max_by(f.path, f.i), ' > ')) AS path FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i WHERE f.i > 0 GROUP BY f.doc_id, f.parent)
+SELECT doc_id, (parent - 1)::BIGINT AS parent_no, words::BIGINT AS words, ceil(words / greatest(1, 384 - heading))::BIGINT AS children, path FROM p""")
+def parents_and_children(spark, d):
+    """Documents' lines put together to parents, and how many children of 384 tokens, heading path included, each has."""
+    word = r"[^\x20\x09-\x0D]"
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_index", "text")).where(F.col("text").rlike(word))
+    head = (F.length("text") < 60) & ~F.endswith("text", F.lit("."))
+    blocks = lines.select("doc_id", "block_index", F.when(head, "heading").otherwise("paragraph").alias("kind"), F.when(head, F.length("text") % 3 + 1).alias("level"), "text")
+    out = D.chunked(blocks, "doc_id")
+    words = F.regexp_count(F.col("content"), F.lit(word + "+"))
+    return out.groupBy("doc_id", F.col("parent_no").cast("long").alias("parent_no")).agg(F.sum(words).cast("long").alias("words"), F.count(F.lit(1)).alias("children"), F.md5(F.array_join(F.first("heading_path"), " > ")).alias("path"))
 
 
 def _stream(spark, d):

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import research as R
 from millrace.plans.base import chunks, table
-from millrace.sources import readers
+from millrace.sources import readers, writers
+from millrace.sources.tables import fresh
 
 QUERIES, ORACLE = {}, {}
 
@@ -24,7 +25,12 @@ def query(name, sql=None):
     return add
 
 
-@query("query_windowing")
+@query("query_windowing", r"""WITH q AS (SELECT item_id, text AS q, length(text) AS len, regexp_extract_all(lower(text), '\S+') AS t, regexp_extract_all(text, '\s*\S+') AS p FROM benchmark),
+e AS (SELECT item_id, len, unnest(range(1, len(p))) AS k, p FROM q), n AS (SELECT item_id, k, length(array_to_string(p[1:k], '')) AS stop, len FROM e),
+r AS (SELECT conv_id, turn, item_id, list_distinct(regexp_extract_all(lower(text), '\S+')) AS d, len(regexp_extract_all(text, '\S+')) AS size, q.t FROM conversations JOIN q ON q.item_id = conv_id % 40),
+w AS (SELECT r.conv_id, r.turn, min_by(n.k, (abs(n.stop - n.len / 2), n.stop)) AS k FROM r JOIN n ON n.item_id = r.item_id AND len(r.t) + size > 120 AND n.k + size <= 120 AND len(r.t) - n.k + size <= 120 GROUP BY ALL),
+v AS (SELECT conv_id, turn, item_id, d, unnest(CASE WHEN len(t) + size <= 120 THEN [t] WHEN k IS NOT NULL THEN [t[1:k], t[k + 1:]] ELSE [NULL] END) AS part FROM r LEFT JOIN w USING (conv_id, turn))
+SELECT conv_id, turn, item_id, max(len(list_intersect(list_distinct(part), d)) / len(list_distinct(list_concat(part, d)))) AS score FROM v GROUP BY ALL""")
 def query_windowing(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
     docs = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
@@ -140,6 +146,12 @@ def text_blocks(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(readers.text_blocks(F.col("text"))).cast("long").alias("blocks"))
 
 
-@query("artifact_verify", "SELECT item_id, sha256(text) AS hash FROM benchmark")
+@query("artifact_verify", "SELECT sha256(text) AS hash, md5(text) AS payload, false AS broken FROM documents WHERE text IS NOT NULL AND doc_id % 9 <> 4 GROUP BY text UNION SELECT sha256(text), md5(text || '!'), true FROM documents WHERE text IS NOT NULL AND doc_id % 9 = 4")
 def artifact_verify(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.sha2("text", 256).alias("hash"))
+    """Texts stored under their hashes, once each, and read again; some changed behind their hash's back are found."""
+    docs = table(spark, d, "documents").where("text is not null")
+    stored = writers.artifacts(docs.where("doc_id % 9 <> 4").select("text"), fresh(spark, "artifacts"), "text")
+    damaged = docs.where("doc_id % 9 = 4").select(F.sha2("text", 256).alias("hash"), F.concat("text", F.lit("!")).alias("text")).distinct()
+    rows = stored.select("hash", "text").union(damaged)
+    bad = writers.broken(rows, "text").select("hash", "text", F.lit(True).alias("broken"))
+    return rows.join(bad, ["hash", "text"], "left").select("hash", F.md5("text").alias("payload"), F.coalesce("broken", F.lit(False)).alias("broken"))

@@ -147,11 +147,14 @@ def log_detector(spark, d):
     return table(spark, d, "events").select("event_id", T.is_log(F.concat(F.upper("event_type"), F.lit(" x"))).alias("is_log"))
 
 
-@query("mime_sniff", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/zip' WHEN 2 THEN 'text/plain' ELSE 'application/octet-stream' END AS mime FROM lineitem")
+@query("mime_sniff", r"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/zip' WHEN 2 THEN 'application/x-ole-storage' WHEN 3 THEN 'application/octet-stream'
+ ELSE CASE WHEN regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') OR doc_id % 12 = 5 THEN 'application/octet-stream' ELSE 'text/plain' END END AS mime FROM documents WHERE text IS NOT NULL""")
 def mime_sniff(spark, d):
-    m = F.col("l_linenumber") % 4
-    body = F.when(m == 0, F.unhex(F.lit("255044462D312E37"))).when(m == 1, F.unhex(F.lit("504B030414000600"))).when(m == 2, F.encode(F.lit("plain\ttext\n"), "UTF-8")).otherwise(F.unhex(F.lit("00010203FFFE")))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.sniffed_type(body).alias("mime"))
+    """Texts behind the first bytes of other types, with bytes that aren't UTF-8, with a control character, and as they are."""
+    m, raw = F.col("doc_id") % 6, F.encode("text", "UTF-8")
+    lead = lambda h: F.concat(F.unhex(F.lit(h)), raw)
+    body = F.when(m == 0, lead("255044462D312E37")).when(m == 1, lead("504B030414000600")).when(m == 2, lead("D0CF11E0A1B11AE1")).when(m == 3, F.concat(raw, F.unhex(F.lit("C3")))).when(F.col("doc_id") % 12 == 5, F.concat(raw, F.unhex(F.lit("01")))).otherwise(raw)
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.sniffed_type(body).alias("mime"))
 
 
 @query("coordinates", "SELECT c_custkey, CASE WHEN c_acctbal / 20 BETWEEN -180 AND 180 AND c_nationkey * 8.0 - 60 <= 90 THEN round(c_acctbal / 20, 4) END AS lon FROM customer")

@@ -117,8 +117,16 @@ def test_rows_split_repeats_the_header():
     assert sum(p.count("a b") for p in parts) == 30
 
 
-def test_overlap():
-    assert D.overlap((0, 0, 10, 10), (0, 0, 10, 10)) == 1.0 and D.overlap((0, 0, 1, 1), (2, 2, 3, 3)) == 0.0
+def test_overlap(spark):
+    box = lambda *x: F.array(*(F.lit(float(v)) for v in x))
+    got = spark.range(1).select(D.overlap(box(0, 0, 10, 10), box(10, 10, 0, 0)).alias("a"), D.overlap(box(0, 0, 1, 1), box(2, 2, 3, 3)).alias("b"), D.overlap(box(0, 0, 0, 0), box(0, 0, 0, 0)).alias("c")).first()
+    assert tuple(got) == (1.0, 0.0, 0.0)
+
+
+def test_overlaid_blocks_go_in_order(spark):
+    rows = [(1, 1, 0, "A  b", [0.0, 0.0, 10.0, 10.0]), (1, 1, 1, "a b", [1.0, 0.0, 11.0, 10.0]), (1, 1, 2, "a B", [2.0, 0.0, 12.0, 10.0]), (1, 1, 3, "other", [0.0, 0.0, 10.0, 10.0]), (1, 2, 4, "a b", [0.0, 0.0, 10.0, 10.0]), (1, 1, 5, "a b", None), (1, 1, 6, None, [0.0, 0.0, 10.0, 10.0])]
+    df = spark.createDataFrame(rows, "doc int, page int, n int, text string, box array<double>")
+    assert sorted(r.n for r in D.without_overlaid(df, "doc", "page", "n", "text", "box").collect()) == [0, 2, 3, 4, 5, 6]
 
 
 def test_closure_and_drift(spark):

@@ -79,11 +79,15 @@ class StoredLexicalIndex:
         hits = post.select("bucket", "term", self.key, "tf", "dl").join(weighed, ["bucket", "term"])
         return hits.groupBy(by, self.key).agg(F.sum(part).alias("score"))
 
+    def hits(self, queries: DataFrame, query_key: str, query_text: str, where: Column | None = None) -> DataFrame:
+        """(query key, key, score) of all documents that share a term with a query and meet `where`."""
+        asked = queries.select(query_key, F.explode(F.array_distinct(self.analyzer(F.col(query_text)))).alias("term"))
+        return self.scored(asked, query_key, where)
+
     def search(self, queries: DataFrame, query_key: str, query_text: str, where: Column | None = None, k: int = 40, scope_terms: Sequence[str] = ()) -> DataFrame:
         """(query key, key, score, lane_rank): the k best of each query. Statistics are of all documents, whatever the
         filter. Scope terms add to the score of what the query finds, and find nothing themselves."""
-        asked = queries.select(query_key, F.explode(F.array_distinct(self.analyzer(F.col(query_text)))).alias("term"))
-        hits = self.scored(asked, query_key, where)
+        hits = self.hits(queries, query_key, query_text, where)
         if scope_terms:
             more = queries.select(query_key).distinct().select(query_key, F.explode(F.array(*(F.lit(t) for t in dict.fromkeys(scope_terms)))).alias("term"))
             hits = lanes.with_scope_terms(hits, self.scored(more, query_key, where), [query_key, self.key])

@@ -68,18 +68,10 @@ def _hits(where: str) -> str:
     return _HITS.replace("<where>", where)
 
 
-@query("bm25_lane", _hits("c.content_type = 'en' AND c.is_active") + "SELECT item_id, child_id, round(score, 6) AS score, lane_rank FROM bmr WHERE lane_rank <= 40")
-def bm25_lane(spark, d):
-    c = chunks(spark, d)
-    hits = lanes.bm25(c, table(spark, d, "benchmark"), "child_id", "text", "item_id", "text", (F.col("content_type") == "en") & F.col("is_active"))
-    out = lanes.ranked(hits, by=["item_id"], limit=40)
-    return out.select("item_id", "child_id", F.round("score", 6).alias("score"), F.col("lane_rank").cast("long").alias("lane_rank"))
-
-
-def lexical_index(spark, d) -> StoredLexicalIndex:
-    """The stored index of all chunks, built from the tables as they are now unless that is done."""
-    build = lambda path: StoredLexicalIndex.build(chunks(spark, d), "child_id", "text", path, ["user_id", "content_type", "is_active"])
-    return StoredLexicalIndex(spark, built_once(spark, "lexical", [f"{d}/documents.parquet", f"{d}/labels.parquet"], build))
+def lexical_index(spark, d, analyzer=lanes.terms) -> StoredLexicalIndex:
+    """The stored index of all chunks by an analyzer, built from the tables as they are now unless that is done."""
+    build = lambda path: StoredLexicalIndex.build(chunks(spark, d), "child_id", "text", path, ["user_id", "content_type", "is_active"], analyzer)
+    return StoredLexicalIndex(spark, built_once(spark, f"lexical-{analyzer.__name__}", [f"{d}/documents.parquet", f"{d}/labels.parquet"], build), analyzer)
 
 
 def vector_index(spark, d) -> StoredVectorIndex:
@@ -88,9 +80,9 @@ def vector_index(spark, d) -> StoredVectorIndex:
     return StoredVectorIndex(spark, built_once(spark, "vectors", [f"{d}/embeddings.parquet"], build))
 
 
-@query("indexed_lexical", _hits("c.content_type = 'en' AND c.is_active") + "SELECT item_id, child_id, round(score, 6) AS score, lane_rank FROM bmr WHERE lane_rank <= 40")
-def indexed_lexical(spark, d):
-    """The lane of bm25_lane from the stored index: postings of the terms asked, no text."""
+@query("bm25_lane", _hits("c.content_type = 'en' AND c.is_active") + "SELECT item_id, child_id, round(score, 6) AS score, lane_rank FROM bmr WHERE lane_rank <= 40")
+def bm25_lane(spark, d):
+    """From the stored index: postings of the terms asked that meet the filter, and no text."""
     out = lexical_index(spark, d).search(table(spark, d, "benchmark"), "item_id", "text", (F.col("content_type") == "en") & F.col("is_active"))
     return out.select("item_id", "child_id", F.round("score", 6).alias("score"), F.col("lane_rank").cast("long").alias("lane_rank"))
 
@@ -107,18 +99,10 @@ nnr AS (SELECT *, row_number() OVER (ORDER BY round(score, 6) DESC, child_id) AS
 """
 
 
-@query("indexed_dense", "WITH " + _KNN.format(where="label <> 3") + "SELECT child_id, round(score, 6) AS score, lane_rank FROM nnr WHERE lane_rank <= 40")
-def indexed_dense(spark, d):
-    """The lane of knn_lane from the stored index."""
-    out = vector_index(spark, d).search(_vector(spark, d), F.col("label") != 3)
-    return out.select("child_id", F.round("score", 6).alias("score"), F.col("lane_rank").cast("long").alias("lane_rank"))
-
-
 @query("knn_lane", "WITH " + _KNN.format(where="label <> 3") + "SELECT child_id, round(score, 6) AS score, lane_rank FROM nnr WHERE lane_rank <= 40")
 def knn_lane(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("child_id"), "embedding", "label")
-    hits = lanes.knn(rows, "child_id", "embedding", _vector(spark, d), 40, F.col("label") != 3)
-    return lanes.ranked(hits).select("child_id", F.round("score", 6).alias("score"), F.col("lane_rank").cast("long").alias("lane_rank"))
+    """Exact neighbours of one vector among those that meet the filter, from the stored index."""
+    return vector_index(spark, d).search(_vector(spark, d), F.col("label") != 3).select("child_id", F.round("score", 6).alias("score"), F.col("lane_rank").cast("long").alias("lane_rank"))
 
 
 _BI = TERMS.format("text")
@@ -137,9 +121,9 @@ x AS (SELECT item_id, child_id, max(CASE a WHEN 1 THEN 2 * score ELSE score END)
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, child_id) AS lane_rank FROM x)
 SELECT item_id, child_id, round(score, 6) AS score, lane_rank FROM r WHERE lane_rank <= 10""")
 def bm25_best_fields(spark, d):
-    c, b = chunks(spark, d), table(spark, d, "benchmark")
-    args = (c, b, "child_id", "text", "item_id", "text")
-    hits = lanes.best_fields(lanes.bm25(*args, analyzer=lanes.bigrams), lanes.bm25(*args), ["item_id", "child_id"])
+    b = table(spark, d, "benchmark")
+    every = lambda analyzer: lexical_index(spark, d, analyzer).hits(b, "item_id", "text")
+    hits = lanes.best_fields(every(lanes.bigrams), every(lanes.terms), ["item_id", "child_id"])
     out = lanes.ranked(hits, by=["item_id"], limit=10)
     return out.select("item_id", "child_id", F.round("score", 6).alias("score"), F.col("lane_rank").cast("long").alias("lane_rank"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import io
 import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators import research as R
 from millrace.plans.base import chunks, table
@@ -117,28 +120,41 @@ def locator_authorization(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ok.alias("authorized"))
 
 
-def _container(*parts: tuple[str, str]) -> bytes:
-    """A container with such parts (name, text)."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts:
-            z.writestr(name, text)
-    return out.getvalue()
+#: A sound container, with what each of the others has besides, or instead, and is found out for.
+_CONTAINERS = (
+    (None, None), ("../up.xml", "unsafe names"), ("XL/workbook.xml", "unsafe names"), ("", "a part is missing"), ("xl/dtd.xml", "declares entities"), ("xl/in.xlsx", "another kind of part"), ("xl/zeros.xml", "too large"),
+    ("xl/open.xml", "broken markup"), ("xl/media/a.png", None), ("xl/media/b.png", "not the image it says"), ("xl/media/c.png", "nested container"), (None, "not a container"),
+)
 
 
-_PARTS = ("[Content_Types].xml", "<Types/>"), ("xl/workbook.xml", "<workbook/>")
+@F.pandas_udf(T.BinaryType())
+def _boxed(key: pd.Series, text: pd.Series) -> pd.Series:
+    """Each page's text as a container's strings, with the fault that its key says."""
+    png = b"\x89PNG\r\n\x1a\n"
+    faults = {"xl/dtd.xml": b'<!DOCTYPE a [<!ENTITY b "c">]><a/>', "xl/zeros.xml": b"0" * 20_000_000, "xl/open.xml": b"<a>", "xl/media/a.png": png + b"data", "xl/media/b.png": b"data", "xl/media/c.png": png + b"..PK\x03\x04"}
 
+    def one(k: int, t: str) -> bytes:
+        extra, _ = _CONTAINERS[k % len(_CONTAINERS)]
+        if k % len(_CONTAINERS) == len(_CONTAINERS) - 1:
+            return (t or "").encode()
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("[Content_Types].xml", "<Types/>")
+            if extra != "":
+                z.writestr("xl/workbook.xml", "<workbook/>")
+            if extra != "xl/zeros.xml":
+                z.writestr("xl/sharedStrings.xml", f"<sst><si><t>{html.escape(''.join(c for c in t or '' if c >= ' '))}</t></si></sst>")
+            if extra:
+                z.writestr(extra, faults.get(extra, b"<a/>"))
+        return out.getvalue()
 
-@query("container_safety", "SELECT page_id, [NULL, 'unsafe names', 'unsafe names', 'a part is missing', 'declares entities', 'nested container', 'too large', 'not a container'][(page_id % 8 + 1)::INT] AS problem FROM pages")
+    return pd.Series([one(k, t) for k, t in zip(key, text, strict=True)])
+
+
+@query("container_safety", "SELECT page_id, [" + ", ".join("NULL" if p is None else f"'{p}'" for _, p in _CONTAINERS) + f"][(page_id % {len(_CONTAINERS)} + 1)::INT] AS problem FROM pages")
 def container_safety(spark, d):
-    """A sound container, six that aren't, and a page."""
-    extra = [None, ("../up.xml", ""), ("XL/workbook.xml", ""), None, ("xl/a.xml", '<!DOCTYPE a [<!ENTITY b "c">]>'), ("xl/in.xlsx", "x"), ("xl/big.txt", "0" * 5_000_000)]
-    made = [_container(*(_PARTS[:1] if i == 3 else _PARTS), *([x] if x else [])) for i, x in enumerate(extra)]
-    of = lambda i: F.col("page_id") % 8 == i
-    content = F.when(of(7), F.encode("html", "UTF-8"))
-    for i, x in enumerate(made):
-        content = content.when(of(i), F.lit(x))
-    return table(spark, d, "pages").select("page_id", readers.container_check(content).alias("problem"))
+    """Pages put in containers, most of them with one fault each, and pages that are none."""
+    return table(spark, d, "pages").select("page_id", readers.container_check(_boxed("page_id", "html")).alias("problem"))
 
 
 @query("text_blocks", "SELECT conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x)), lambda x: x <> '')) AS blocks FROM conversations")

@@ -8,6 +8,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,10 +78,48 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, key: str) -
 
 #: Limits of an office container: entries, bytes of a part and of all, ratio of sizes; required parts.
 ENTRIES, BYTES, RATIO, NEEDED = 4096, 100 << 20, 1000, ("[Content_Types].xml", "xl/workbook.xml")
+#: Kinds of parts that a container may have, and what images begin with; fixed values.
+MARKUP = (".xml", ".rels", ".vml", ".svg")
+IMAGES = {
+    ".png": (b"\x89PNG\r\n\x1a\n",), ".jpg": (b"\xff\xd8\xff",), ".jpeg": (b"\xff\xd8\xff",), ".gif": (b"GIF87a", b"GIF89a"), ".bmp": (b"BM",),
+    ".tif": (b"II*\x00", b"MM\x00*"), ".tiff": (b"II*\x00", b"MM\x00*"), ".emf": (b"\x01\x00\x00\x00",), ".wmf": (b"\xd7\xcd\xc6\x9a", b"\x01\x00\t\x00", b"\x02\x00\t\x00"),
+}
+#: What archives begin with, which an image may not hold anywhere; fixed values.
+ARCHIVES = (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", b"Rar!\x1a\x07", b"7z\xbc\xaf\x27\x1c", b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"MSCF", b"!<arch>\n", b"\x28\xb5\x2f\xfd", b"\x04\x22\x4d\x18", b"ustar")
+_ARCHIVE = re.compile(b"|".join(map(re.escape, ARCHIVES)))
+
+
+class _Declared(Exception):
+    pass
+
+
+def _part_problem(name: str, content: bytes) -> str | None:
+    """Why one part isn't safe: markup must be well-formed and declare nothing, an image must be one and hold no archive."""
+    if name.lower().endswith(MARKUP):
+        parser = expat.ParserCreate()
+
+        def declared(*_) -> None:
+            raise _Declared
+
+        parser.StartDoctypeDeclHandler = parser.EntityDeclHandler = parser.ExternalEntityRefHandler = declared
+        try:
+            parser.Parse(content, True)
+        except _Declared:
+            return "declares entities"
+        except expat.ExpatError:
+            return "broken markup"
+        return None
+    signs = IMAGES.get(posixpath.splitext(name.lower())[1])
+    if signs is None:
+        return "another kind of part"
+    if _ARCHIVE.search(content):
+        return "nested container"
+    return None if content.startswith(signs) else "not the image it says"
 
 
 def container_problem(content: bytes) -> str | None:
-    """Why a spreadsheet container isn't safe to open, or None."""
+    """Why a spreadsheet container isn't safe to open, or None. Parts are read only once the sizes that the directory
+    states are within bounds."""
     try:
         z = zipfile.ZipFile(io.BytesIO(content))
         infos = z.infolist()
@@ -89,20 +128,20 @@ def container_problem(content: bytes) -> str | None:
     names = [i.filename for i in infos]
     if len(infos) > ENTRIES:
         return "too many entries"
-    if len(set(map(str.lower, names))) != len(names) or any(n.startswith("/") or "\\" in n or ".." in posixpath.normpath(n).split("/") for n in names):
+    parts = [n.rstrip("/").split("/") for n in names]
+    if len(set(map(str.lower, names))) != len(names) or any("\\" in n for n in names) or any(x in ("", ".", "..") or ":" in x for p in parts for x in p):
         return "unsafe names"
     if any(n not in names for n in NEEDED):
         return "a part is missing"
     if any(i.flag_bits & 1 for i in infos):
         return "encrypted"
-    if sum(i.file_size for i in infos) > BYTES or any(i.file_size > BYTES or i.file_size > RATIO * max(1, i.compress_size) for i in infos):
+    whole = sum(i.file_size for i in infos)
+    if whole > BYTES or whole > RATIO * sum(max(1, i.compress_size) for i in infos) or any(i.file_size > BYTES for i in infos):
         return "too large"
-    for i in infos:
-        if i.filename.endswith((".xml", ".rels")) and re.search(rb"<!(?:DOCTYPE|ENTITY)", z.read(i)):
-            return "declares entities"
-        if i.filename.lower().endswith((".zip", ".xlsx", ".docx", ".bin")):
-            return "nested container"
-    return None
+    try:
+        return next((p for i in infos if not i.is_dir() and (p := _part_problem(i.filename, z.read(i)))), None)
+    except (zipfile.BadZipFile, EOFError, NotImplementedError, OSError, RuntimeError, ValueError):
+        return "not a container"
 
 
 @F.pandas_udf(T.StringType())

@@ -161,6 +161,9 @@ def test_container_safety():
     assert readers.container_problem(_container({"a": "b"})) == "a part is missing"
     assert readers.container_problem(_container(fine | {"../x": "1"})) == "unsafe names"
     assert readers.container_problem(_container(fine | {"xl/a.xml": "<!DOCTYPE a>"})) == "declares entities"
+    assert readers.container_problem(_container(fine | {"_rels/.rels": "<a/>", "xl/media/x.GIF": b"GIF89a..."})) is None
+    for name, content, problem in (("xl/a.xml", "<a>", "broken markup"), ("xl/m.png", b"GIF89a", "not the image it says"), ("xl/m.gif", b"GIF89a \x1f\x8b", "nested container"), ("xl/m.bin", b"x", "another kind of part"), ("xl/a:b.xml", "<a/>", "unsafe names"), ("xl//b.xml", "<a/>", "unsafe names")):
+        assert readers.container_problem(_container(fine | {name: content})) == problem
     assert readers.container_problem(_container(fine | {"xl/z.txt": "0" * 5_000_000})) == "too large"
 
 

@@ -123,11 +123,17 @@ def envelope_render(spark, d):
     return table(spark, d, "documents").select("doc_id", T.envelope(F.col("source"), F.col("doc_id").cast("string"), F.col("lang"), path).alias("json"))
 
 
-@query("company_mentions", """WITH m(odd, field, value, start, "end", status) AS (VALUES (0, 'company', '星河公司', 2, 6, 'resolved'), (0, 'company', '蓝天科技公司', 7, 13, 'resolved'), (0, 'population', '普通员工', 14, 18, 'resolved'), (1, 'company', '本公司与多家公司', 0, 8, 'unresolved'))
-SELECT conv_id, turn, field, value, start, "end", status FROM conversations JOIN m ON turn % 2 = odd""")
+@query("company_mentions", """WITH c AS (SELECT conv_id, turn, '新' || translate(conv_id::VARCHAR, '0123456789', '天地玄黄宇宙洪荒日月') || '公司' AS a, CASE turn % 3 WHEN 0 THEN '本公司' WHEN 1 THEN 'Acme' || turn || '公司' ELSE '多家公司' END AS b FROM conversations)
+SELECT conv_id, turn, 'company' AS field, a AS value, 2 AS start, 2 + length(a) AS "end", 'resolved' AS status FROM c
+UNION ALL SELECT conv_id, turn, 'company', b, 3 + length(a), 3 + length(a) + length(b), CASE turn % 3 WHEN 2 THEN 'unresolved' ELSE 'resolved' END FROM c WHERE turn % 3 > 0
+UNION ALL SELECT conv_id, turn, 'population', '外包人员', 4 + length(a) + length(b), 8 + length(a) + length(b), 'resolved' FROM c WHERE conv_id % 2 = 0""")
 def company_mentions(spark, d):
-    q = F.when(F.col("turn") % 2 == 0, "请问星河公司和蓝天科技公司的普通员工").otherwise("本公司与多家公司")
-    return table(spark, d, "conversations").select("conv_id", "turn", q.alias("q")).select("conv_id", "turn", F.explode(T.mentioned("q")).alias("m")).select("conv_id", "turn", "m.*")
+    """Questions that name a company, then another, their own or several, and half of them a population."""
+    t = table(spark, d, "conversations")
+    one = F.concat(F.lit("新"), F.translate(F.col("conv_id").cast("string"), "0123456789", "天地玄黄宇宙洪荒日月"), F.lit("公司"))
+    two = F.when(F.col("turn") % 3 == 0, "本公司").when(F.col("turn") % 3 == 1, F.concat(F.lit("Acme"), F.col("turn").cast("string"), F.lit("公司"))).otherwise("多家公司")
+    q = F.concat(F.lit("请问"), one, F.lit("和"), two, F.lit("的"), F.when(F.col("conv_id") % 2 == 0, "外包人员").otherwise("办法"))
+    return t.select("conv_id", "turn", F.explode(T.mentioned(q)).alias("m")).select("conv_id", "turn", "m.*")
 
 
 @query("file_names", "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'café ' || page_id || '.pdf' END AS name FROM pages")

@@ -423,8 +423,8 @@ def main_text(source: str | None, model: Model | None = None) -> str:
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages with `text` and `n_chars` (code points) in place of `column`: a row per row. Null and empty
-    pages have the empty text. Columns of pages with those names are replaced, all others stay, whatever their
-    names. The weights are learnt from SAMPLE_PAGES pages or so; without marked ones the first weights hold."""
+    pages have the empty text, a page of any length is taken whole, repeated rows are rows of their own and an empty
+    table gives none. Columns of pages with those names are replaced, all others stay, whatever their names. The weights are learnt from SAMPLE_PAGES pages or so; without marked ones the first weights hold."""
     n = max(1, pages.count() // SAMPLE_PAGES)
     drawn = pages.where(F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(n)) == 0).select(F.col(f"`{column}`").alias("h"))
     model = fitted(drawn)

@@ -132,7 +132,8 @@ _SPAN = "array<struct<kind:int,start:int,end:int,base:boolean,votes:int>>"
 
 
 def candidates(docs: DataFrame, name: str = "_spans") -> DataFrame:
-    """docs with `name` behind its columns: all candidates of the text (null: empty), base matches first."""
+    """docs with `name` behind its columns: all candidates of the text (null: empty), base matches first. A row per row,
+    repeated ones too; an empty table gives none; a long text is taken whole, in steps that grow with it."""
     own = spare("_h", [c[:2] for c in docs.columns])
     t = F.coalesce(F.col("text"), F.lit(""))
     at, dots = t.contains("@"), t.rlike(r"[0-9]\.[0-9]")
@@ -233,7 +234,8 @@ def _text_of(spans: Column) -> Column:
 
 
 def found(rows: DataFrame, weights: tuple[float, ...]) -> DataFrame:
-    """rows with `_spans` to doc_id, the counts of base spans, base_sha256 and spans."""
+    """rows with `_spans` to doc_id, the counts of base spans, base_sha256 and spans. Rows without spans have counts of
+    0, the hash of the empty text and no spans; null ids, repeated rows and empty tables stay as they are."""
     base = F.array_sort(F.transform(F.filter("_spans", lambda s: s["base"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     of = lambda i: F.size(F.filter("_spans", lambda s: s["base"] & (s["kind"] == i))).cast("long")
     n = (of(i).alias(f"n_{k}") for i, k in enumerate(KINDS))

@@ -20,7 +20,7 @@ def query(name, sql):
 
 
 @query("release_membership", """WITH r AS (SELECT c_nationkey AS generation, c_custkey % 7 AS member, c_custkey AS child, md5(c_name) AS hash, c_acctbal > 0 AS is_active FROM customer)
-SELECT generation, child, CASE WHEN generation % 3 = 1 AND generation IN (SELECT generation FROM r WHERE member IN (2, 5)) THEN member IN (2, 5) ELSE is_active END AS is_active FROM r""")
+SELECT generation, child, CASE WHEN (generation % 3 = 1 AND generation IN (SELECT generation FROM r WHERE member IN (2, 5))) OR (generation % 3 = 2 AND generation IN (SELECT generation FROM r WHERE member = 2) AND generation NOT IN (SELECT generation FROM r WHERE member = 5)) THEN member IN (2, 5) ELSE is_active END AS is_active FROM r""")
 def release_membership(spark, d):
     """A third of the generations is released with right digests, a third with one that is wrong, a third not at all."""
     r = table(spark, d, "customer").select(F.col("c_nationkey").alias("generation"), (F.col("c_custkey") % 7).alias("member"), F.col("c_custkey").alias("child"), F.md5("c_name").alias("hash"), (F.col("c_acctbal") > 0).alias("is_active"))

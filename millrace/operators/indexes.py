@@ -51,7 +51,8 @@ class StoredLexicalIndex:
         spark = docs.sparkSession
         rows = docs.select(key, *attributes, analyzer(F.col(text)).alias("_terms"))
         rows = rows.select(key, *attributes, F.size("_terms").cast("long").alias("dl"), F.explode("_terms").alias("term"))
-        found = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), *(F.first(a).alias(a) for a in attributes))
+        # a document has one length and one of each attribute: as keys they keep the aggregate a hash of counts
+        found = rows.groupBy(key, "term", "dl", *attributes).agg(F.count(F.lit(1)).alias("tf"))
         found = found.select("term", key, "tf", "dl", *attributes, _bucket(F.col("term"), buckets).alias("bucket"))
         found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")

@@ -104,7 +104,7 @@ def history_as_of(spark, d):
     """The last six runs of a thread that were over when its newest run began."""
     o = table(spark, d, "orders")
     a = o.groupBy(F.col("o_custkey").alias("thread")).agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("a"))
-    finished = F.col("o_orderdate") + F.make_dt_interval((F.col("o_totalprice").cast("decimal(18,0)").cast("long") % 60).cast("int"))
+    finished = F.col("o_orderdate") + F.make_dt_interval((F.rint("o_totalprice").cast("long") % 60).cast("int"))  # a half goes to the even number, as in SQL
     r = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("thread"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created"), finished.alias("finished"))
     x = r.join(a, "thread").where((F.col("finished") <= F.col("a.o_orderdate")) & (F.struct(F.col("created").alias("o_orderdate"), F.col("id").alias("o_orderkey")) < F.col("a")))
     return x.withColumn("n", F.row_number().over(W.partitionBy("thread").orderBy(F.desc("created"), F.desc("id")))).where("n <= 6").select("thread", "id")

@@ -217,8 +217,8 @@ _OPS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lamb
 LIMIT = 1e12
 
 
-def calculate(expression: str) -> float | None:
-    """The value of an arithmetic expression: + - * / // % ** and signs over numbers within LIMIT; exponents
+def calculate(expression: str, limit: float = LIMIT) -> float | None:
+    """The value of an arithmetic expression: + - * / // % ** and signs over finite numbers within a limit; exponents
     up to 100, or 40 if the base is over 1; None for anything else."""
 
     def value(node) -> float:
@@ -235,7 +235,7 @@ def calculate(expression: str) -> float | None:
             out = a**b
         else:
             raise ValueError("not arithmetic")
-        if isinstance(out, complex) or not math.isfinite(out) or abs(out) > LIMIT:
+        if isinstance(out, complex) or not math.isfinite(out) or abs(out) > limit:
             raise ValueError("out of range")
         return out
 
@@ -247,9 +247,12 @@ def calculate(expression: str) -> float | None:
         return None
 
 
-@F.pandas_udf(T.DoubleType())
-def calculator(expression: pd.Series) -> pd.Series:
-    return expression.map(lambda x: None if x is None else calculate(x)).astype("float64")
+def calculator(expression: Column | str, limit: float = LIMIT) -> Column:
+    @F.pandas_udf(T.DoubleType())
+    def values(expression: pd.Series) -> pd.Series:
+        return expression.map(lambda x: None if x is None else calculate(x, limit)).astype("float64")
+
+    return values(expression)
 
 
 # Number literals of an answer, Chinese numerals, and the words for "per hundred" and "per thousand".

@@ -4,6 +4,7 @@ import duckdb
 from parity import both
 
 import millrace.plans.control as control
+import millrace.plans.texts as texts
 
 
 def same(spark, folder, query, module, **tables):
@@ -22,3 +23,9 @@ def test_half_prices_round_to_even(spark, tmp_path):
     orders = """SELECT i::BIGINT AS o_orderkey, i // 2 AS o_custkey, 'F' AS o_orderstatus, (20.5 + i // 2 % 2)::DOUBLE AS o_totalprice,
         TIMESTAMP '1997-01-01' + to_days((CASE WHEN i % 2 = 0 THEN 0 ELSE 20 + i // 4 % 3 END)::INT) AS o_orderdate, '5-LOW' AS o_orderpriority FROM range(48) t(i)"""
     assert same(spark, tmp_path, "history_as_of", control, orders=orders)
+
+
+def test_values_of_high_user_ids(spark, tmp_path):
+    """500 times the square of 90,000 is over the calculator's usual bound."""
+    events = "SELECT i AS event_id, i * 30000 AS user_id, (500.37 + i)::DOUBLE AS value FROM range(5) t(i)"
+    assert "None" not in str(same(spark, tmp_path, "safe_calculator", texts, events=events))

@@ -178,12 +178,13 @@ def _stream(spark, d):
     return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
 
 
-def _log(spark, d, most: int = 4000):
-    """The events as a log of messages, `most` a file, and a stream of it, a file a micro-batch."""
+def _log(spark, d, most: int = 4000, files: int = 250):
+    """The events as a log of messages, `most` a file, and a stream of it, `files` a micro-batch: what a batch costs by
+    itself, some ten jobs' start and the state of all before it, is paid once a million messages."""
     events = table(spark, d, "events")
     path = fresh(spark, "messages")
     S.message_log(events, path, "event_id", most)
-    return S.consumed(spark, path, events.schema)
+    return S.consumed(spark, path, events.schema, files)
 
 
 @query("stream_publish_once", "SELECT DISTINCT user_id, event_type FROM events")

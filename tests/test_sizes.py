@@ -4,6 +4,7 @@ import duckdb
 from parity import both
 
 import millrace.plans.control as control
+import millrace.plans.flows as flows
 import millrace.plans.texts as texts
 
 
@@ -29,3 +30,12 @@ def test_values_of_high_user_ids(spark, tmp_path):
     """500 times the square of 90,000 is over the calculator's usual bound."""
     events = "SELECT i AS event_id, i * 30000 AS user_id, (500.37 + i)::DOUBLE AS value FROM range(5) t(i)"
     assert "None" not in str(same(spark, tmp_path, "safe_calculator", texts, events=events))
+
+
+def test_a_micro_batch_takes_many_files(spark, tmp_path):
+    """What a batch costs by itself is paid once a million messages, not once a file."""
+    spark.range(9000).selectExpr("id AS event_id", "id % 7 AS user_id", "'view' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    sizes = []
+    q = flows._log(spark, str(tmp_path)).writeStream.foreachBatch(lambda b, _: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sizes == [9000]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import evidence, fusion, lanes, packing
 from millrace.operators.filters import SearchFilter, page_before
-from millrace.operators.indexes import StoredLexicalIndex, StoredVectorIndex
+from millrace.operators.indexes import StoredLexicalIndex, StoredVectorIndex, searched
 from millrace.plans.base import CHUNKS, DOCUMENTS, VERSIONS, chunks, documents, table, versions
 from millrace.sources.tables import built_once
 
@@ -122,9 +122,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6)
 SELECT item_id, child_id, round(score, 6) AS score, lane_rank FROM r WHERE lane_rank <= 10""")
 def bm25_best_fields(spark, d):
     b = table(spark, d, "benchmark")
-    every = lambda analyzer: lexical_index(spark, d, analyzer).hits(b, "item_id", "text")
-    hits = lanes.best_fields(every(lanes.bigrams), every(lanes.terms), ["item_id", "child_id"])
-    out = lanes.ranked(hits, by=["item_id"], limit=10)
+    out = searched([(lexical_index(spark, d, lanes.bigrams), 2.0), (lexical_index(spark, d), 1.0)], b, "item_id", "text", None, 10)
     return out.select("item_id", "child_id", F.round("score", 6).alias("score"), F.col("lane_rank").cast("long").alias("lane_rank"))
 
 
@@ -176,7 +174,7 @@ def _reranked(spark, d, works: bool = True) -> DataFrame:
     hits = fusion.fused(_lanes(spark, d))
     if works:
         text = table(spark, d, "benchmark").where("item_id = 0").first()["text"]
-        hits = hits.join(table(spark, d, "documents").select(F.col("doc_id").alias("child_id"), "text"), "child_id")
+        hits = table(spark, d, "documents").select(F.col("doc_id").alias("child_id"), "text").join(F.broadcast(hits), "child_id")  # 30 rows
         return fusion.reranked(hits, fusion.overlap_score(F.lit(text), F.col("text")))
     return fusion.reranked(hits, None)
 
@@ -208,7 +206,7 @@ def hybrid_retrieval(spark, d):
     """One question end to end: filter, two lanes, fusion, reranking, parents, hydration."""
     top = fusion.parents(_reranked(spark, d)).withColumn("children", F.array_join("children", ","))
     # at most six parents are left: the chunks are met by a join that carries ids only
-    rows = top.join(chunks(spark, d).select("parent_id", "child_id", "n_chars"), "parent_id")
+    rows = chunks(spark, d).select("parent_id", "child_id", "n_chars").join(F.broadcast(top), "parent_id")
     return rows.groupBy("parent_id", "parent_score", F.col("parent_rank").cast("long").alias("parent_rank"), "children").agg(F.count(F.lit(1)).alias("n_children"), F.sum("n_chars").alias("n_chars"))
 
 
@@ -350,7 +348,7 @@ def greedy_packing(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("child_id"), "lang", "source", "text")
     third = F.substring(F.col("text"), (F.floor(F.length("text") / 3) + 1).cast("int"), F.lit(30))
     odd = F.col("child_id") % 2 == 1
-    rows = hits.join(docs, "child_id").select(
+    rows = docs.join(F.broadcast(hits), "child_id").select(  # 8 hits an item: no text moves but theirs
         "item_id", F.col("lane_rank").alias("rank"), (F.col("child_id") % 5).cast("string").alias("document"), F.col("child_id").cast("string").alias("evidence"), F.col("text").alias("content"),
         third.alias("child"), F.when(odd, F.array("source")).otherwise(F.array().cast("array<string>")).alias("headings"), F.array("lang").alias("targets"),
     )

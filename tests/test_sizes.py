@@ -2,7 +2,10 @@
 
 import duckdb
 from parity import both
+from pyspark.sql import functions as F
 
+import millrace.operators.indexes as indexes
+import millrace.operators.lanes as lanes
 import millrace.plans.control as control
 import millrace.plans.flows as flows
 import millrace.plans.texts as texts
@@ -39,3 +42,18 @@ def test_a_micro_batch_takes_many_files(spark, tmp_path):
     q = flows._log(spark, str(tmp_path)).writeStream.foreachBatch(lambda b, _: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sizes == [9000]
+
+
+def test_documents_are_scored_for_all_queries_at_once(spark, tmp_path, monkeypatch):
+    """The same rows as by joins, copies in order of id, over several chunks of postings; a pair of document and query is
+    never a row, and building shuffles no posting."""
+    docs = spark.createDataFrame([(i, f"common word{i % 7} word{i % 3 + 20} " + "often " * (i % 4), i % 2) for i in range(400)] + [(400, None, 0), (401, " ", 1)], "child_id long, text string, half int")
+    q = spark.createDataFrame([(1, "common word3"), (2, "word21 often never"), (3, "none"), (4, None), (2, "word5")], "q int, text string")
+    plain, pairs = (indexes.StoredLexicalIndex.build(docs, "child_id", "text", str(tmp_path / a.__name__), ["half"], a) for a in (lanes.terms, lanes.bigrams))
+    rows = lambda df: sorted((r.q, r.lane_rank, r.child_id, round(r.score, 9)) for r in df.collect())
+    monkeypatch.setattr(indexes, "ROWS", 50)
+    monkeypatch.setattr(indexes, "DOCS", 8)
+    for fields, where, more in (([(plain, 1.0)], None, []), ([(plain, 1.0)], F.col("half") == 1, ["often"]), ([(pairs, 2.0), (plain, 1.0)], None, [])):
+        got = indexes.searched(fields, q, "q", "text", where, 9, more)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and rows(got) and rows(got) == rows(indexes._joined(fields, q.groupBy("q").agg(F.array_join(F.collect_list("text"), " ").alias("text")), "q", "text", where, 9, more))

@@ -50,10 +50,11 @@ k AS (SELECT *, CASE o_orderkey % 100 WHEN 1 THEN 'blank row' WHEN 2 THEN 'not J
   CASE WHEN o_orderkey % 100 = 7 THEN o_orderkey - 7 ELSE o_orderkey END AS id FROM l)
 SELECT line, md5(value) AS value, coalesce(own, 'repeated id') AS problem FROM (SELECT *, row_number() OVER (PARTITION BY own IS NULL, id ORDER BY line) AS nth FROM k) WHERE own IS NOT NULL OR nth > 1""")
 def json_line_problems(spark, d):
-    """Orders written as one file of JSON lines, some of them bad in each way, and what is found in it by number."""
+    """Orders written as JSON lines, some of them bad in each way, in files that go on where the one before ends, and what
+    is found in them by number."""
     o, path = table(spark, d, "orders"), fresh(spark, "lines")
-    o.select("o_orderkey", F.expr(_LINES).alias("value")).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
-    rows = jsonlines.judged_lines(jsonlines.numbered_lines(spark, path), "id", jsonlines.UNSAFE)
+    o.select("o_orderkey", F.expr(_LINES).alias("value")).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    rows = jsonlines.judged_lines(jsonlines.numbered_lines(spark, path, through=True), "id", jsonlines.UNSAFE)
     return rows.where("problem is not null").select("line", F.md5("value").alias("value"), "problem")
 
 

@@ -16,14 +16,15 @@ from pyspark.sql import types as T
 UNSAFE = r"prompt|completion|raw[_ -]?tool|tool[_ -]?(?:input|output|args|result)|chain[_ -]?of[_ -]?thought|hidden[_ -]?reasoning|provider[_ -]?(?:token|response|secret)"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of all lines, numbered from 1 in each file. Files are read in splits; a line's number is its
-    place in its split behind the lines of the splits before, whose counts alone are gathered."""
+def numbered_lines(spark: SparkSession, path: str, through: bool = False) -> DataFrame:
+    """(file, line, value) of all lines, numbered from 1 in each file, or through all files by name. Files are read in
+    splits; a line's number is its place in its split behind the lines of the splits before, whose counts alone are
+    gathered."""
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
     splits = rows.groupBy("file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_n").over((W.orderBy("file", "_at") if through else W.partitionBy("file").orderBy("_at")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     splits = splits.select("file", "_at", "_first", before.alias("_before"))
-    return rows.join(splits, ["file", "_at"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+    return rows.join(F.broadcast(splits), ["file", "_at"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
 
 
 def line_problem(text: str, unsafe: re.Pattern | None = None) -> str | None:

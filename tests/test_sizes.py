@@ -1,6 +1,9 @@
 """Rows that only larger tables hold: queries give the rows of their SQL on them."""
 
+import hashlib
+
 import duckdb
+import pandas as pd
 from parity import both
 from pyspark.sql import functions as F
 
@@ -8,7 +11,9 @@ import millrace.operators.indexes as indexes
 import millrace.operators.lanes as lanes
 import millrace.plans.control as control
 import millrace.plans.flows as flows
+import millrace.plans.ingestion as ingestion
 import millrace.plans.texts as texts
+from millrace.sources import jsonlines, parsing
 
 
 def same(spark, folder, query, module, **tables):
@@ -57,3 +62,31 @@ def test_documents_are_scored_for_all_queries_at_once(spark, tmp_path, monkeypat
         got = indexes.searched(fields, q, "q", "text", where, 9, more)
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "Aggregate" not in plan and rows(got) and rows(got) == rows(indexes._joined(fields, q.groupBy("q").agg(F.array_join(F.collect_list("text"), " ").alias("text")), "q", "text", where, 9, more))
+
+
+def test_small_files_share_a_frame(monkeypatch):
+    content = [f"page {i}".encode() for i in range(100)]
+    files = pd.DataFrame({"id": range(100), "content": content, "size": [len(c) for c in content], "sha256": [hashlib.sha256(c).hexdigest() for c in content]})
+    whole = list(parsing.frames(iter([files]), ["id"], 5))
+    assert len(whole) == 1 and list(whole[0]["id"]) == list(range(100)) and whole[0]["problem"].isna().all()
+    monkeypatch.setattr(parsing, "TOGETHER", 60)
+    parts = list(parsing.frames(iter([files]), ["id"], 5))
+    assert len(parts) > 5 and pd.concat(parts, ignore_index=True).equals(whole[0])
+
+
+def test_lines_count_on_through_files(spark, tmp_path):
+    spark.range(1000).repartitionByRange(5, "id").sortWithinPartitions("id").selectExpr("string(id) AS value").write.text(str(tmp_path / "lines"))
+    got = jsonlines.numbered_lines(spark, str(tmp_path / "lines"), through=True).collect()
+    assert len({r.file for r in got}) > 1 and sorted((r.line, int(r.value)) for r in got) == [(i + 1, i) for i in range(1000)]
+
+
+def test_json_lines_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    found = []
+    numbered = jsonlines.numbered_lines
+    monkeypatch.setattr(jsonlines, "numbered_lines", lambda s, path, *a, **k: (found.append(s.read.text(path).inputFiles()), numbered(s, path, *a, **k))[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert same(spark, tmp_path, "json_line_problems", ingestion, orders="SELECT i::BIGINT AS o_orderkey, '5-LOW' AS o_orderpriority FROM range(2000) t(i)")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found[0]) > 1

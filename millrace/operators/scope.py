@@ -68,6 +68,11 @@ def covered_documents(companies: DataFrame, coverage: DataFrame, binding: DataFr
     """(key, document_id): the documents that a question about companies(key, owner, company) may keep to, by
     coverage(owner, generation, revision, complete, document_id, company). Only coverage that is complete and of the
     generation and revision that binding(owner, generation, revision) says are current counts: questions of other
-    owners have no rows here, and so no narrowing."""
-    current = coverage.where("complete").join(binding, ["owner", "generation", "revision"], "left_semi")
-    return companies.join(current.select("owner", "company", "document_id"), ["owner", "company"]).select(key, "document_id").distinct()
+    owners have no rows here, and so no narrowing.
+
+    Documents are made distinct for each set of companies that is asked, not for each question: the pairs that are
+    returned are neither shuffled nor held."""
+    current = coverage.where("complete").join(binding, ["owner", "generation", "revision"], "left_semi").select("owner", "company", "document_id")
+    asked = companies.where("owner is not null and company is not null").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("owner", "company"))).alias("_set"))
+    each = asked.select("_set").distinct().select("_set", F.explode("_set").alias("_one")).select("_set", "_one.*")
+    return asked.join(each.join(current, ["owner", "company"]).select("_set", "document_id").distinct(), "_set").select(key, "document_id")

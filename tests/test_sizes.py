@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 import millrace.operators.indexes as indexes
 import millrace.operators.lanes as lanes
+import millrace.operators.scope as scope
 import millrace.plans.control as control
 import millrace.plans.flows as flows
 import millrace.plans.ingestion as ingestion
 import millrace.plans.texts as texts
-from millrace.sources import jsonlines, parsing
+from millrace.sources import jsonlines, parsing, readers
 
 
 def same(spark, folder, query, module, **tables):
@@ -90,3 +91,22 @@ def test_json_lines_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(found[0]) > 1
+
+
+def test_documents_are_distinct_by_sets_of_companies(spark):
+    """A document that several of a question's companies have comes once, and the pairs are in no aggregate."""
+    companies = spark.createDataFrame([(1, 7, "a"), (1, 7, "b"), (2, 7, "b"), (3, 8, "a"), (4, 7, None), (5, 7, "a"), (5, 7, "b")], "id int, owner int, company string")
+    coverage = spark.createDataFrame([(7, "g", 1, True, 10, "a"), (7, "g", 1, True, 10, "b"), (7, "g", 1, True, 11, "b"), (7, "g", 0, True, 12, "b"), (7, "g", 1, False, 13, "a"), (8, "g", 1, True, 14, "a")], "owner int, generation string, revision int, complete boolean, document_id int, company string")
+    binding = spark.createDataFrame([(7, "g", 1)], "owner int, generation string, revision int")
+    out = scope.covered_documents(companies, coverage, binding, "id")
+    assert sorted(map(tuple, out.collect())) == [(1, 10), (1, 11), (2, 10), (2, 11), (5, 10), (5, 11)]
+    top = out._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()[0]
+    assert not top.startswith("Aggregate")
+
+
+def test_blocks_of_many_pages_come_in_parts(monkeypatch):
+    monkeypatch.setattr(readers, "TOGETHER", 100)
+    pages = pd.DataFrame({"page_id": range(50), "html": [f"<p>page {i}</p><p>two</p>" if i % 9 else None for i in range(50)]})
+    parts = list(readers.block_frames(iter([pages]), "page_id", "html"))
+    whole = pd.concat(parts, ignore_index=True)
+    assert len(parts) > 5 and list(whole["page_id"]) == [i for i in range(50) if i % 9 for _ in range(2)] and list(whole["block_index"][:4]) == [0, 1, 0, 1]

@@ -7,13 +7,15 @@ import json
 import math
 import re
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.sources.tables import fresh
 
@@ -181,26 +183,52 @@ def dates_beside_headings(blocks: DataFrame, page: str, order: str) -> DataFrame
     return near.groupBy(page, order, "heading").agg(F.count_distinct("_h").alias("n")).where("n >= 2").drop("n")
 
 
-def _folded(rows: DataFrame, build: str, fields: Sequence[str], state: Column, step: Callable[[Column, Column], Column], out: str) -> DataFrame:
-    """A build's rows (structs of fields, the first their order) through a fold whose state collects `out`."""
-    g = rows.groupBy(build).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
-    return g.select(build, F.explode(F.aggregate("_rows", state, step, lambda s: s[out])).alias("_r"))
+def _values(column: pa.Array) -> list:
+    """As Python's values; whole numbers without nulls by way of numpy, which is faster."""
+    return column.to_numpy().tolist() if pa.types.is_integer(column.type) and not column.null_count else column.to_pylist()
+
+
+def _folded(rows: DataFrame, build: str, fields: Sequence[str], out: str, start: Callable[[], dict], step: Callable[..., tuple]) -> DataFrame:
+    """A build's rows, sorted by fields, through step(state, *fields), which changes the state and gives the values of
+    `out`. A task holds a batch of rows and one build's state, however many rows the build has."""
+    result = T.StructType([rows.schema[build], *T.StructType.fromDDL(out)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, at, state = to_arrow_schema(result), None, None
+        for b in batches:
+            got = []
+            for key, *r in zip(*(_values(b.column(c)) for c in (build, *fields)), strict=True):
+                if state is None or key != at:
+                    at, state = key, start()
+                got.append((key, *step(state, *r)))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
+
+    return rows.select(build, *fields).repartition(build).sortWithinPartitions(build, *fields).mapInArrow(run, result)
+
+
+def _plus(x, y):
+    """As in SQL: null if either is."""
+    return None if x is None or y is None else x + y
+
+
+def _fits(used, asked, most) -> bool:
+    return used is not None and asked is not None and used + asked <= most
 
 
 def admitted(requests: DataFrame, build: str, order: str, most_requests: int, most_tokens: int, most_cost: float) -> DataFrame:
     """requests(build, order, tokens, cost) with `admitted`: a fold, since a refused request leaves room for a
-    later, smaller one. Orders are unique in a build, whose requests a fold holds."""
+    later, smaller one. Orders are unique in a build."""
     kind = dict(requests.dtypes)
-    row = f"struct<{order}:{kind[order]},tokens:{kind['tokens']},cost:{kind['cost']},admitted:boolean>"
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast(kind["tokens"]).alias("tokens"), F.lit(0).cast(kind["cost"]).alias("cost"), F.array().cast(f"array<{row}>").alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        ok = (s["n"] + 1 <= most_requests) & (s["tokens"] + r["tokens"] <= most_tokens) & (s["cost"] + r["cost"] <= most_cost)
-        more = lambda c: (s[c] + F.when(ok, r[c]).otherwise(0)).cast(kind[c]).alias(c)
-        new = F.struct(r[order].alias(order), r["tokens"].alias("tokens"), r["cost"].alias("cost"), ok.alias("admitted"))
-        return F.struct((s["n"] + ok.cast("int")).alias("n"), more("tokens"), more("cost"), F.concat(s["out"], F.array(new)).alias("out"))
+    def step(s: dict, at, tokens, cost) -> tuple:
+        ok = s["n"] + 1 <= most_requests and _fits(s["tokens"], tokens, most_tokens) and _fits(s["cost"], cost, most_cost)
+        if ok:
+            s.update(n=s["n"] + 1, tokens=s["tokens"] + tokens, cost=s["cost"] + cost)
+        return at, tokens, cost, ok
 
-    return _folded(requests, build, [order, "tokens", "cost"], zero, step, "out").select(build, "_r.*")
+    out = f"{order} {kind[order]}, tokens {kind['tokens']}, cost {kind['cost']}, admitted boolean"
+    return _folded(requests, build, [order, "tokens", "cost"], out, lambda: {"n": 0, "tokens": 0, "cost": 0}, step)
 
 
 def metered(events: DataFrame, build: str, order: str, most_requests: int, most_tokens: int, most_cost: float) -> DataFrame:
@@ -209,25 +237,29 @@ def metered(events: DataFrame, build: str, order: str, most_requests: int, most_
     reserve: reserved, if requests, tokens and cost, reserved and consumed together, stay within their caps; else
     exhausted, which changes nothing. settle: what was reserved under the id goes and what was used is consumed,
     once: settled; a second time repeated, and unknown where nothing was reserved. Only what is used counts from then
-    on, so settling makes room. Orders are unique in a build; a fold holds one build's events."""
+    on, so settling makes room. Orders are unique in a build; a fold holds what one build has reserved."""
     kind = dict(events.dtypes)
-    one = f"struct<id:{kind['id']},tokens:{kind['tokens']},cost:{kind['cost']},open:boolean>"
-    row = f"struct<{order}:{kind[order]},outcome:string,requests:int,reserved_tokens:{kind['tokens']},consumed_tokens:{kind['tokens']},reserved_cost:{kind['cost']},consumed_cost:{kind['cost']}>"
-    none = lambda c, name: F.lit(0).cast(kind[c]).alias(name)
-    zero = F.struct(F.lit(0).alias("requests"), none("tokens", "reserved_tokens"), none("tokens", "consumed_tokens"), none("cost", "reserved_cost"), none("cost", "consumed_cost"), F.array().cast(f"array<{one}>").alias("held"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        held = F.try_element_at(F.filter(s["held"], lambda h: h["id"] == r["id"]), F.lit(1))
-        fits = (s["requests"] + 1 <= most_requests) & (s["reserved_tokens"] + s["consumed_tokens"] + r["tokens"] <= most_tokens) & (s["reserved_cost"] + s["consumed_cost"] + r["cost"] <= most_cost)
-        outcome = F.when(r["kind"] == "reserve", F.when(fits, "reserved").otherwise("exhausted")).when(held.isNull(), "unknown").when(held["open"], "settled").otherwise("repeated")
-        made, paid = outcome == "reserved", outcome == "settled"
-        account = [(s["requests"] + made.cast("int")).alias("requests")]
-        for c in ("tokens", "cost"):
-            account.append((s[f"reserved_{c}"] + F.when(made, r[c]).when(paid, -held[c]).otherwise(0)).cast(kind[c]).alias(f"reserved_{c}"))
-            account.append((s[f"consumed_{c}"] + F.when(paid, r[c]).otherwise(0)).cast(kind[c]).alias(f"consumed_{c}"))
-        entry = lambda h, is_open: F.struct(h["id"].alias("id"), h["tokens"].alias("tokens"), h["cost"].alias("cost"), F.lit(is_open).alias("open"))
-        shut = F.transform(s["held"], lambda h: F.when(h["id"] == r["id"], entry(h, False)).otherwise(h))
-        now = F.when(made, F.concat(s["held"], F.array(entry(r, True)))).when(paid, shut).otherwise(s["held"])
-        return F.struct(*account, now.alias("held"), F.concat(s["out"], F.array(F.struct(r[order].alias(order), outcome.alias("outcome"), *account))).alias("out"))
-
-    return _folded(events, build, [order, "kind", "id", "tokens", "cost"], zero, step, "out").select(build, "_r.*")
+
+    def start() -> dict:
+        return {"requests": 0, "rt": 0, "ct": 0, "rc": 0, "cc": 0, "held": {}}
+
+    def step(s: dict, at, what, id_, tokens, cost) -> tuple:
+        held = s["held"].get(id_)
+        if what == "reserve":
+            outcome = "exhausted"
+            if s["requests"] + 1 <= most_requests and _fits(_plus(s["rt"], s["ct"]), tokens, most_tokens) and _fits(_plus(s["rc"], s["cc"]), cost, most_cost):
+                outcome = "reserved"
+                if held is None or not held[2]:
+                    s["held"][id_] = [tokens, cost, True]
+                s.update(requests=s["requests"] + 1, rt=s["rt"] + tokens, rc=s["rc"] + cost)
+        elif held is None:
+            outcome = "unknown"
+        elif held[2]:
+            outcome, held[2] = "settled", False
+            s.update(rt=s["rt"] - held[0], ct=_plus(s["ct"], tokens), rc=s["rc"] - held[1], cc=_plus(s["cc"], cost))
+        else:
+            outcome = "repeated"
+        return at, outcome, s["requests"], s["rt"], s["ct"], s["rc"], s["cc"]
+
+    out = f"{order} {kind[order]}, outcome string, requests int, reserved_tokens {kind['tokens']}, consumed_tokens {kind['tokens']}, reserved_cost {kind['cost']}, consumed_cost {kind['cost']}"
+    return _folded(events, build, [order, "kind", "id", "tokens", "cost"], out, start, step)

@@ -41,10 +41,12 @@ def budget_settlement(spark, d):
     whole = lambda c: F.sum(F.round(F.col(c) * 100)).cast("long")
     li = li.agg(whole("l_quantity").alias("tokens"), whole("l_extendedprice").alias("cost"), F.min("l_linenumber").alias("l_linenumber"))
     third, half = F.floor(F.col("cost") / 3), F.floor(F.col("tokens") / 2)
-    reserve = li.select("build", (F.col("id") * 4).alias("step"), F.lit("reserve").alias("kind"), "id", "tokens", "cost")
-    settle = li.where("l_linenumber <> 3").select("build", ((F.col("id") + 5000) * 4 + 1).alias("step"), F.lit("settle").alias("kind"), "id", half.alias("tokens"), third.alias("cost"))
-    again = li.where("l_linenumber = 1").select("build", ((F.col("id") + 9000) * 4 + 2).alias("step"), F.lit("settle").alias("kind"), "id", "tokens", "cost")
-    return R.metered(reserve.union(settle).union(again), "build", "step", 25, 30_000, 30_000_000)
+    event = lambda step, kind, tokens, cost: F.struct(step.alias("step"), F.lit(kind).alias("kind"), "id", tokens.alias("tokens"), cost.alias("cost"))
+    reserve = event(F.col("id") * 4, "reserve", F.col("tokens"), F.col("cost"))
+    settle = F.when(F.col("l_linenumber") != 3, event((F.col("id") + 5000) * 4 + 1, "settle", half, third))
+    again = F.when(F.col("l_linenumber") == 1, event((F.col("id") + 9000) * 4 + 2, "settle", F.col("tokens"), F.col("cost")))
+    events = li.select("build", F.explode(F.array_compact(F.array(reserve, settle, again))).alias("e")).select("build", "e.*")
+    return R.metered(events, "build", "step", 25, 30_000, 30_000_000)
 
 
 #: Customers' orders as the blocks of a document: urgent ones are headings of unequal levels, the others name two.

@@ -2,6 +2,7 @@
 
 import pandas as pd
 
+from millrace.operators import research as R
 from millrace.streaming.leases import Leases
 
 
@@ -43,3 +44,19 @@ def test_leases_of_many_items_are_one_state():
     got = pd.concat(leases.handleExpiredTimer((0,), Passed(1150), Passed(1150)))
     assert sorted(got["item"]) == list(range(11)) and set(got["outcome"]) == {"expired"} and handle.timers == {1151} and (handle.reads, handle.writes) == (2, 3)
     assert not list(leases.handleExpiredTimer((0,), Passed(1150), Passed(1150))) and handle.writes == 3
+
+
+def test_accounts_of_a_long_build_are_a_stream(spark):
+    """A build's events are never gathered into one row; an id that is reserved again is open again; nulls don't fit."""
+    e = spark.range(30000).selectExpr("1L AS build", "id AS at", "CASE WHEN id % 2 = 0 THEN 'reserve' ELSE 'settle' END AS kind", "id div 2 AS id", "10L AS tokens", "1L AS cost")
+    out = R.metered(e, "build", "at", 100000, 10**9, 10**9)
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    last = out.orderBy("at").tail(1)[0]
+    assert tuple(last) == (1, 29999, "settled", 15000, 0, 150000, 0, 15000)
+    again = [("reserve", 1, 5, 1), ("settle", 1, 5, 1), ("reserve", 1, 6, 1), ("settle", 1, 6, 1), ("settle", 1, 6, 1), ("reserve", 2, None, 1), ("reserve", 3, 5, 1)]
+    df = spark.createDataFrame([(None, i, *x) for i, x in enumerate(again)], "build long, at int, kind string, id long, tokens long, cost long")
+    got = R.metered(df, "build", "at", 9, 16, 9).orderBy("at").collect()
+    assert [r.outcome for r in got] == ["reserved", "settled", "reserved", "settled", "repeated", "exhausted", "reserved"] and got[-1].consumed_tokens == 11
+    a = R.admitted(df, "build", "at", 9, 16, 9)
+    assert "collect_list" not in a._jdf.queryExecution().executedPlan().toString()
+    assert [r.admitted for r in a.orderBy("at").collect()] == [True, True, True, False, False, False, False]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.parts import spread
+
 
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """old with the rows of new put in place of those with equal keys. Rows of old move once, and only if
@@ -90,7 +92,8 @@ def drift(frozen: DataFrame, live: DataFrame, key: str) -> DataFrame:
 
 
 def islands(df: DataFrame, group: Sequence[str], start: str, end: str) -> DataFrame:
-    """Unions of half-open ranges that overlap or touch."""
+    """Unions of half-open ranges that overlap or touch. A task sorts a part of the groups."""
+    df = spread(df, *group)
     w = W.partitionBy(*group).orderBy(start, end)
     top = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
     rows = df.withColumn("_new", F.when(top.isNull() | (F.col(start) > top), 1).otherwise(0))

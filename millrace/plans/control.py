@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators import filters, lifecycle as L
+from millrace.operators.parts import spread
 from millrace.operators.spans import containing
 from millrace.plans.base import DOCUMENTS, VERSIONS, documents, table, versions
 
@@ -346,10 +347,10 @@ def reference_expansion(spark, d):
 @query("manifest_check", f"{_V} SELECT v.version_id, count(l.l_linenumber) AS children, count(DISTINCT l.l_partkey) AS parents, count(l.l_linenumber) = floor(v.size)::BIGINT % 8 AS matches FROM versions v LEFT JOIN lineitem l ON l.l_orderkey = v.version_id GROUP BY v.version_id, v.size")
 def manifest_check(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version_id"), "l_linenumber", "l_partkey")
-    size = F.floor("size") % 8
-    rows = versions(spark, d).select("version_id", "size").join(li, "version_id", "left")
-    out = rows.groupBy("version_id", "size").agg(F.count("l_linenumber").alias("children"), F.count_distinct("l_partkey").alias("parents"))
-    return out.select("version_id", "children", "parents", (F.col("children") == size).alias("matches"))
+    staged = spread(li, "version_id").groupBy("version_id").agg(F.count("l_linenumber").alias("children"), F.count_distinct("l_partkey").alias("parents"))
+    rows = versions(spark, d).select("version_id", "size").join(staged, "version_id", "left").groupBy("version_id", "size")
+    out = rows.agg(F.coalesce(F.sum("children"), F.lit(0)).alias("children"), F.coalesce(F.max("parents"), F.lit(0)).alias("parents"))
+    return out.select("version_id", "children", "parents", (F.col("children") == F.floor("size") % 8).alias("matches"))
 
 
 @query("child_set_digest", "SELECT l_orderkey, sha256(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey)) AS digest FROM lineitem GROUP BY l_orderkey")

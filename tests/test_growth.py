@@ -1,7 +1,10 @@
 """What a query costs grows no faster than its tables."""
 
 import pandas as pd
+from test_sizes import same
 
+import millrace.plans.control as control
+from millrace.operators import parts
 from millrace.operators import research as R
 from millrace.streaming.leases import Leases
 
@@ -60,3 +63,19 @@ def test_accounts_of_a_long_build_are_a_stream(spark):
     a = R.admitted(df, "build", "at", 9, 16, 9)
     assert "collect_list" not in a._jdf.queryExecution().executedPlan().toString()
     assert [r.admitted for r in a.orderBy("at").collect()] == [True, True, True, False, False, False, False]
+
+
+def test_parts_are_as_many_as_the_table_asks_for(spark, tmp_path, monkeypatch):
+    """Beyond the number of shuffle partitions, with the rows of the SQL; a version that comes twice counts its lines twice."""
+    monkeypatch.setattr(parts, "ROWS", 100)
+    lines = "SELECT i // 4 AS l_orderkey, CASE WHEN i % 9 > 0 THEN i * 37 % 1000 END AS l_partkey, CASE WHEN i % 7 > 0 THEN i % 4 END AS l_linenumber, (i % 50)::DOUBLE AS l_quantity FROM range(2000) t(i)"
+    orders = "SELECT CASE WHEN i % 50 > 0 THEN i END AS o_orderkey, i % 90 AS o_custkey, 'F' AS o_orderstatus, (i * 1.5)::DOUBLE AS o_totalprice, TIMESTAMP '1997-01-01' AS o_orderdate, '5-LOW' AS o_orderpriority FROM range(600) t(i)"
+    orders = f"{orders} UNION ALL SELECT * FROM ({orders}) WHERE o_orderkey % 20 = 7"
+    for name in ("interval_cover", "manifest_check"):
+        if name == "interval_cover":
+            given = {"lineitem": lines.replace("CASE WHEN i % 9 > 0 THEN i * 37 % 1000 END", "i * 37 % 1000")}
+        else:
+            given = {"lineitem": lines, "orders": orders, "customer": "SELECT 1 AS c_custkey, 1 AS c_nationkey, 1.0 AS c_acctbal, 'x' AS c_mktsegment"}
+        (tmp_path / name).mkdir()
+        assert same(spark, tmp_path / name, name, control, **given)
+        assert ", 20), REPARTITION_BY_NUM" in control.QUERIES[name](spark, str(tmp_path / name))._jdf.queryExecution().executedPlan().toString()

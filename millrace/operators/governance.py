@@ -104,16 +104,19 @@ def gold_problems(cases: DataFrame, sources: DataFrame, groups: DataFrame, docum
     """(case_id, problem) of the first rule each of cases(case_id, snapshot_id, user_id, wanted_snapshot, wanted_user)
     breaks: repeated; another corpus or user; a source(case_id, version_id, hash) that documents(version_id, hash) don't
     have so; a fact of groups(case_id, version_id, chunk_id) without such a source; a chunk that chunks(chunk_id, user_id,
-    version_id) don't have for that user and version."""
+    version_id) don't have for that user and version. Chunks meet by their ids first, and what is found goes to the cases
+    without them, once; a case's sources are an array."""
     times = cases.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"), F.max(((F.col("snapshot_id") != F.col("wanted_snapshot")) | (F.col("user_id") != F.col("wanted_user"))).cast("int")).alias("_other"), F.min("user_id").alias("user_id"))
     known = documents.select("version_id", F.col("hash").alias("_hash"))
-    bad_source = sources.join(known, "version_id", "left").groupBy("case_id").agg(F.max((~F.coalesce(F.col("hash") == F.col("_hash"), F.lit(False))).cast("int")).alias("_source"))
-    own = sources.select("case_id", "version_id", F.lit(1).alias("_own")).distinct()
+    wrong = ~F.coalesce(F.col("hash") == F.col("_hash"), F.lit(False))
+    own = sources.join(known, "version_id", "left").groupBy("case_id").agg(F.max(wrong.cast("int")).alias("_source"), F.collect_set("version_id").alias("_own"))
     there = chunks.select("chunk_id", F.col("user_id").alias("_user"), F.col("version_id").alias("_version"))
-    facts = groups.join(times.select("case_id", "user_id"), "case_id").join(own, ["case_id", "version_id"], "left").join(there, "chunk_id", "left")
-    foreign = ~F.coalesce((F.col("_user") == F.col("user_id")) & (F.col("_version") == F.col("version_id")), F.lit(False))
-    facts = facts.groupBy("case_id").agg(F.max(F.col("_own").isNull().cast("int")).alias("_fact"), F.max(foreign.cast("int")).alias("_chunk"))
-    rows = times.join(bad_source, "case_id", "left").join(facts, "case_id", "left")
+    facts = groups.join(there, "chunk_id", "left").select("case_id", "version_id", F.when(F.col("_version") == F.col("version_id"), F.col("_user")).alias("_user"), F.lit(True).alias("_is"))
+    rows = times.join(own, "case_id", "left").join(facts, "case_id", "left")
+    fact = F.col("_is") & ~F.coalesce(F.array_contains("_own", F.col("version_id")), F.lit(False))
+    foreign = F.col("_is") & ~F.coalesce(F.col("_user") == F.col("user_id"), F.lit(False))
+    most = {"_n": F.col("_n"), "_other": F.col("_other"), "_source": F.col("_source"), "_fact": fact.cast("int"), "_chunk": foreign.cast("int")}
+    rows = rows.groupBy("case_id").agg(*(F.max(c).alias(k) for k, c in most.items()))
     problem = F.when(F.col("_n") > 1, "repeated").when(F.col("_other") == 1, "another corpus or user").when(F.col("_source") == 1, "source differs").when(F.col("_fact") == 1, "fact without source").when(F.col("_chunk") == 1, "foreign or missing chunk")
     return rows.select("case_id", problem.alias("problem")).where("problem is not null")
 

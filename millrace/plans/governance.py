@@ -109,11 +109,14 @@ def gold_load(spark, d):
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     one = o.select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderkey") % 29 == 0, "s1").otherwise("s0").alias("snapshot_id"), F.col("o_custkey").alias("user_id"))
     cases = one.union(one.where("case_id % 31 = 0").withColumn("snapshot_id", F.lit("s0"))).select("*", F.lit("s0").alias("wanted_snapshot"), F.col("user_id").alias("wanted_user"))
-    docs = o.select(F.col("o_orderkey").alias("version_id"), F.md5(F.col("o_orderkey").cast("string")).alias("hash"))
-    sources = docs.select(F.col("version_id").alias("case_id"), "version_id", F.when(F.col("version_id") % 37 == 0, "x").otherwise(F.col("hash")).alias("hash"))
-    named = li.select(F.col("l_orderkey").alias("case_id"), "l_linenumber", "l_partkey").distinct().select("case_id", F.when(F.col("l_linenumber") == 6, -1).otherwise(F.col("case_id")).alias("version_id"), F.concat_ws(":", F.col("case_id").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("chunk_id"), "l_partkey")
-    chunks = named.where("l_partkey % 23 <> 0").join(o.select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("user_id")), "case_id").select("chunk_id", "user_id", F.col("case_id").alias("version_id"))
-    return G.gold_problems(cases, sources, named.select("case_id", "version_id", "chunk_id"), docs, chunks)
+    docs = o.select(F.col("o_orderkey").alias("version_id"), F.unhex(F.md5(F.col("o_orderkey").cast("string"))).alias("hash"))
+    sources = docs.select(F.col("version_id").alias("case_id"), "version_id", F.when(F.col("version_id") % 37 == 0, F.lit(b"x")).otherwise(F.col("hash")).alias("hash"))
+    lines = li.select(F.col("l_orderkey").alias("case_id"), "l_linenumber", "l_partkey")
+    chunk = F.concat_ws(":", F.col("case_id").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("chunk_id")
+    named = lines.select("case_id", F.when(F.col("l_linenumber") == 6, -1).otherwise(F.col("case_id")).alias("version_id"), chunk)
+    mine = lines.where("l_partkey % 23 <> 0").join(o.select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("user_id")), "case_id").distinct()
+    chunks = mine.select(chunk, "user_id", F.col("case_id").alias("version_id"))
+    return G.gold_problems(cases, sources, named, docs, chunks)
 
 
 @query("answer_tail", "SELECT user_id AS epoch, event_id AS seq, event_type FROM events WHERE user_id > 7 OR (user_id = 7 AND event_id > 400) ORDER BY user_id, event_id LIMIT 100")

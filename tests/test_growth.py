@@ -1,9 +1,12 @@
 """What a query costs grows no faster than its tables."""
 
+import re
+
 import pandas as pd
 from test_sizes import same
 
 import millrace.plans.control as control
+from millrace.operators import governance as G
 from millrace.operators import parts
 from millrace.operators import research as R
 from millrace.streaming.leases import Leases
@@ -79,3 +82,20 @@ def test_parts_are_as_many_as_the_table_asks_for(spark, tmp_path, monkeypatch):
         (tmp_path / name).mkdir()
         assert same(spark, tmp_path / name, name, control, **given)
         assert ", 20), REPARTITION_BY_NUM" in control.QUERIES[name](spark, str(tmp_path / name))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_of_gold_cases_are_shuffled_twice(spark):
+    """By their chunks and, without these, by their cases; the rules as before, chunks and sources that come twice too."""
+    cases = spark.createDataFrame([(i, "s", 7, "s", 7) for i in range(1, 8)] + [(2, "s", 7, "s", 7), (8, "t", 7, "s", 7)], "case_id long, snapshot_id string, user_id long, wanted_snapshot string, wanted_user long")
+    sources = spark.createDataFrame([(i, 10 + i, "x" if i == 3 else "h") for i in range(1, 9)] + [(1, 12, "h")], "case_id long, version_id long, hash string")
+    groups = spark.createDataFrame([(1, 11, "a"), (1, 12, "b"), (1, 11, "a"), (4, 11, "a"), (5, 15, "c"), (6, 16, "none"), (7, 17, "d"), (7, 17, "e"), (99, 1, "a")], "case_id long, version_id long, chunk_id string")
+    documents = spark.createDataFrame([(10 + i, "h") for i in range(1, 9)], "version_id long, hash string")
+    chunks = spark.createDataFrame([("a", 7, 11), ("b", 7, 12), ("b", 7, 12), ("c", 8, 15), ("d", 7, 17), ("e", 7, 17), ("e", 7, 18)], "chunk_id string, user_id long, version_id long")
+    out = G.gold_problems(cases, sources, groups, documents, chunks)
+    assert {r.case_id: r.problem for r in out.collect()} == {2: "repeated", 3: "source differs", 4: "fact without source", 5: "foreign or missing chunk", 6: "foreign or missing chunk", 7: "foreign or missing chunk", 8: "another corpus or user"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = G.gold_problems(cases, sources, groups, documents, chunks)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(case_id" in plan and not re.search(r"hashpartitioning\(case_id#\d+L, version_id", plan)

@@ -75,12 +75,13 @@ def ready(todos: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def closure(links: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(root, node) pairs within `hops` links of start(root): each round joins the new ends only."""
-    seen = edge = start.select("root", F.col("root").alias("node"))
+    """(root, node) pairs within `hops` links of start(root): each round joins the new ends only. Rounds have no pair in
+    common and none twice, so only the roots are made distinct at the outset."""
+    seen = edge = start.select("root").distinct().select("root", F.col("root").alias("node"))
     for _ in range(hops):
         edge = edge.join(links, edge["node"] == links["src"]).select("root", F.col("dst").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
         seen = seen.union(edge)
-    return seen.distinct()
+    return seen
 
 
 def drift(frozen: DataFrame, live: DataFrame, key: str) -> DataFrame:

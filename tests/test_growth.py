@@ -7,6 +7,7 @@ from test_sizes import same
 
 import millrace.plans.control as control
 from millrace.operators import governance as G
+from millrace.operators import lifecycle as L
 from millrace.operators import parts
 from millrace.operators import research as R
 from millrace.streaming.leases import Leases
@@ -99,3 +100,12 @@ def test_facts_of_gold_cases_are_shuffled_twice(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(case_id" in plan and not re.search(r"hashpartitioning\(case_id#\d+L, version_id", plan)
+
+
+def test_a_closure_is_not_made_distinct_as_a_whole(spark):
+    """Roots and links that come twice give each pair once, without a shuffle of all pairs behind the last round."""
+    links = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, 1), (2, 3), (3, 4), (4, 5)], "src long, dst long")
+    out = L.closure(links, spark.createDataFrame([(1,), (1,), (3,), (None,), (None,)], "root long"), 2)
+    assert sorted(map(tuple, out.where("root is not null").collect())) == [(1, 1), (1, 2), (1, 3), (1, 4), (3, 3), (3, 4), (3, 5)]
+    assert out.where("root is null").count() == 1
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import decisions as D
 from millrace.operators import evidence
 from millrace.plans.base import table
+from millrace.sources.tables import fresh
 
 QUERIES, ORACLE = {}, {}
 
@@ -69,6 +70,13 @@ def grade_decisions(spark, d):
 _TODO_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax"
 
 
+def _kept(spark, rows, name):
+    """Rows as a table of the shared folder: numbered, shuffled and sorted once, however often they are read."""
+    path = fresh(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @query("plan_problems", f"""WITH RECURSIVE t AS (SELECT l_orderkey AS run, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_TODO_ORDER}) AS id, count(*) OVER (PARTITION BY l_orderkey) AS n, l_partkey, l_quantity FROM lineitem),
 u AS (SELECT run, CASE WHEN l_partkey % 41 = 0 THEN 1 ELSE id END AS id, CASE WHEN l_quantity > 48 THEN 3 ELSE 1 END AS attempts FROM t),
 e AS (SELECT run, id, CASE WHEN l_partkey % 50 = 1 THEN 99 WHEN l_partkey % 4 = 1 THEN id % n + 1 ELSE greatest(id - 1, 1) END AS blocker FROM t WHERE l_partkey % 4 <> 0 AND NOT (id = 1 AND l_partkey % 4 <> 1)),
@@ -80,6 +88,7 @@ def plan_problems(spark, d):
     """Lines of an order as its todos: chains, rings, repeated and unknown ones among them."""
     w = W.partitionBy("l_orderkey")
     t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), F.row_number().over(w.orderBy(*_TODO_ORDER.split(", "))).cast("long").alias("id"), F.count(F.lit(1)).over(w).alias("n"), "l_partkey", "l_quantity")
+    t = _kept(spark, t, "todos")
     p = F.col("l_partkey")
     todos = t.select("run", F.when(p % 41 == 0, 1).otherwise(F.col("id")).alias("id"), F.when(F.col("l_quantity") > 48, 3).otherwise(1).alias("attempts"))
     blocker = F.when(p % 50 == 1, 99).when(p % 4 == 1, F.col("id") % F.col("n") + 1).otherwise(F.greatest(F.col("id") - 1, F.lit(1)))
@@ -99,7 +108,7 @@ def span_levels(spark, d):
     status = F.when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "A", "cancelled").otherwise("ok")
     s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trace"), n.alias("id"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), status.alias("status"), "l_partkey")
     parent = F.when(F.col("l_partkey") % 9 == 0, 77).otherwise(F.floor(F.col("id") / 2)).cast("long")
-    return D.span_levels(s.withColumn("parent", parent).drop("l_partkey"))
+    return D.span_levels(_kept(spark, s.withColumn("parent", parent).drop("l_partkey"), "spans"))
 
 
 @query("manifest_problems", "SELECT o_orderkey AS version_id, CASE WHEN o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) THEN 'nothing staged' ELSE [NULL, 'artifact differs', 'rebuilt differs', 'out of scope', 'counts differ', NULL, NULL][o_orderkey % 7 + 1] END AS problem FROM orders")

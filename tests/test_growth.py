@@ -6,6 +6,7 @@ import pandas as pd
 from test_sizes import same
 
 import millrace.plans.control as control
+import millrace.plans.decisions as decisions
 from millrace.operators import governance as G
 from millrace.operators import lifecycle as L
 from millrace.operators import parts
@@ -109,3 +110,9 @@ def test_a_closure_is_not_made_distinct_as_a_whole(spark):
     assert sorted(map(tuple, out.where("root is not null").collect())) == [(1, 1), (1, 2), (1, 3), (1, 4), (3, 3), (3, 4), (3, 5)]
     assert out.where("root is null").count() == 1
     assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_numbered_lines_are_sorted_once(spark, data):
+    """What reads the numbered lines several times doesn't number them each time."""
+    for name in ("plan_problems", "span_levels"):
+        assert "Window" not in decisions.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()

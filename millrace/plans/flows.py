@@ -81,7 +81,7 @@ def near_page_edge(spark, d):
 @query("section_ranges", "WITH h AS (SELECT o_custkey, o_orderkey AS start, (o_orderkey % 3 + 1)::INT AS lv FROM orders WHERE o_orderpriority <> '5-LOW') SELECT a.o_custkey, a.start, a.lv, min(b.start) AS \"end\" FROM h a LEFT JOIN h b ON a.o_custkey = b.o_custkey AND b.start > a.start AND b.lv <= a.lv GROUP BY ALL")
 def section_ranges(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderpriority") != "5-LOW", (F.col("o_orderkey") % 3 + 1).cast("int")).alias("level"))
-    out = outlined(o.withColumn("text", F.lit("")), "o_custkey", "o_orderkey", "level", "text", repair=False)
+    out = outlined(o.withColumn("text", F.lit("")), "o_custkey", "o_orderkey", "level", "text", repair=False, paths=False)
     return out.select("o_custkey", F.col("o_orderkey").alias("start"), F.col("level").alias("lv"), "end")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import outline as O
 from millrace.operators import research as R
+from millrace.operators.parts import spread
 from millrace.plans.base import table
 
 QUERIES, ORACLE = {}, {}
@@ -58,7 +59,8 @@ def _blocks(spark, d):
     head = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     names = F.concat(F.lit("as agreed, see Part "), (F.floor("o_totalprice") % 8).cast("string"), F.lit(", or 见  Part "), (F.floor(F.col("o_totalprice") / 10) % 8).cast("string"), F.lit("; Part 3 too"))
     text = F.when(head, F.concat(F.lit("Part "), (F.col("o_orderkey") % 8).cast("string"))).otherwise(names)
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("block"), F.when(head, (F.col("o_orderkey") % 5).cast("int")).alias("level"), text.alias("text"))
+    b = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("block"), F.when(head, (F.col("o_orderkey") % 5).cast("int")).alias("level"), text.alias("text"))
+    return spread(b, "doc")
 
 
 @query("heading_outline", f"""WITH RECURSIVE {_BLOCKS}, h AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY block) AS i FROM b WHERE level IS NOT NULL),
@@ -78,7 +80,7 @@ e AS (SELECT DISTINCT r.doc, r.src, b.block AS dst FROM r JOIN s ON s.doc = r.do
 
 def _edges(b):
     refs = O.references(b, "doc", "block", "text", F.col("level").isNotNull())
-    return O.section_edges(refs, O.outlined(b, "doc", "block", "level", "text", repair=False), b, "doc", "block")
+    return O.section_edges(refs, O.outlined(b, "doc", "block", "level", "text", repair=False, paths=False), b, "doc", "block")
 
 
 @query("block_references", f"WITH {_EDGES} SELECT doc, src, dst FROM e")

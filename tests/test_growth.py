@@ -1,14 +1,18 @@
 """What a query costs grows no faster than its tables."""
 
+import random
 import re
 
 import pandas as pd
+from pyspark.sql import functions as F
 from test_sizes import same
 
 import millrace.plans.control as control
 import millrace.plans.decisions as decisions
+import millrace.plans.folds as folds
 from millrace.operators import governance as G
 from millrace.operators import lifecycle as L
+from millrace.operators import outline as O
 from millrace.operators import parts
 from millrace.operators import research as R
 from millrace.streaming.leases import Leases
@@ -116,3 +120,42 @@ def test_numbered_lines_are_sorted_once(spark, data):
     """What reads the numbered lines several times doesn't number them each time."""
     for name in ("plan_problems", "span_levels"):
         assert "Window" not in decisions.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_walk_goes_over_what_it_saw_once(spark):
+    """One join a step, where each step doubled those before it; the nodes of a plain walk, with loops, edges that come
+    twice and nodes with more edges than are kept."""
+    rng = random.Random(7)
+    found = [(d, rng.randrange(30), rng.randrange(30)) for d in "abc" for _ in range(90)] + [("a", 0, i) for i in range(30)]
+    edges = spark.createDataFrame(found + found[:40] + [(None, 1, 2)], "doc string, src int, dst int")
+    roots = spark.createDataFrame([(d, i) for d in "abc" for i in range(32)] + [("a", 0), (None, 1), ("b", None)], "doc string, root int")
+    for hops, most in ((0, 3), (1, 1), (2, 3), (3, 4), (3, 9)):
+        out = O.walked(edges, roots, "doc", "root", hops, most)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= hops
+        want = set()
+        for d, root in set(map(tuple, roots.collect())):
+            seen = {root: 0}
+            for hop in range(1, hops + 1):
+                more = {z for e, a, z in found if e == d and seen.get(a) == hop - 1} - seen.keys()
+                seen |= dict.fromkeys(sorted(more)[: most - len(seen)], hop)
+            want |= {(d, root, node, hop) for node, hop in seen.items()}
+        assert sorted(map(repr, map(tuple, out.select("doc", "root", "node", "hop").collect()))) == sorted(map(repr, want))
+
+
+def test_references_and_sections_in_parts(spark, tmp_path, monkeypatch):
+    """Documents come in as many parts as the table asks for, with the rows of the SQL."""
+    monkeypatch.setattr(parts, "ROWS", 100)
+    orders = "SELECT i AS o_orderkey, i * 7919 % 1009 % 120 AS o_custkey, (i * 31.7)::DOUBLE AS o_totalprice, CASE i * 13 % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE '5-LOW' END AS o_orderpriority FROM range(900) t(i)"
+    for name in ("reference_walk", "block_references", "heading_outline"):
+        (tmp_path / name).mkdir()
+        assert same(spark, tmp_path / name, name, folds, orders=orders)
+        plan = folds.QUERIES[name](spark, str(tmp_path / name))._jdf.queryExecution().executedPlan().toString()
+        assert ", 9), REPARTITION_BY_NUM" in plan
+
+
+def test_a_text_with_the_old_mark_is_no_reference(spark):
+    """Only what follows a word is a name; a word's tail goes over the ends of lines."""
+    rows = [("d", 0, 1, "Scope"), ("d", 1, 1, "Two\nlines"), ("d", 2, None, "see x\x1fScope"), ("d", 3, None, "a\nsee  Two\nlines too"), ("d", 4, None, "see\x1f")]
+    df = spark.createDataFrame(rows, "doc string, n int, level int, text string")
+    got = {tuple(r) for r in O.references(df, "doc", "n", "text", F.col("level").isNotNull()).collect()}
+    assert got == {("d", 3, 1)}

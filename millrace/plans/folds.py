@@ -59,8 +59,7 @@ def _blocks(spark, d):
     head = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     names = F.concat(F.lit("as agreed, see Part "), (F.floor("o_totalprice") % 8).cast("string"), F.lit(", or 见  Part "), (F.floor(F.col("o_totalprice") / 10) % 8).cast("string"), F.lit("; Part 3 too"))
     text = F.when(head, F.concat(F.lit("Part "), (F.col("o_orderkey") % 8).cast("string"))).otherwise(names)
-    b = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("block"), F.when(head, (F.col("o_orderkey") % 5).cast("int")).alias("level"), text.alias("text"))
-    return spread(b, "doc")
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("block"), F.when(head, (F.col("o_orderkey") % 5).cast("int")).alias("level"), text.alias("text"))
 
 
 @query("heading_outline", f"""WITH RECURSIVE {_BLOCKS}, h AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY block) AS i FROM b WHERE level IS NOT NULL),
@@ -86,7 +85,7 @@ def _edges(b):
 @query("block_references", f"WITH {_EDGES} SELECT doc, src, dst FROM e")
 def block_references(spark, d):
     """From each block to those of the sections it names."""
-    return _edges(_blocks(spark, d))
+    return _edges(spread(_blocks(spark, d), "doc"))
 
 
 @query("reference_walk", f"""WITH {_EDGES}, s0 AS (SELECT doc, block AS root, block AS node, 0 AS hop FROM b),
@@ -96,5 +95,5 @@ u2 AS (SELECT doc, root, node, min(hop) AS hop FROM (SELECT * FROM s1 UNION ALL
 SELECT * FROM u2 QUALIFY row_number() OVER (PARTITION BY doc, root ORDER BY hop, node) <= 3""")
 def reference_walk(spark, d):
     """Two steps along references, three blocks of a root at most (documents are short here)."""
-    b = _blocks(spark, d)
+    b = spread(_blocks(spark, d), "doc")
     return O.walked(_edges(b), b.select("doc", F.col("block").alias("root")), "doc", "root", 2, 3)
